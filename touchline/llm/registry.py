@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from touchline.llm import op6_secret_scan, op9_language_id
+from touchline.llm import op4_mtree_topk, op6_secret_scan, op9_language_id
 
-MODULES = [op6_secret_scan, op9_language_id]
+MODULES = [op4_mtree_topk, op6_secret_scan, op9_language_id]
 
 
 def queries() -> dict:
