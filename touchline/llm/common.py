@@ -88,10 +88,14 @@ class Words:
     ``first[i]:first[i + 1]`` are the words of text i; ``starts`` and ``ends`` are byte offsets in ``data``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = False, bare: bool = False):
+        """``fold`` lower-cases A-Z; ``bare`` takes runs of ASCII letters, digits and non-ASCII bytes as words instead."""
         self.data, self.offsets = data, offsets
         n = len(data)
-        word = (data != 32) & ((data < 9) | (data > 13))
+        if bare:
+            word = (data >= 128) | ((data >= 48) & (data <= 57)) | (((data | 32) >= 97) & ((data | 32) <= 122))
+        else:
+            word = (data != 32) & ((data < 9) | (data > 13))
         if fold:
             self.data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
         begin = np.zeros(n + 1, bool)

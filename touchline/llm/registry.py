@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from touchline.llm import op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op6_secret_scan, op9_language_id
+from touchline.llm import op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op6_secret_scan, op7_decontamination, op9_language_id
 
-MODULES = [op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op6_secret_scan, op9_language_id]
+MODULES = [op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op6_secret_scan, op7_decontamination, op9_language_id]
 
 
 def queries() -> dict:
