@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from touchline.llm import op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op6_secret_scan, op7_decontamination, op9_language_id
+from touchline.llm import (
+    op1_substring_dedup,
+    op2_hyperminhash,
+    op3_url_filter,
+    op4_mtree_topk,
+    op5_token_counts,
+    op6_secret_scan,
+    op7_decontamination,
+    op9_language_id,
+    op10_token_files,
+)
 
-MODULES = [op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op6_secret_scan, op7_decontamination, op9_language_id]
+MODULES = [op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op5_token_counts, op6_secret_scan, op7_decontamination, op9_language_id, op10_token_files]
 
 
 def queries() -> dict:
