@@ -1,7 +1,7 @@
 """Token ids in compressed files: canonical length-limited Huffman codes from global counts.
 
-Documents are encoded, each followed by an end id, and sorted by id over range partitions. A partition writes blocks of whole documents of about
-``BLOCK`` ids: header columns and a bit stream. Every ``LANE`` ids the block stores how many bits they took, so a reader finds any lane without decoding those before it; all
+A first pass counts the ids of all documents, each followed by an end id; a second encodes them to bit streams, which are sorted by document over range partitions.
+A partition writes blocks of whole documents of about ``BLOCK`` ids: header columns and the documents' bit streams, each from a byte's first bit on. Every ``LANE`` ids the block stores how many bits they took, so a reader finds any lane without decoding those before it; all
 lanes of a block are decoded side by side by looking up ``limit`` bits in one table. The codebook holds a length for each id; the codes follow from it.
 Files are Parquet, so that Spark's commit protocol covers them on any file system.
 
@@ -13,22 +13,24 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, shared_dir, stored
+from touchline.llm.common import documents, shared_dir
 from touchline.llm.tokens import definition_at, encoder_of
 
 LIMIT = 16
 BLOCK = 1 << 18
 LANE = 64
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 16 << 20
 BLOCKS = "part int, block int, part_start long, ids long, documents binary, sizes binary, lane_bits binary, bits binary"
 
 
@@ -70,18 +72,24 @@ def canonical_codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, order
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bit stream of ``ids`` and the bits of each lane."""
+def pack(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The bit stream of each document, from a byte's first bit on, and the bits of each of its lanes. ``sizes``: ids of each document."""
     size = lengths[ids]
-    ends = np.cumsum(size)
-    start = ends - size
-    total = int(ends[-1]) if len(ids) else 0
+    ends = np.concatenate([[0], np.cumsum(size)])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    width = (ends[first[1:]] - ends[first[:-1]] + 7) // 8
+    byte = np.concatenate([[0], np.cumsum(width)])
+    start = ends[:-1] + np.repeat(byte[:-1] * 8 - ends[first[:-1]], sizes)
     value = codes[ids] << (32 - size - (start & 7))
-    out = np.zeros((total + 7) // 8 + 4, np.float64)
+    out = np.zeros(int(byte[-1]) + 4, np.float64)
     for k in range(4):
         out += np.bincount((start >> 3) + k, weights=(value >> (24 - 8 * k)) & 255, minlength=len(out))
-    lanes = np.add.reduceat(size, np.arange(0, len(ids), LANE)) if len(ids) else np.zeros(0, np.int64)
-    return out.astype(np.uint8)[: (total + 7) // 8].tobytes(), lanes
+    raw = out.astype(np.uint8).tobytes()
+    lanes = -(-sizes // LANE)
+    within = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    bits = np.add.reduceat(size, np.repeat(first[:-1], lanes) + within * LANE).astype("<u2").tobytes() if len(ids) else b""
+    until = np.concatenate([[0], np.cumsum(lanes)]) * 2
+    return [raw[a:b] for a, b in zip(byte[:-1], byte[1:], strict=True)], [bits[a:b] for a, b in zip(until[:-1], until[1:], strict=True)]
 
 
 class Table:
@@ -96,90 +104,112 @@ class Table:
         self.symbol[: room.sum()] = np.repeat(order, room)
         self.size[: room.sum()] = np.repeat(lengths[order], room)
 
-    def unpack(self, bits: bytes, lanes: np.ndarray, n: int) -> np.ndarray:
-        """``n`` ids; each step reads one id of every lane."""
+    def unpack(self, bits: bytes, lane_bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of all documents of a block; each step reads one id of every lane."""
         raw = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.int64)
         window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-        at = np.cumsum(lanes) - lanes
+        lanes = -(-sizes // LANE)
+        owner = np.repeat(np.arange(len(sizes)), lanes)
+        first = np.cumsum(lanes) - lanes
+        ends = np.concatenate([[0], np.cumsum(lane_bits)])
+        width = (ends[first + lanes] - ends[first] + 7) // 8
+        at = ends[:-1] + ((np.cumsum(width) - width) * 8 - ends[first])[owner]
         last = len(window) - 1
-        out = np.empty((len(lanes), LANE), np.uint32)
+        out = np.empty((len(owner), LANE), np.uint32)
         for step in range(LANE):
             code = (window[np.minimum(at >> 3, last)] >> (32 - self.width - (at & 7))) & ((1 << self.width) - 1)
             out[:, step] = self.symbol[code]
             at = at + self.size[code]
-        return out.reshape(-1)[:n]
+        left = sizes[owner] - (np.arange(len(owner)) - first[owner]) * LANE
+        return out[np.arange(LANE)[None, :] < left[:, None]]
 
 
-def encoded(docs: DataFrame, definition: str, end_id: int) -> DataFrame:
-    """doc_id and its ids with the end id, as little-endian unsigned 32-bit integers."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _count(definition: str, end_id: int):
+    """Counts of ids: the words of a task are counted first, each different one is then encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(definition), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for lo in range(0, batch.num_rows, 1000):
-                part = [encoder.encode(t.as_py() or "") + end for t in texts[lo : lo + 1000]]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array(part, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            found = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(lo, 1000).to_pylist()), "<u4"), minlength=len(total))
+        encoder = encoder_of(definition)
+        total = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
+        words: Counter[str] = Counter()
+
+        def settle() -> None:
+            nonlocal total
+            ids = [encoder.after_space(w) for w in words]
+            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) // 4 for x in ids])
+            found = np.bincount(np.frombuffer(b"".join(ids), "<u4"), weights=times, minlength=len(total)).astype(np.int64)
             found[: len(total)] += total
             total = found
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+            words.clear()
+
+        for batch in batches:
+            for value in batch.column("text"):
+                parts = encoder.words(value.as_py() or "")
+                for i in np.frombuffer(encoder.begin(parts[0]), "<u4"):
+                    total[i] += 1
+                total[end_id] += 1
+                words.update(parts[1:])
+                if len(words) > 300_000:
+                    settle()
+        settle()
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+
+    return run
 
 
-def _write(lengths: np.ndarray):
+def _packed(definition: str, end_id: int, lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = encoder_of(definition), np.array([end_id], "<u4").tobytes()
         codes, _ = canonical_codes(lengths)
-        part, block, before = TaskContext.get().partitionId(), 0, 0
-        names: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal block, before, names, held, size
-            bits, lanes = pack(np.frombuffer(b"".join(held), "<u4").astype(np.int64), lengths, codes)
-            known = np.array([x is not None for x in names], np.uint8).tobytes() + np.array([x or 0 for x in names], "<i8").tobytes()
-            sizes = np.array([len(x) // 4 for x in held], "<u4").tobytes()
-            columns = {"part": [part], "block": [block], "part_start": [before], "ids": [size], "documents": [known], "sizes": [sizes], "lane_bits": [lanes.astype("<u2").tobytes()], "bits": [bits]}
-            block, before, names, held, size = block + 1, before + size, [], [], 0
-            return pa.RecordBatch.from_pydict(columns, schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("ids", pa.int64()), *[(k, pa.binary()) for k in ("documents", "sizes", "lane_bits", "bits")]]))
-
         for batch in batches:
-            for name, x in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
-                names.append(name.as_py())
-                held.append(x.as_py())
-                size += len(held[-1]) // 4
-                if size >= BLOCK:
-                    yield close()
-        if names:
-            yield close()
+            for lo in range(0, batch.num_rows, 256):
+                ids = [encoder.encode(t.as_py() or "") + end for t in batch.column("text")[lo : lo + 256]]
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                bits, lanes = pack(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), sizes, lengths, codes)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(ids)), pa.array(sizes), pa.array(lanes, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n", "lane_bits", "bits"])
 
     return run
 
 
+_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("ids", pa.int64()), *[(k, pa.binary()) for k in ("documents", "sizes", "lane_bits", "bits")]])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, block, before, size = TaskContext.get().partitionId(), 0, 0, 0
+    held: list[dict] = []
+
+    def close() -> pa.RecordBatch:
+        known = np.array([x["doc_id"] is not None for x in held], np.uint8).tobytes() + np.array([x["doc_id"] or 0 for x in held], "<i8").tobytes()
+        sizes = np.array([x["n"] for x in held], "<u8").tobytes()
+        row = {"part": part, "block": block, "part_start": before, "ids": size, "documents": known, "sizes": sizes, "lane_bits": b"".join(x["lane_bits"] for x in held), "bits": b"".join(x["bits"] for x in held)}
+        return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            held.append(row)
+            size += row["n"]
+            if size >= BLOCK:
+                yield close()
+                block, before, held, size = block + 1, before + size, [], 0
+    if held:
+        yield close()
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` with the tokenizer definition and write codebook and blocks under ``path``."""
-    # half the width where the vocabulary allows it is left to the file's compression
-    ids = stored(encoded(docs, tokenizer, end_id), "ids")
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
+    spark = docs.sparkSession
+    counts = docs.select("text").mapInArrow(_count(tokenizer, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
     total = np.zeros(max((r.id for r in counts), default=-1) + 1, np.int64)
     for r in counts:
         total[r.id] = r.n
     lengths = code_lengths(total)
-    spark = docs.sparkSession
-    spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    parts = max(1, -(-4 * int(total.sum()) // PARTITION_BYTES))
-    ordered = ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
-    ordered.mapInArrow(_write(lengths), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    book = pd.DataFrame({"id": np.flatnonzero(lengths), "length": lengths[lengths > 0]})
+    spark.createDataFrame(book, "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = docs.select("doc_id", "text").mapInArrow(_packed(tokenizer, end_id, lengths), f"doc_id {kind}, n long, lane_bits binary, bits binary")
+    parts = max(1, -(-int((total * lengths).sum()) // (8 * PARTITION_BYTES)))
+    ordered = packed.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("bits"))
+    ordered.mapInArrow(_blocks, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def _read(lengths: np.ndarray):
@@ -187,10 +217,10 @@ def _read(lengths: np.ndarray):
         table = Table(lengths)
         for batch in batches:
             for row in batch.to_pylist():
-                sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+                sizes = np.frombuffer(row["sizes"], "<u8").astype(np.int64)
                 known = np.frombuffer(row["documents"][: len(sizes)], np.uint8) > 0
                 names = np.frombuffer(row["documents"][len(sizes) :], "<i8")
-                raw = table.unpack(row["bits"], np.frombuffer(row["lane_bits"], "<u2").astype(np.int64), row["ids"]).astype("<u4").tobytes()
+                raw = table.unpack(row["bits"], np.frombuffer(row["lane_bits"], "<u2").astype(np.int64), sizes).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
                 ids = [raw[4 * a : 4 * b] for a, b in zip(ends - sizes, ends, strict=True)]
                 start = row["before"] + row["part_start"] + ends - sizes

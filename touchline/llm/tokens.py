@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 _UNSAFE = re.compile(r" \s|\s ")
+_LOOSE = re.compile(r"^\s|\s$|\s\s|[^\S\n]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 300_000
-"""Words that a worker remembers; longer ones than ``CACHED_CHARS`` are never kept."""
+CACHE = 800_000
+"""Words that a worker remembers in each of two generations; longer ones than ``CACHED_CHARS`` are never kept."""
 CACHED_CHARS = 40
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
@@ -26,24 +39,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
+        self.characters = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
+        self.space = " ".translate(self.characters)
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, lead: str, word: str) -> bytes:
+        """Letters with or without a space before them are one piece, which the model takes as it is."""
+        piece = (self.space if lead else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(self.characters))
+        return _bytes_of([t.id for t in self.model.tokenize(piece)])
+
+    def _word(self, lead: str, word: str) -> bytes:
+        if word.isalpha():
+            return self._piece(lead, word)
+        if word[-1:] in (",", ".") and word[:-1].isalpha():  # letters, and one mark that is a piece of its own
+            return self._known(lead, word[:-1]) + self._known("\0", word[-1])
+        if "\n" in word and not _LOOSE.search(word):  # lines: a single newline is a piece of its own
+            first, *lines = word.split("\n")
+            return b"".join([self._known(lead, first), *(self._known("\0", "\n") + self._known("\0", x) for x in lines)])
+        return self._plain(lead + word)
+
+    def _known(self, lead: str, word: str) -> bytes:
+        """Ids of ``word`` after a space (lead " ") or at a beginning (lead "\\0")."""
+        key = word if lead == " " else "\0" + word
+        found = self.seen.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is None:
+                found = self._word(" " if lead == " " else "", word)
+            if len(word) <= CACHED_CHARS:
+                if len(self.seen) >= CACHE:
+                    self.older, self.seen = self.seen, {}
+                self.seen[key] = found
+        return found
+
+    def after_space(self, word: str) -> bytes:
+        return self._known(" ", word)
+
+    def begin(self, word: str) -> bytes:
+        """Ids of a text's first word."""
+        return self._known("\0", word)
+
+    def words(self, text: str) -> list[str]:
+        return text.split(" ") if not _UNSAFE.search(text) else _BETWEEN.split(text)
 
     def encode(self, text: str) -> bytes:
-        parts = text.split(" ") if not _UNSAFE.search(text) else _BETWEEN.split(text)
+        parts = self.words(text)
         found: list[bytes | None] = list(map(self.seen.get, parts))
-        found[0] = self._plain(parts[0])
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            new = {parts[i] for i in missing}
-            if len(self.seen) + len(new) > CACHE:
-                self.seen.clear()
-            ids = {w: self._plain(" " + w) for w in new}
-            self.seen.update((w, x) for w, x in ids.items() if len(w) <= CACHED_CHARS)
-            for i in missing:
-                found[i] = ids[parts[i]]
+        found[0] = self.begin(parts[0])
+        if None in found:
+            found = [self.after_space(parts[i]) if x is None else x for i, x in enumerate(found)]
         return b"".join(found)
 
     def byte_lengths(self) -> np.ndarray:
