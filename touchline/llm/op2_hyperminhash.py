@@ -3,9 +3,13 @@ r"""Near-duplicates by HyperMinHash, banding and verification on the full shingl
 A set's 64-bit shingle hashes fall into ``BUCKETS`` buckets; a bucket keeps its smallest hash as a register of
 leading-zero count and ten mantissa bits. Empty registers borrow from others by a fixed order, so that small sets fill all of them.
 Texts with equal sets are one class and need no comparing. Four registers make a band; classes that share a band are candidates. In each band's
-group the smallest id is compared with every other member, which is linear in the group; the links found are joined to components, and only
-pairs of a group that still lie in different components are compared as well. Sizes and the collision-corrected Jaccard estimate
-(six standard deviations of slack) thin out the candidates; what is left is decided on the words themselves.
+group the smallest id is the pivot, compared with every other member, which is linear in the group. The collision-corrected Jaccard estimate (six standard deviations of slack)
+rules out links; the words themselves confirm them.
+
+Other pairs of a group are never all formed. A member differs from its pivot by a set of added and missing shingles, and two members differ by the
+symmetric difference of these sets. So a link that the pivot doesn't imply needs common differences, and one of them stands early
+in both ordered lists of differences (added ones first, as they are rare): joining the lists' prefixes finds all remaining candidates exactly. Those that still lie in different components
+pass the estimate and are compared as well.
 
 With 32 bands of four registers a pair at the threshold 0.85 is missed with probability 1e-10, at 0.8 with 1e-7.
 
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,50 +121,76 @@ def _similar_size(a: Column, b: Column, percent: int) -> Column:
 def _estimate(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("regs_a", "regs_b"))
-            raw = (a == b).mean(axis=1)
+            raw = (a == b).mean(axis=1) if len(a) else np.zeros(0)
             jaccard = (raw - COLLISION) / (1 - COLLISION)
-            n = np.minimum(np.minimum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()), BUCKETS)
+            smaller, larger = (f(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) for f in (np.minimum, np.maximum))
             t = percent / 100
-            keep = jaccard >= t - 6 * np.sqrt(t * (1 - t) / n)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            likely = (jaccard >= t - 6 * np.sqrt(t * (1 - t) / np.minimum(smaller, BUCKETS))) & (smaller * 100 >= larger * percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likely, pa.bool_())], names=["a", "b", "likely"])
 
     return run
 
 
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) of class ids with ``likely``: whether sizes and registers allow a link."""
+    side = lambda s: classes.select(F.col("id").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n").alias(f"n_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_estimate(percent), "a long, b long, likely boolean")
+
+
 def _shingle_set(text: str, k: int) -> set:
     words = (text or "").encode().lower().split()  # bytes.lower folds A-Z only
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
 
 
-def _confirm(k: int, percent: int):
+def _compare(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, set] = (None, set())
+        held: tuple[tuple | None, set] = (None, set())
         for batch in batches:
-            keep = []
-            ids, left, right = (batch.column(c) for c in ("a", "text_a", "text_b"))
+            rows: list[tuple] = []
+            ids, left, right, likely = (batch.column(c) for c in ("a", "text_a", "text_b", "likely"))
             for i in range(batch.num_rows):
                 a, text = ids[i].as_py(), left[i].as_py()
                 if held[0] != (a, hash(text)):
                     held = ((a, hash(text)), _shingle_set(text, k))
-                other = _shingle_set(right[i].as_py(), k)
-                both = len(held[1] & other)
-                keep.append(both > 0 and 100 * both >= percent * (len(held[1]) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                pivot, other = held[1], _shingle_set(right[i].as_py(), k)
+                both = len(pivot & other)
+                apart = len(pivot) + len(other) - 2 * both
+                linked = likely[i].as_py() and both > 0 and 100 * both >= percent * (both + apart)
+                # as many differences as can matter for a link with a set of the largest fitting size
+                most = (100 - percent) * (len(other) + len(other) * 100 // percent + 1) // (100 + percent) + 1
+                first = [xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in other - pivot]
+                first.sort()
+                if len(first) < most:
+                    first += sorted(xxhash.xxh64_intdigest(b" ".join(x), 1) - (1 << 63) for x in pivot - other)
+                rows.append((a, batch.column("b")[i].as_py(), linked, len(other), apart, first[:most]))
+            names = ["a", "b", "linked", "n", "apart", "first"]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
     return run
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids that pass the estimate and then the comparison of their words."""
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n").alias(f"n_{s}"))
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_estimate(percent), "a long, b long"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, likely) with ``linked``, the size of b's set, by how many shingles the sets differ, and the first of these differences."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    both = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, percent), "a long, b long").distinct()
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, n long, apart long, first array<long>")
+
+
+def other_candidates(measured: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members of one pivot's group that may be linked although the pivot doesn't link them."""
+    groups = stored(measured.where(~F.col("linked")).select("a").distinct(), "open-groups")
+    members = measured.join(groups, "a", "left_semi").join(rooted.withColumnRenamed("id", "b"), "b", "left")
+    places = members.select("a", "b", "linked", "n", "apart", F.coalesce("root", "b").alias("root"), F.posexplode("first").alias("at", "e"))
+    x = places.where(~F.col("linked")).select("a", "e", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "apart", "root", "at")])
+    y = places.select("a", "e", *[F.col(c).alias(f"{c}_y") for c in ("b", "n", "apart", "root", "at")])
+    room = (F.col("n_x") + F.col("n_y")) * (100 - percent)
+    early_x = (F.col("at_x") * 2 - F.col("apart_x") + F.col("apart_y")) * (100 + percent) <= room
+    early_y = (F.col("at_y") * 2 - F.col("apart_y") + F.col("apart_x")) * (100 + percent) <= room
+    fits = (F.col("root_x") != F.col("root_y")) & early_x & early_y & _similar_size(F.col("n_x"), F.col("n_y"), percent)
+    return x.join(y, ["a", "e"]).where(fits).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,21 +220,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         "classes",
     )
     bands = banded(classes)
-    pivots = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("members")).where("members > 1").select("band", F.col("p.id").alias("a"), F.col("p.n").alias("n_a"))
-    groups = stored(bands.join(pivots, "band"), "band-groups")
-    star = stored(groups.where("id <> a").where(_similar_size(F.col("n"), F.col("n_a"), percent)).select("a", F.col("id").alias("b")).distinct(), "star-pairs")
-    links = stored(confirmed(star, classes, docs, k, percent), "links")
+    pivots = stored(bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1").select("band", "a"), "pivots")
+    star = bands.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    measured = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), docs, k, percent), "measured")
+    links = measured.where("linked").select("a", "b")
     rooted = components(links)
-    # what a group's first member doesn't decide: members with different components
-    found = groups.select("band", "id", "n").join(rooted, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed_bands = found.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi AND members > 2").select("band")
-    open_members = stored(found.join(mixed_bands, "band", "left_semi"), "open-members")
-    x = open_members.select("band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = open_members.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _similar_size(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "other-pairs")
-    if rest.limit(1).count():
-        more = stored(confirmed(rest, classes, docs, k, percent), "more-links")
+    rest = stored(other_candidates(measured, rooted, percent), "other-pairs")
+    likely = stored(estimated(rest, classes, percent).where("likely"), "other-likely")
+    if likely.limit(1).count():
+        more = stored(compared(likely, docs, k, percent).where("linked").select("a", "b"), "more-links")
         if more.limit(1).count():
             rooted = components(links.union(more))
     labelled = classes.select("k1", "k2", F.col("n").alias("n_shingles"), "id").join(rooted, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "id").alias("root"))
