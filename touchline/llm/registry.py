@@ -10,11 +10,12 @@ from touchline.llm import (
     op5_token_counts,
     op6_secret_scan,
     op7_decontamination,
+    op8_byte_bpe,
     op9_language_id,
     op10_token_files,
 )
 
-MODULES = [op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op5_token_counts, op6_secret_scan, op7_decontamination, op9_language_id, op10_token_files]
+MODULES = [op1_substring_dedup, op2_hyperminhash, op3_url_filter, op4_mtree_topk, op5_token_counts, op6_secret_scan, op7_decontamination, op8_byte_bpe, op9_language_id, op10_token_files]
 
 
 def queries() -> dict:
