@@ -100,11 +100,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     keys.append((total[ends] - total[ends - n]).view(np.int64))
                 regs = registers(d, x, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), pa.array([r.tobytes() for r in regs], pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "regs"],
+                    [ids.slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "k1", "k2", "regs"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, regs binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, regs binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for each row of ``docs``."""
     signed = stored(signatures(docs, k), "signatures")
     classes = stored(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "regs")).alias("m")).select("k1", "k2", F.col("n_shingles").alias("n"), F.col("m.doc_id").alias("id"), F.col("m.regs").alias("regs")),
@@ -232,14 +232,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if more.limit(1).count():
             rooted = components(links.union(more))
     labelled = classes.select("k1", "k2", F.col("n").alias("n_shingles"), "id").join(rooted, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "id").alias("root"))
-    joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(labelled, ["k1", "k2", "n_shingles"], "left")
+    joined = signed.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(labelled, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85)
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85).drop("text_hash")
 
 
 def _sql() -> str:

@@ -152,7 +152,7 @@ def alignment_scores(items: list[np.ndarray], parts: list[np.ndarray]) -> np.nda
     return best
 
 
-def _align(items: Items, share: float):
+def _align(items: Items, share: float, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in text_chunks(batch, "folded"):
@@ -193,25 +193,25 @@ def _align(items: Items, share: float):
                             found[d, i] = max(found.get((d, i), (0, 0)), (int(score), int(words.first[d]) - begin))
                 if found:
                     pairs = sorted(found)
-                    ids = batch.column("doc_id").take(pa.array([lo + d for d, _ in pairs]))
+                    rows = pa.array([lo + d for d, _ in pairs])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids,
+                            *[batch.column(k).take(rows) for k in keys],
                             pa.array([items.ids[i] for _, i in pairs], pa.int64()),
                             pa.array([found[p][0] for p in pairs], pa.int64()),
                             pa.array([found[p][0] / (2 * len(items.words[p[1]])) for p in pairs], pa.float64()),
                             pa.array([-found[p][1] for p in pairs], pa.int64()),
                         ],
-                        names=["doc_id", "item_id", "score", "share", "near_word"],
+                        names=[*keys, "item_id", "score", "share", "near_word"],
                     )
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, item_id, score, share, near_word (where the aligned part of the document begins, in its words): one row for each leaked item of a document."""
-    spark = docs.sparkSession
-    empty = "doc_id long, item_id long, score long, share double, near_word long"
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` of the document, item_id, score, share, near_word (where the aligned part of the document begins, in its words): one row for each leaked item of a document."""
+    spark, keys = docs.sparkSession, list(keys)
+    schema = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys) + ", item_id long, score long, share double, near_word long"
     sized = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (BLOCK_WORDS * 6)))
@@ -222,12 +222,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         if not len(items.seeds):
             continue
         items = items_of(items.ids, [r.text for r in rows], rare_seeds(docs, items))
-        part = docs.select("doc_id", F.lower("text").alias("folded")).mapInArrow(_align(items, share), empty)
+        part = docs.select(*keys, F.lower("text").alias("folded")).mapInArrow(_align(items, share, keys), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], schema)
     best = F.max(F.struct("score", "share", (-F.col("near_word")).alias("w"))).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.score", "m.share", (-F.col("m.w")).alias("near_word"))
+    return found.groupBy(*keys, "item_id").agg(best).select(*keys, "item_id", "m.score", "m.share", (-F.col("m.w")).alias("near_word"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
