@@ -1,7 +1,7 @@
 """Token ids in compressed files: canonical length-limited Huffman codes from global counts.
 
-A first pass counts the ids of all documents, each followed by an end id; a second encodes them to bit streams, which are sorted by document over range partitions.
-A partition writes blocks of whole documents of about ``BLOCK`` ids: header columns and the documents' bit streams, each from a byte's first bit on. Every ``LANE`` ids the block stores how many bits they took, so a reader finds any lane without decoding those before it; all
+A first pass counts the ids of all documents, each followed by an end id; a second encodes them to bit streams, which are sorted by document inside ranges of ids.
+A range is written as blocks of whole documents of about ``BLOCK`` ids: header columns and the documents' bit streams, each from a byte's first bit on. Every ``LANE`` ids the block stores how many bits they took, so a reader finds any lane without decoding those before it; all
 lanes of a block are decoded side by side by looking up ``limit`` bits in one table. The codebook holds a length for each id; the codes follow from it.
 Files are Parquet, so that Spark's commit protocol covers them on any file system.
 
@@ -13,19 +13,17 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, shared_dir
-from touchline.llm.tokens import definition_at, encoder_of
+from touchline.llm.common import documents, shared_dir, text_chunks
+from touchline.llm.tokens import Encoder, definition_at, encoder_of
 
 LIMIT = 16
 BLOCK = 1 << 18
@@ -124,49 +122,40 @@ class Table:
         return out[np.arange(LANE)[None, :] < left[:, None]]
 
 
-def _count(definition: str, end_id: int):
-    """Counts of ids: the words of a task are counted first, each different one is then encoded once."""
+def _encoded(batch: pa.RecordBatch, encoder: Encoder, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids with end ids, ids of each document) for runs of rows."""
+    for lo, _, data, offsets in text_chunks(batch):
+        ids, counts = encoder.encode_many(data, offsets)
+        yield lo, np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+
 
+def _count(definition: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(definition)
-        total = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
-        words: Counter[str] = Counter()
-
-        def settle() -> None:
-            nonlocal total
-            ids = [encoder.after_space(w) for w in words]
-            times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) // 4 for x in ids])
-            found = np.bincount(np.frombuffer(b"".join(ids), "<u4"), weights=times, minlength=len(total)).astype(np.int64)
-            found[: len(total)] += total
-            total = found
-            words.clear()
-
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column("text"):
-                parts = encoder.words(value.as_py() or "")
-                for i in np.frombuffer(encoder.begin(parts[0]), "<u4"):
-                    total[i] += 1
-                total[end_id] += 1
-                words.update(parts[1:])
-                if len(words) > 300_000:
-                    settle()
-        settle()
+            for _, ids, _ in _encoded(batch, encoder, end_id):
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
     return run
 
 
-def _packed(definition: str, end_id: int, lengths: np.ndarray):
+def _packed(definition: str, end_id: int, lengths: np.ndarray, bounds: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(definition), np.array([end_id], "<u4").tobytes()
+        encoder = encoder_of(definition)
         codes, _ = canonical_codes(lengths)
+        cuts = np.array(bounds)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                ids = [encoder.encode(t.as_py() or "") + end for t in batch.column("text")[lo : lo + 256]]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                bits, lanes = pack(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), sizes, lengths, codes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(ids)), pa.array(sizes), pa.array(lanes, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n", "lane_bits", "bits"])
+            for lo, ids, sizes in _encoded(batch, encoder, end_id):
+                bits, lanes = pack(ids.astype(np.int64), sizes, lengths, codes)
+                names = batch.column("doc_id").slice(lo, len(sizes))
+                known = names.fill_null(0).to_numpy(zero_copy_only=False)
+                part = np.where(names.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, known, "right")).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), names, pa.array(sizes), pa.array(lanes, pa.binary()), pa.array(bits, pa.binary())], names=["part", "doc_id", "n", "lane_bits", "bits"])
 
     return run
 
@@ -175,7 +164,8 @@ _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start",
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, block, before, size = TaskContext.get().partitionId(), 0, 0, 0
+    """Blocks of rows that are sorted by part and document."""
+    part, block, before, size = -1, 0, 0, 0
     held: list[dict] = []
 
     def close() -> pa.RecordBatch:
@@ -186,11 +176,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in batch.to_pylist():
-            held.append(row)
-            size += row["n"]
-            if size >= BLOCK:
+            if held and (size >= BLOCK or row["part"] != part):
                 yield close()
                 block, before, held, size = block + 1, before + size, [], 0
+            if row["part"] != part:
+                part, block, before = row["part"], 0, 0
+            held.append(row)
+            size += row["n"]
     if held:
         yield close()
 
@@ -205,10 +197,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     lengths = code_lengths(total)
     book = pd.DataFrame({"id": np.flatnonzero(lengths), "length": lengths[lengths > 0]})
     spark.createDataFrame(book, "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = docs.select("doc_id", "text").mapInArrow(_packed(tokenizer, end_id, lengths), f"doc_id {kind}, n long, lane_bits binary, bits binary")
+    # ranges of ids of about equal count, from the ids alone: a range partitioning would encode all texts once more to sample them
     parts = max(1, -(-int((total * lengths).sum()) // (8 * PARTITION_BYTES)))
-    ordered = packed.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("bits"))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or [])) if shares else []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = docs.select("doc_id", "text").mapInArrow(_packed(tokenizer, end_id, lengths, bounds), f"part int, doc_id {kind}, n long, lane_bits binary, bits binary")
+    ordered = packed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", F.xxhash64("bits"))
     ordered.mapInArrow(_blocks, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 

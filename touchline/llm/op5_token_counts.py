@@ -50,10 +50,7 @@ def _attribute(definition: str, rule: str):
         lengths = encoder.byte_lengths()
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                ids = [encoder.encode(t) if t else b"" for t in texts]
-                size = lengths[np.frombuffer(b"".join(ids), "<u4")]
+                size = lengths[encoder.encode_many(data, offsets)[0]]
                 ends = np.cumsum(size)
                 # a line begins at each text and after each newline that doesn't end its text
                 breaks = np.flatnonzero(data == 10) + 1

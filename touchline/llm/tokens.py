@@ -1,19 +1,17 @@
-"""Encoding of whole texts with a tokenizers file inside tasks, a word at a time with a bounded cache."""
+"""Encoding of whole texts with a tokenizers file inside tasks: distinct parts are encoded once, by a bounded cache."""
 
 from __future__ import annotations
 
 import os
-import re
-import struct
 
 import numpy as np
 
-_UNSAFE = re.compile(r" \s|\s ")
-_LOOSE = re.compile(r"^\s|\s$|\s\s|[^\S\n]")
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-CACHE = 800_000
-"""Words that a worker remembers in each of two generations; longer ones than ``CACHED_CHARS`` are never kept."""
-CACHED_CHARS = 40
+from touchline.llm.common import byte_table, range_hashes
+
+CACHE = 3_000_000
+RECENT = 200_000
+POOL = 32_000_000
+"""Parts and ids that a worker remembers at most; beyond that it starts anew."""
 
 
 def _byte_characters() -> dict[int, str]:
@@ -23,16 +21,67 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def _bytes_of(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _letters() -> np.ndarray:
+    byte = np.arange(256)
+    return ((byte | 32) >= 97) & ((byte | 32) <= 122)
 
 
-class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers.
+_LETTER = _letters()
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
+
+
+def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut without changing an id: the pattern of a byte-level vocabulary never makes a piece across these places.
 
-    A byte-level pattern that lets a space only begin a piece never puts text before a single space and text after it into one piece.
-    So a text may be cut at each space between two other characters, and its words encoded one by one, without changing an id.
+    Before a run of white space, after a newline that stands alone, and between an ASCII letter and an ASCII mark but the apostrophe.
+    Only spaces and newlines count as white space; texts with other kinds are not cut (see ``unusual``).
     """
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    white = np.ones(n + 2, bool)  # white[i + 1] belongs to byte i
+    white[1:-1] = (data == 32) | (data == 10)
+    before, here, after = white[:-2].copy(), white[1:-1], white[2:].copy()
+    inner = edge[:n]
+    before[inner] = False  # a text's first byte has nothing before it
+    after[edge[1:]] = False
+    cut = inner | (here & ~before)
+    alone = (data == 10) & ~before & ~after
+    cut[1:] |= alone[:-1]
+    cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+    return np.flatnonzero(cut)
+
+
+def unusual(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts with white space other than space and newline, or with what may begin an added token."""
+    a = data
+    b, c = np.append(a[1:], 0)[: len(a)], np.append(a[2:], [0, 0])[: len(a)]
+    odd = ((a < 32) & (a != 10)) | ((a == 60) & (b == 124)) | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+    odd |= ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+    odd |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    return np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
+
+
+class _Level:
+    """Sorted keys with a second hash and the place and number of their ids."""
+
+    def __init__(self):
+        self.key, self.check, self.at, self.size = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+
+    def add(self, *columns: np.ndarray) -> None:
+        merged = [np.concatenate([a, b]) for a, b in zip((self.key, self.check, self.at, self.size), columns, strict=True)]
+        order = np.argsort(merged[0], kind="stable")
+        self.key, self.check, self.at, self.size = (m[order] for m in merged)
+
+    def find(self, key: np.ndarray, check: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        if len(self.key):
+            where = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            same = np.flatnonzero((self.key[where] == key) & (self.check[where] == check))
+            at[same], size[same] = self.at[where[same]], self.size[where[same]]
+
+
+class Encoder:
+    """Ids of whole texts. A text is cut into parts at safe places; each different part is encoded once, looked up by a 128-bit hash."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,63 +91,85 @@ class Encoder:
         self.model = self.tokenizer.model
         self.characters = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
         self.space = " ".translate(self.characters)
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.base, self.recent = _Level(), _Level()
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _plain(self, text: str) -> bytes:
-        return _bytes_of(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, lead: str, word: str) -> bytes:
+    def _part(self, raw: bytes) -> list[int]:
         """Letters with or without a space before them are one piece, which the model takes as it is."""
-        piece = (self.space if lead else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(self.characters))
-        return _bytes_of([t.id for t in self.model.tokenize(piece)])
-
-    def _word(self, lead: str, word: str) -> bytes:
-        if word.isalpha():
-            return self._piece(lead, word)
-        if word[-1:] in (",", ".") and word[:-1].isalpha():  # letters, and one mark that is a piece of its own
-            return self._known(lead, word[:-1]) + self._known("\0", word[-1])
-        if "\n" in word and not _LOOSE.search(word):  # lines: a single newline is a piece of its own
-            first, *lines = word.split("\n")
-            return b"".join([self._known(lead, first), *(self._known("\0", "\n") + self._known("\0", x) for x in lines)])
-        return self._plain(lead + word)
-
-    def _known(self, lead: str, word: str) -> bytes:
-        """Ids of ``word`` after a space (lead " ") or at a beginning (lead "\\0")."""
-        key = word if lead == " " else "\0" + word
-        found = self.seen.get(key)
-        if found is None:
-            found = self.older.get(key)
-            if found is None:
-                found = self._word(" " if lead == " " else "", word)
-            if len(word) <= CACHED_CHARS:
-                if len(self.seen) >= CACHE:
-                    self.older, self.seen = self.seen, {}
-                self.seen[key] = found
-        return found
-
-    def after_space(self, word: str) -> bytes:
-        return self._known(" ", word)
-
-    def begin(self, word: str) -> bytes:
-        """Ids of a text's first word."""
-        return self._known("\0", word)
-
-    def words(self, text: str) -> list[str]:
-        return text.split(" ") if not _UNSAFE.search(text) else _BETWEEN.split(text)
-
-    def encode(self, text: str) -> bytes:
-        parts = self.words(text)
-        found: list[bytes | None] = list(map(self.seen.get, parts))
-        found[0] = self.begin(parts[0])
-        if None in found:
-            found = [self.after_space(parts[i]) if x is None else x for i, x in enumerate(found)]
-        return b"".join(found)
+        word = raw[1:] if raw[:1] == b" " else raw
+        lead = self.space if len(word) < len(raw) else ""
+        if word.isalpha():  # ASCII letters
+            return [t.id for t in self.model.tokenize(lead + word.decode())]
+        text = word.decode()
+        if text.isalpha():
+            return [t.id for t in self.model.tokenize(lead + word.decode("latin-1").translate(self.characters))]
+        return self.plain(raw.decode())
+
+    def _store(self, parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(p) for p in parts], np.int64)
+        flat = np.array([i for p in parts for i in p], np.uint32)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(flat)), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        return at, size
+
+    def _usual(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = safe_cuts(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        ends = np.append(starts[1:], len(data))
+        h, g = (range_hashes(byte_table(seed)[data], starts, ends) for seed in (11, 12))
+        key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        check = g[first]
+        if len(self.base.key) > CACHE or self.used > POOL:
+            self._forget()
+        at, size = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
+        self.base.find(key, check, at, size)
+        self.recent.find(key, check, at, size)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            raw = data.tobytes()
+            at[missing], size[missing] = self._store([self._part(raw[a:b]) for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
+            self.recent.add(key[missing], check[missing], at[missing], size[missing])
+            if len(self.recent.key) > RECENT:
+                self.base.add(self.recent.key, self.recent.check, self.recent.at, self.recent.size)
+                self.recent = _Level()
+        n = size[inverse]
+        upto = np.cumsum(n)
+        ids = self.pool[np.repeat(at[inverse] - (upto - n), n) + np.arange(upto[-1])]
+        bounds = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
+        return ids, np.diff(bounds)
+
+    def encode_many(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts and how many each has."""
+        odd = unusual(data, offsets)
+        if not len(odd):
+            return self._usual(data, offsets)
+        ids, counts, begin = [], [], 0
+        for i in [*odd.tolist(), len(offsets) - 1]:
+            a, b = offsets[begin], offsets[i]
+            x, n = self._usual(data[a:b], offsets[begin : i + 1] - a)
+            ids.append(x)
+            counts.append(n)
+            if i < len(offsets) - 1:
+                x = np.array(self.plain(data[b : offsets[i + 1]].tobytes().decode()), np.uint32)
+                ids.append(x)
+                counts.append(np.array([len(x)]))
+            begin = i + 1
+        return np.concatenate(ids), np.concatenate(counts)
 
     def byte_lengths(self) -> np.ndarray:
         """Bytes of text that each id stands for: in a byte-level vocabulary a character stands for a byte, but for added tokens."""
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        added = {i for i, _ in self.tokenizer.get_added_tokens_decoder().items()}
+        added = set(self.tokenizer.get_added_tokens_decoder())
         lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             lengths[i] = len(token.encode()) if i in added else len(token)
