@@ -1,27 +1,20 @@
-"""The registered queries over the given tables and their DuckDB counterparts."""
+"""All registered queries over the given tables and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from touchline.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
 
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from touchline.plans import profiles  # noqa: F401  (registers its queries)
+from touchline.plans.base import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return QUERIES["passing_profile"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
