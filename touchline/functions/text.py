@@ -38,7 +38,7 @@ def citation_ids(c: Column) -> Column:
     """Distinct ids inside ``[a; b]`` groups, in order of first occurrence."""
     groups = F.regexp_extract_all(c, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
     ids = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*;\s*")))
-    return F.array_distinct(F.filter(F.transform(ids, F.trim), lambda x: F.rlike(x, F.lit(r"^[A-Za-z0-9_.:-]+$"))))
+    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(r"^[A-Za-z0-9_.:-]+$"))))
 
 
 def logistic(margin: Column, temperature: float = 1.0) -> Column:

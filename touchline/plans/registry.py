@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import profiles  # noqa: F401  (registers its queries)
+from touchline.plans import profiles, sequences, serving  # noqa: F401  (they register their queries)
 from touchline.plans.base import QUERIES, SQL, Query
 
 
