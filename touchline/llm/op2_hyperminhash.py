@@ -3,12 +3,13 @@ r"""Near-duplicates by HyperMinHash, banding and verification on the full shingl
 A set's 64-bit shingle hashes fall into ``BUCKETS`` buckets; a bucket keeps its smallest hash as a register of
 leading-zero count and ten mantissa bits. Empty registers borrow from others by a fixed order, so that small sets fill all of them.
 Texts with equal sets are one class and need no comparing. Four registers make a band; classes that share a band are candidates. In each band's
-group the smallest id is the pivot, compared with every other member, which is linear in the group. The collision-corrected Jaccard estimate (six standard deviations of slack)
-rules out links; the words themselves confirm them.
+group the most central class (that with the most companions over all its bands) is the pivot, compared with every other member, which is linear in the group.
+The collision-corrected Jaccard estimate (six standard deviations of slack) rules out links; the words themselves confirm them.
 
 Other pairs of a group are never all formed. A member differs from its pivot by a set of added and missing shingles, and two members differ by the
 symmetric difference of these sets. So a link that the pivot doesn't imply needs common differences, and one of them stands early
-in both ordered lists of differences (added ones first, as they are rare): joining the lists' prefixes finds all remaining candidates exactly. Those that still lie in different components
+in both ordered lists of differences (added ones first, as they are rare): joining the lists' prefixes finds these candidates. Members far from the pivot can't be linked
+with close ones (Jaccard distance is a metric); they form groups with new pivots, and what is left after ``ROUNDS`` rounds is paired. Candidates that still lie in different components
 pass the estimate and are compared as well.
 
 With 32 bands of four registers a pair at the threshold 0.85 is missed with probability 1e-10, at 0.8 with 1e-7.
@@ -33,6 +34,9 @@ from touchline.llm.common import Words, documents, mixed, range_hashes, stored,
 BUCKETS = 128
 ROWS = 4
 MANTISSA = 10
+ROUNDS = 3
+FAR = 40
+"""Members below this similarity (percent) to their pivot have no list of differences."""
 COLLISION = 1 / (3 * (1 << MANTISSA))
 """Chance that different minima give equal registers: equal leading zeros (1/3), then equal mantissas."""
 
@@ -108,10 +112,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(band, id, n): 64-bit keys of each class's bands."""
+    """(band, id): 64-bit keys of each class's bands."""
     width = ROWS * 2
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(BUCKETS // ROWS)])
-    return classes.select(F.explode(keys).alias("band"), "id", "n")
+    return classes.select(F.explode(keys).alias("band"), "id")
 
 
 def _similar_size(a: Column, b: Column, percent: int) -> Column:
@@ -144,6 +148,8 @@ def _shingle_set(text: str, k: int) -> set:
 
 
 def _compare(k: int, percent: int):
+    near = FAR + 100 - percent + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[tuple | None, set] = (None, set())
         for batch in batches:
@@ -157,30 +163,33 @@ def _compare(k: int, percent: int):
                 both = len(pivot & other)
                 apart = len(pivot) + len(other) - 2 * both
                 linked = likely[i].as_py() and both > 0 and 100 * both >= percent * (both + apart)
-                # as many differences as can matter for a link with a set of the largest fitting size
-                most = (100 - percent) * (len(other) + len(other) * 100 // percent + 1) // (100 + percent) + 1
-                first = [xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in other - pivot]
-                first.sort()
-                if len(first) < most:
-                    first += sorted(xxhash.xxh64_intdigest(b" ".join(x), 1) - (1 << 63) for x in pivot - other)
-                rows.append((a, batch.column("b")[i].as_py(), linked, len(other), apart, first[:most]))
-            names = ["a", "b", "linked", "n", "apart", "first"]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                listed = 100 * both >= FAR * (both + apart)
+                first: list[int] = []
+                if listed:  # as many differences as can matter for a link with a set of the largest fitting size
+                    most = (100 - percent) * (len(other) + len(other) * 100 // percent + 1) // (100 + percent) + 1
+                    first = sorted(xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in other - pivot)
+                    if len(first) < most:
+                        first += sorted(xxhash.xxh64_intdigest(b" ".join(x), 1) - (1 << 63) for x in pivot - other)
+                    first = first[:most]
+                rows.append((a, batch.column("b")[i].as_py(), linked, 100 * both >= near * (both + apart), listed, len(other), apart, first))
+            names = ["a", "b", "linked", "near", "listed", "n", "apart", "first"]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
     return run
 
 
 def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, likely) with ``linked``, the size of b's set, by how many shingles the sets differ, and the first of these differences."""
+    """(a, b, likely) with ``linked``, whether b is near a, whether its differences are listed, the size of b's set, by how many shingles the sets differ, and the first of these."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, n long, apart long, first array<long>")
+    return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, near boolean, listed boolean, n long, apart long, first array<long>")
 
 
 def other_candidates(measured: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of members of one pivot's group that may be linked although the pivot doesn't link them."""
+    measured = measured.where("listed")
     groups = stored(measured.where(~F.col("linked")).select("a").distinct(), "open-groups")
     members = measured.join(groups, "a", "left_semi").join(rooted.withColumnRenamed("id", "b"), "b", "left")
     places = members.select("a", "b", "linked", "n", "apart", F.coalesce("root", "b").alias("root"), F.posexplode("first").alias("at", "e"))
@@ -219,13 +228,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "regs")).alias("m")).select("k1", "k2", F.col("n_shingles").alias("n"), F.col("m.doc_id").alias("id"), F.col("m.regs").alias("regs")),
         "classes",
     )
-    bands = banded(classes)
-    pivots = stored(bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("members")).where("members > 1").select("band", "a"), "pivots")
-    star = bands.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    measured = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), docs, k, percent), "measured")
+    bands = stored(banded(classes), "bands")
+    sizes = stored(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "band-sizes")
+    shared = bands.join(sizes, "band")
+    central = shared.groupBy("id").agg(F.sum("members").alias("central"))
+    members = stored(shared.select("band", "id").join(central, "id"), "members")
+    measured = None
+    for number in range(ROUNDS):
+        pivots = stored(members.groupBy("band").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p"), F.count("*").alias("members")).where("members > 1").select("band", (-F.col("p.id")).alias("a")), "pivots")
+        groups = stored(members.join(pivots, "band").where("id <> a"), "groups")
+        star = groups.select("a", F.col("id").alias("b")).distinct()
+        found = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), docs, k, percent), "measured")
+        measured = found if measured is None else measured.unionByName(found)
+        far = found.where(~F.col("near")).select("a", F.col("b").alias("id"))
+        members = stored(groups.join(far, ["a", "id"]).select("band", "id", "central"), "members")
+        if not members.groupBy("band").count().where("count > 1").limit(1).count():
+            break
+    x, y = members.select("band", F.col("id").alias("a")), members.select("band", F.col("id").alias("b"))
+    left_over = x.join(y, "band").where("a < b").select("a", "b")
     links = measured.where("linked").select("a", "b")
     rooted = components(links)
-    rest = stored(other_candidates(measured, rooted, percent), "other-pairs")
+    rest = stored(other_candidates(measured, rooted, percent).union(left_over).distinct(), "other-pairs")
     likely = stored(estimated(rest, classes, percent).where("likely"), "other-likely")
     if likely.limit(1).count():
         more = stored(compared(likely, docs, k, percent).where("linked").select("a", "b"), "more-links")
