@@ -4,7 +4,7 @@ The pattern splits a text into pieces. A piece of known rank is one token; other
 the leftmost pair of lowest rank, looked up in a rank map, until no pair has a rank. The fold runs over distinct pieces: all pieces are counted,
 and the ``HEAD`` most frequent are folded once and become a map of bounded size beside the rank map; the pieces of the long tail, seen once or a few times in all documents, are folded
 where they stand. Both maps are values of scalar subqueries, which the tasks hold as constants: arrays of small maps, addressed by a crc32 of the key.
-Decoding looks up each id's bytes and concatenates them.
+Decoding looks up the bytes of all ids of a batch and concatenates them.
 
 Pieces of ``LONG`` characters or more would make the fold quadratic; texts that hold one take a side path where a heap merges these pieces in the same order.
 
@@ -18,6 +18,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, stored
 
-HEAD = 1 << 18
+HEAD = 1 << 19
 """Entries of the map of frequent pieces."""
 LONG = 30
 _BUCKETS = 1 << 16
@@ -68,28 +69,45 @@ def _with(tables: dict[str, DataFrame], rows: DataFrame, result: str, value) ->
     return held.select(*[c for c in rows.columns if c != result], F.element_at(bound, 1).alias(result))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def folded(piece: Column, ranks: Column) -> Column:
-    """Ids of a piece, given as text: ranked merges over its bytes."""
-    whole = F.hex(piece.cast("binary"))
-    start = F.struct(F.regexp_extract_all(whole, F.lit(".."), F.lit(0)).alias("parts"), F.lit(True).alias("more"))
+    """Ids of a piece, given as text: ranked merges over its bytes. The ranks of neighbouring parts are kept; a merge changes two of them."""
+    none = F.array().cast("array<int>")
+
+    def rank(key: Column) -> Column:
+        return _let(key, lambda x: _look(ranks, x, _BUCKETS))
 
     def merge(acc: Column, _) -> Column:
-        parts = acc["parts"]
-        pairs = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, i: _look(ranks, F.concat(p, F.get(parts, i + 1)), _BUCKETS))
+        parts, near = acc["parts"], acc["near"]
+
+        def join(at: Column) -> Column:
+            def build(one: Column) -> Column:
+                left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), one)))).otherwise(none)
+                right = F.when(at < F.size(near), F.array(rank(F.concat(one, F.get(parts, at + 1))))).otherwise(none)
+                new = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(one), F.slice(parts, at + 2, F.size(parts)))
+                return F.struct(new.alias("parts"), F.concat(F.slice(near, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(near, at + 2, F.size(parts))).alias("near"), F.lit(True).alias("more"))
+
+            return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), build)
+
+        stop = F.struct(parts.alias("parts"), near.alias("near"), F.lit(False).alias("more"))
+        step = _let(F.array_min(near), lambda low: F.when(low.isNull(), stop).otherwise(_let(F.array_position(near, low).cast("int"), join)))
+        return F.when(acc["more"], step).otherwise(acc)
+
+    def fold(whole: Column) -> Column:
+        parts = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
 
-        def join(found: Column) -> Column:
-            at = F.array_position(found, F.array_min(found)).cast("int")
-            one = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            merged = F.concat(F.slice(parts, 1, at - 1), F.array(one), F.slice(parts, at + 2, F.size(parts)))
-            none = F.array_min(found).isNull()
-            return F.struct(F.when(none, parts).otherwise(merged).alias("parts"), F.when(none, F.lit(False)).otherwise(F.size(parts) > 2).alias("more"))
+        def run(bytes_: Column) -> Column:
+            near = F.transform(F.slice(bytes_, F.lit(1), F.size(bytes_) - 1), lambda p, i: rank(F.concat(p, F.get(bytes_, i + 1))))
+            start = F.struct(bytes_.alias("parts"), near.alias("near"), F.lit(True).alias("more"))
+            return F.aggregate(F.sequence(F.lit(1), F.size(bytes_)), start, merge, lambda acc: F.transform(acc["parts"], lambda p: _look(ranks, p, _BUCKETS)))
 
-        return F.when(acc["more"] & (F.size(parts) > 1), F.element_at(F.transform(F.array(pairs), join), 1)).otherwise(acc)
+        return _let(_look(ranks, whole, _BUCKETS), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(_let(parts, run)))
 
-    steps = F.sequence(F.lit(1), F.greatest(F.length(whole) / 2, F.lit(1)).cast("int"))
-    merged = F.aggregate(steps, start, merge, lambda acc: F.transform(acc["parts"], lambda p: _look(ranks, p, _BUCKETS)))
-    known = _look(ranks, whole, _BUCKETS)
-    return F.when(known.isNotNull(), F.array(known)).otherwise(merged)
+    return _let(F.hex(piece.cast("binary")), fold)
 
 
 def merged_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -131,15 +149,41 @@ def _long_pieces(ranks: dict[bytes, int]):
     return run
 
 
+def _decoded(ranks: dict[bytes, int], column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        pieces = [b""] * len(size)
+        for piece, i in ranks.items():
+            size[i], pieces[i] = len(piece), piece
+        pool = np.frombuffer(b"".join(pieces), np.uint8)
+        at = np.cumsum(size) - size
+        for batch in batches:
+            lists = batch.column(column)
+            for lo in range(0, batch.num_rows, 500):
+                part = lists.slice(lo, 500)
+                ids = part.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+                count = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                fine = np.where(ids < len(size), ids, 0)
+                n = np.where(ids < len(size), size[fine], 0)
+                ends = np.cumsum(n)
+                text = pool[np.repeat(at[fine] - (ends - n), n) + np.arange(n.sum())].tobytes()
+                upto, whole = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
+                raw = ids.tobytes()
+                id_bytes = [raw[4 * a : 4 * b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+                decoded = [text[a:b] for a, b in zip(whole[:-1], whole[1:], strict=True)]
+                some = batch.slice(lo, len(count))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(id_bytes, pa.binary()), pa.array(decoded, pa.binary())], names=[*some.schema.names, "id_bytes", "decoded"])
+
+    return run
+
+
 class Codec:
     """A rank file's vocabulary as tables of a session."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks, java_pattern(pattern)
-        self.vocabulary = stored(spark.createDataFrame([(k.hex().upper(), i, i.to_bytes(4, "little").hex()) for k, i in ranks.items()], "key string, value int, le string"), "vocabulary")
+        self.vocabulary = stored(spark.createDataFrame([(k.hex().upper(), i) for k, i in ranks.items()], "key string, value int"), "vocabulary")
         self.rank_maps = stored(_as_maps(self.vocabulary.select("key", "value"), _BUCKETS), "ranks")
-        by_id = spark.range(max(ranks.values(), default=-1) + 1).select(F.col("id").cast("int").alias("value")).join(self.vocabulary, "value", "left")
-        self.entries = stored(by_id.agg(F.array_sort(F.collect_list(F.struct("value", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("le", F.lit("")).alias("le")))).alias("entries")), "entries")
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -170,13 +214,9 @@ class Codec:
 
     def decode(self, rows: DataFrame, ids: str = "ids") -> DataFrame:
         """``rows`` with ``id_bytes`` (little-endian unsigned 32-bit integers) and ``decoded``, the bytes that the ids stand for."""
-        def joined(t: Column) -> Column:
-            part = lambda name: F.unhex(F.array_join(F.transform(F.col(ids), lambda i: F.get(t["entries"], i)[name]), ""))
-            return F.struct(part("le").alias("id_bytes"), part("key").alias("decoded"))
-
-        # the explode keeps the projections apart, so that only the one above takes in the constant
-        apart = rows.select(*[c for c in rows.columns if c != ids], F.explode(F.array(ids)).alias(ids))
-        return _with({"entries": self.entries}, apart, "_d", joined).select(*rows.columns, "_d.id_bytes", "_d.decoded")
+        rows = rows.drop("id_bytes", "decoded")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", id_bytes binary, decoded binary"
+        return rows.mapInArrow(_decoded(self.ranks, ids), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
