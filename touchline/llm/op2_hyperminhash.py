@@ -9,7 +9,7 @@ The collision-corrected Jaccard estimate (six standard deviations of slack) rule
 Other pairs of a group are never all formed. A member differs from its pivot by a set of added and missing shingles, and two members differ by the
 symmetric difference of these sets. So a link that the pivot doesn't imply needs common differences, and one of them stands early
 in both ordered lists of differences (added ones first, as they are rare): joining the lists' prefixes finds these candidates. Members far from the pivot can't be linked
-with close ones (Jaccard distance is a metric); they form groups with new pivots, and what is left after ``ROUNDS`` rounds is paired. Candidates that still lie in different components
+with close ones (Jaccard distance is a metric); they form groups with new pivots, and what is left after ``ROUNDS`` rounds is paired where two members share another band too. Candidates that still lie in different components
 pass the estimate and are compared as well.
 
 With 32 bands of four registers a pair at the threshold 0.85 is missed with probability 1e-10, at 0.8 with 1e-7.
@@ -179,10 +179,8 @@ def _compare(k: int, percent: int):
     return run
 
 
-def compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, likely) with ``linked``, whether b is near a, whether its differences are listed, the size of b's set, by how many shingles the sets differ, and the first of these."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, near boolean, listed boolean, n long, apart long, first array<long>")
 
@@ -233,25 +231,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = bands.join(sizes, "band")
     central = shared.groupBy("id").agg(F.sum("members").alias("central"))
     members = stored(shared.select("band", "id").join(central, "id"), "members")
+    # the texts of all classes that share a band, selected once; a merge join at any size, so that its cost is in proportion
+    companions = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = stored(docs.select("doc_id", "text").join(companions.hint("merge"), "doc_id", "left_semi"), "texts")
     measured = None
     for number in range(ROUNDS):
         pivots = stored(members.groupBy("band").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p"), F.count("*").alias("members")).where("members > 1").select("band", (-F.col("p.id")).alias("a")), "pivots")
         groups = stored(members.join(pivots, "band").where("id <> a"), "groups")
         star = groups.select("a", F.col("id").alias("b")).distinct()
-        found = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), docs, k, percent), "measured")
+        found = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), texts, k, percent), "measured")
         measured = found if measured is None else measured.unionByName(found)
         far = found.where(~F.col("near")).select("a", F.col("b").alias("id"))
         members = stored(groups.join(far, ["a", "id"]).select("band", "id", "central"), "members")
         if not members.groupBy("band").count().where("count > 1").limit(1).count():
             break
-    x, y = members.select("band", F.col("id").alias("a")), members.select("band", F.col("id").alias("b"))
-    left_over = x.join(y, "band").where("a < b").select("a", "b")
+    # linked classes share many bands, so members that are still open are paired where they share another one
+    wide = stored(members.select("band", "id").join(bands.withColumnRenamed("band", "other"), "id").where("other <> band"), "open-bands")
+    x, y = wide.select("band", "other", F.col("id").alias("a")), wide.select("band", "other", F.col("id").alias("b"))
+    left_over = x.join(y, ["band", "other"]).where("a < b").select("a", "b")
     links = measured.where("linked").select("a", "b")
     rooted = components(links)
     rest = stored(other_candidates(measured, rooted, percent).union(left_over).distinct(), "other-pairs")
     likely = stored(estimated(rest, classes, percent).where("likely"), "other-likely")
     if likely.limit(1).count():
-        more = stored(compared(likely, docs, k, percent).where("linked").select("a", "b"), "more-links")
+        more = stored(compared(likely, texts, k, percent).where("linked").select("a", "b"), "more-links")
         if more.limit(1).count():
             rooted = components(links.union(more))
     labelled = classes.select("k1", "k2", F.col("n").alias("n_shingles"), "id").join(rooted, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "id").alias("root"))
