@@ -18,15 +18,15 @@ from touchline.llm.op8_byte_bpe import Codec, read_ranks
 from touchline.llm.op9_language_id import identify, prototypes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.2
-"""A text whose cosine with every language is lower belongs to none of them."""
+LEAST_SCORE = 0.0
+"""A text whose cosine with every language is not above this belongs to none of them; short texts score low, so it isn't higher."""
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters, and those unlike any learned language, go; a missing lang is filled in."""
     profiles = prototypes(docs.where(F.coalesce(crc_fold("doc_id", 5) != 0, F.lit(True))))
     judged = identify(docs.select(*COLUMNS), profiles)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
