@@ -169,7 +169,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if len(keys) > 1:
         told_apart = told_apart.dropDuplicates(keys)
     all_blocks = blocks(told_apart, keys, window)
-    twice = all_blocks.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # stored, so that both sides of the join are plain shuffles, whose hot partitions can be split
+    twice = stored(all_blocks.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
     found = stored(all_blocks.join(twice, "a", "left_semi"), "blocks")
     reference = stored(found.groupBy("a", "s").agg(F.min(F.struct(*keys, "lo", "hi")).alias("f")).select("a", "s", "f.*"), "references")
     differ = reference.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
