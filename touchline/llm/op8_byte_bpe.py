@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, stored
 
-HEAD = 1 << 19
+HEAD = 1 << 18
 """Entries of the map of frequent pieces."""
 LONG = 30
 _BUCKETS = 1 << 16
