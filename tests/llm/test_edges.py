@@ -164,6 +164,34 @@ def test_leaks(spark):
     assert op7.leaks(documents(spark, texts), benchmark.where("false")).count() == 0
 
 
+def test_leaks_of_many_copies_edited_on_their_own(spark):
+    rng = random.Random(12)
+    item = [f"v{i}" for i in range(60)]
+    copies = [[w if rng.random() < 0.8 else f"e{rng.randint(0, 10**6)}" for w in item] for _ in range(400)]
+    texts = [" ".join([f"z{rng.randint(0, 10**4)}" for _ in range(30)] + c + [f"y{rng.randint(0, 10**4)}" for _ in range(30)]) for c in copies]
+    texts += [" ".join(f"z{rng.randint(0, 10**4)}" for _ in range(90)), " ".join(item[:9]) + " z"]
+    numbers = {w: n for n, w in enumerate({w for t in [*texts, " ".join(item)] for w in t.split()}, 2)}
+    hashed = [np.array([numbers[w] for w in t.split()], np.uint64) for t in texts]
+    scores = op7.alignment_scores([np.array([numbers[w] for w in item], np.uint64)] * len(texts), hashed)
+    want = {(d, 7): int(s) for d, s in enumerate(scores) if s >= 60}
+    assert 390 < len(want) <= 400
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in op7.leaks(documents(spark, texts), benchmark).collect()} == want
+
+
+def test_places_in_turns_are_all_places():
+    rng = random.Random(13)
+    items = op7.items_of(list(range(30)), [prose(rng, 40, 3) for _ in range(30)])
+    at = np.arange(200)
+    which, doc = np.array([rng.randrange(len(items.seeds)) for _ in at]), np.sort(np.array([rng.randrange(6) for _ in at]))
+    turns = {most: [np.stack(t) for t in items.places(at, which, doc, most)] for most in (10**9, 500, 1)}
+    assert len(turns[10**9]) == 1 and 1 < len(turns[500]) < len(turns[1]) and max(t.shape[1] for t in turns[500]) <= 500
+    for parts in turns.values():
+        assert sorted(map(tuple, np.concatenate(parts, axis=1).T.tolist())) == sorted(map(tuple, turns[10**9][0].T.tolist()))
+        pairs = [set(zip(doc[t[0]].tolist(), items.item[t[2]].tolist(), strict=True)) for t in parts]
+        assert sum(map(len, pairs)) == len(set().union(*pairs))
+
+
 def test_alignment_against_plain_program():
     rng = np.random.default_rng(4)
     for _ in range(30):

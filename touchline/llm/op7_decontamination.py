@@ -2,11 +2,13 @@
 
 Texts are lower-cased; words are runs of letters and digits. Every 3-gram of a test item is a seed. How common a seed is is counted over
 all documents, by the different pairs of neighbouring words it occurs between, so that copies of one passage count once. Seeds up to
-``RARE`` per word of the corpus (``LEAST`` at least) are rare; an item always keeps its three rarest. Where two rare seeds of an item (one, if it has no more)
+``RARE`` per word of the corpus (``LEAST`` at least) are rare; an item's three rarest always are. Where two seeds of an item (one, if it has no more)
 lie near one diagonal of a document, the item is aligned with the words around it: +2 for equal words, -1 for different ones and for gaps.
-The score as a share of the item's best possible score decides.
+The score as a share of the item's best possible score decides. Rarity drops nothing, since many copies of an item that are each edited on their own make all its seeds
+common: where common seeds are needed to make two, the words there must first hold as many of the item's words as the least score needs, which every leak does.
 
 Items are taken in blocks of ``BLOCK_WORDS`` words, each with its own pass over the documents, so that what a task holds of the benchmark is bounded.
+So are the places that the seeds of a run of texts point to: more than ``PLACES`` are taken in turns, by documents and then by items.
 
 Edge cases: null or empty texts match nothing; an item of fewer than three words is not searched for; null item ids are reported as null, and so are null document ids;
 repeated items and documents are each reported by id, once, with the best score; empty tables give no rows; other columns are ignored.
@@ -32,6 +34,7 @@ SHARE = 0.5
 SLACK = 8
 """Words by which a diagonal may drift, and by which the aligned part reaches further on either side."""
 BLOCK_WORDS = 500_000
+PLACES = 1_000_000
 BITS = 20
 
 
@@ -55,6 +58,7 @@ class Items:
     place: np.ndarray
     need: np.ndarray
     table: np.ndarray
+    rare: np.ndarray  # by seed
 
     def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in g that hold a seed, and which."""
@@ -63,9 +67,31 @@ class Items:
         same = self.seeds[np.minimum(where, len(self.seeds) - 1)] == g[at] if len(self.seeds) else np.zeros(0, bool)
         return at[same], where[same]
 
-
-def items_of(ids: list, texts: list[str], kept: np.ndarray | None = None) -> Items:
-    """``kept``: the seeds to use, all if None."""
+    def places(self, at: np.ndarray, which: np.ndarray, doc: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, seed, place) for every place of the seeds found, at most ``most`` in a turn unless one item and document has more; a turn has whole pairs of them."""
+        n = len(self.ids)
+        key = np.repeat(np.arange(len(self.seeds)), np.diff(self.first)) * n + self.item  # sorted
+        turns = [(0, len(at), 0, n)]
+        while turns:
+            lo, hi, i, j = turns.pop()
+            begin, end = (np.searchsorted(key, which[lo:hi] * n + x) for x in (i, j))
+            many = end - begin
+            total = int(many.sum())
+            if not total:
+                continue
+            first, last = doc[lo], doc[hi - 1]
+            if total > most and first < last:
+                mid = lo + int(np.searchsorted(doc[lo:hi], (first + last + 1) // 2))
+                turns += [(mid, hi, i, j), (lo, mid, i, j)]
+            elif total > most and j - i > 1:
+                turns += [(lo, hi, (i + j) // 2, j), (lo, hi, i, (i + j) // 2)]
+            else:
+                use = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(total)
+                yield np.repeat(at[lo:hi], many), np.repeat(which[lo:hi], many), use
+
+
+def items_of(ids: list, texts: list[str]) -> Items:
+    """All seeds count as rare at first."""
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets, bare=True)
@@ -75,16 +101,13 @@ def items_of(ids: list, texts: list[str], kept: np.ndarray | None = None) -> Ite
     seed = np.concatenate([np.zeros(0, np.uint64), *per])
     item = np.repeat(np.arange(len(per)), [len(g) for g in per])
     place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in per]])
-    if kept is not None:
-        use = np.isin(seed, kept)
-        seed, item, place = seed[use], item[use], place[use]
     order = np.argsort(seed, kind="stable")
     seed, item, place = seed[order], item[order], place[order]
     seeds, first = np.unique(seed, return_index=True)
     table = np.zeros(1 << BITS, bool)
     table[(seeds >> np.uint64(64 - BITS)).astype(np.int64)] = True
     need = np.minimum(np.bincount(item, minlength=len(per)), 2)
-    return Items(ids, lists, seeds, np.append(first, len(seed)), item, place, need, table)
+    return Items(ids, lists, seeds, np.append(first, len(seed)), item, place, need, table, np.ones(len(seeds), bool))
 
 
 def _count(items: Items):
@@ -110,7 +133,7 @@ def _count(items: Items):
 
 
 def rare_seeds(docs: DataFrame, items: Items) -> np.ndarray:
-    """The rare seeds of a block of items; a number per seed comes to the driver."""
+    """Which seeds of a block of items are rare; a number per seed comes to the driver."""
     rows = (
         docs.select(F.lower("text").alias("folded")).mapInArrow(_count(items), "seed long, context long, words long")
         .groupBy("seed", "context").agg(F.sum("words").alias("words"))
@@ -128,7 +151,7 @@ def rare_seeds(docs: DataFrame, items: Items) -> np.ndarray:
     for i in range(len(items.ids)):
         mine = of_place[items.item == i]
         rare[mine[np.argsort(contexts[mine], kind="stable")[:3]]] = True
-    return items.seeds[rare]
+    return rare
 
 
 def alignment_scores(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
@@ -163,47 +186,48 @@ def _align(items: Items, share: float, keys: list[str]):
                 at, which = at[inside], which[inside]
                 if not len(at):
                     continue
-                n = (items.first[which + 1] - items.first[which]).astype(np.int64)
-                use = np.repeat(items.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                item, place, at = items.item[use], items.place[use], np.repeat(at, n)
-                owner, diagonal = doc[at], at - place
-                order = np.lexsort((place, diagonal, item, owner))
-                owner, item, diagonal, place = owner[order], item[order], diagonal[order], place[order]
-                new = np.ones(len(owner), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > SLACK)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(owner))
-                group = np.cumsum(new) - 1
-                spread = np.bincount(np.unique(group * (1 << 32) + place) >> 32, minlength=len(first))
-                chosen = np.flatnonzero(spread >= items.need[item[first]])
-                found: dict[tuple[int, int], tuple[int, int]] = {}
-                bounds = []
-                for c in chosen:
-                    i, d = int(item[first[c]]), int(owner[first[c]])
-                    begin = max(int(diagonal[first[c]]) - SLACK, int(words.first[d]))
-                    end = min(int(diagonal[last[c] - 1]) + len(items.words[i]) + SLACK, int(words.first[d + 1]))
-                    bounds.append((end - begin, d, i, begin, end))
-                bounds.sort()
-                while bounds:
-                    many = max(1, min(64, len(bounds), 200_000 // max(bounds[-1][0], 1)))  # bounded matrices, widest first
-                    some, bounds = bounds[-many:], bounds[:-many]
-                    scores = alignment_scores([items.words[x[2]] for x in some], [h[x[3] : x[4]] for x in some])
-                    for (_, d, i, begin, _), score in zip(some, scores, strict=True):
-                        if score >= share * 2 * len(items.words[i]):
-                            found[d, i] = max(found.get((d, i), (0, 0)), (int(score), int(words.first[d]) - begin))
-                if found:
-                    pairs = sorted(found)
-                    rows = pa.array([lo + d for d, _ in pairs])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *[batch.column(k).take(rows) for k in keys],
-                            pa.array([items.ids[i] for _, i in pairs], pa.int64()),
-                            pa.array([found[p][0] for p in pairs], pa.int64()),
-                            pa.array([found[p][0] / (2 * len(items.words[p[1]])) for p in pairs], pa.float64()),
-                            pa.array([-found[p][1] for p in pairs], pa.int64()),
-                        ],
-                        names=[*keys, "item_id", "score", "share", "near_word"],
-                    )
+                for at_place, of_seed, use in items.places(at, which, doc[at], PLACES):
+                    item, place = items.item[use], items.place[use]
+                    owner, diagonal = doc[at_place], at_place - place
+                    order = np.lexsort((place, diagonal, item, owner))
+                    owner, item, diagonal, place, rare = owner[order], item[order], diagonal[order], place[order], items.rare[of_seed[order]]
+                    new = np.ones(len(owner), bool)
+                    new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > SLACK)
+                    first = np.flatnonzero(new)
+                    last = np.append(first[1:], len(owner))
+                    seen = (np.cumsum(new) - 1) * (1 << 32) + place
+                    spread, of_rare = (np.bincount(np.unique(x) >> 32, minlength=len(first)) for x in (seen, seen[rare]))
+                    need = items.need[item[first]]
+                    found: dict[tuple[int, int], tuple[int, int]] = {}
+                    bounds = []
+                    for c in np.flatnonzero(spread >= need):
+                        i, d = int(item[first[c]]), int(owner[first[c]])
+                        begin = max(int(diagonal[first[c]]) - SLACK, int(words.first[d]))
+                        end = min(int(diagonal[last[c] - 1]) + len(items.words[i]) + SLACK, int(words.first[d + 1]))
+                        if of_rare[c] < need[c] and 2 * np.isin(items.words[i], h[begin:end]).sum() < share * 2 * len(items.words[i]):
+                            continue  # even if all these words were aligned
+                        bounds.append((end - begin, d, i, begin, end))
+                    bounds.sort()
+                    while bounds:
+                        many = max(1, min(64, len(bounds), 200_000 // max(bounds[-1][0], 1)))  # bounded matrices, widest first
+                        some, bounds = bounds[-many:], bounds[:-many]
+                        scores = alignment_scores([items.words[x[2]] for x in some], [h[x[3] : x[4]] for x in some])
+                        for (_, d, i, begin, _), score in zip(some, scores, strict=True):
+                            if score >= share * 2 * len(items.words[i]):
+                                found[d, i] = max(found.get((d, i), (0, 0)), (int(score), int(words.first[d]) - begin))
+                    if found:
+                        pairs = sorted(found)
+                        rows = pa.array([lo + d for d, _ in pairs])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *[batch.column(k).take(rows) for k in keys],
+                                pa.array([items.ids[i] for _, i in pairs], pa.int64()),
+                                pa.array([found[p][0] for p in pairs], pa.int64()),
+                                pa.array([found[p][0] / (2 * len(items.words[p[1]])) for p in pairs], pa.float64()),
+                                pa.array([-found[p][1] for p in pairs], pa.int64()),
+                            ],
+                            names=[*keys, "item_id", "score", "share", "near_word"],
+                        )
 
     return run
 
@@ -221,7 +245,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, keys: tup
         items = items_of([r.item_id for r in rows], [r.text for r in rows])
         if not len(items.seeds):
             continue
-        items = items_of(items.ids, [r.text for r in rows], rare_seeds(docs, items))
+        items.rare = rare_seeds(docs, items)
         part = docs.select(*keys, F.lower("text").alias("folded")).mapInArrow(_align(items, share, keys), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
