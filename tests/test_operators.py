@@ -72,3 +72,19 @@ def test_kmeans_finds_two_groups(spark):
     rows = spark.createDataFrame([(i, [float(i % 2) * 10, float(i) / 100]) for i in range(20)], "id int, v array<double>")
     got = {r.id: r.cluster for r in L.kmeans(rows, "id", "v").collect()}
     assert all(got[i] == i % 2 for i in range(20))
+
+
+def test_every_player_has_ranked_similar_players(spark):
+    from tests.conftest import SF_DIR
+    from touchline.plans import registry, vectors
+
+    players = {r.player_id: r.position_group for r in vectors.style_vectors(spark, SF_DIR).select("player_id", "position_group").collect()}
+    found = {}
+    for r in sorted(registry.queries()["similar_players_ranked"](spark, SF_DIR).collect(), key=lambda r: (r.left_id, r.rank)):
+        assert r.left_id != r.right_id and players[r.left_id] == players[r.right_id]
+        found.setdefault(r.left_id, []).append(r)
+    groups = list(players.values())
+    assert {p: min(10, groups.count(g) - 1) for p, g in players.items() if groups.count(g) > 1} == {p: len(rows) for p, rows in found.items()}
+    for rows in found.values():
+        assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
+        assert [r.similarity for r in rows] == sorted((r.similarity for r in rows), reverse=True)

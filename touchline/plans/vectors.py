@@ -71,6 +71,23 @@ def similar_players(spark, sf_dir):
     return pairs.join(F.broadcast(half), "grp").select("left_id", "right_id", F.round(T.similarity_index(F.col("distance"), F.col("d50")), 4).alias("similarity"))  # a row per group
 
 
+@query(
+    "similar_players_ranked",
+    _pairs_sql(_RMS) + ", m as (select grp, median(distance) as d50 from d where distance > 0 and left_id < right_id group by 1), r as (select *, row_number() over (partition by left_id order by round(distance, 9), right_id)::integer as rank from d) "
+    "select r.left_id, r.right_id, rank, round(distance, 6) as distance, round(case when distance = 0 then 100 else 100*exp(-ln(2)*distance/d50) end, 4) as similarity from r left join m on r.grp = m.grp where rank <= 10",
+)
+def similar_players_ranked(spark, sf_dir):
+    """The ten most similar players of every player."""
+    from pyspark.sql import Window
+
+    s = style_vectors(spark, sf_dir)
+    order = Window.partitionBy("left_id").orderBy(F.round("distance", 9).asc_nulls_last(), "right_id")
+    ranked = V.pairs(s, "player_id", "position_group", "v").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    half = V.d50(s, "player_id", "position_group", "v").select("grp", "d50")
+    index = F.when(F.col("distance") == 0, 100.0).otherwise(T.similarity_index(F.col("distance"), F.col("d50")))
+    return ranked.join(F.broadcast(half), "grp", "left").select("left_id", "right_id", "rank", F.round("distance", 6).alias("distance"), F.round(index, 4).alias("similarity"))  # a row per group
+
+
 _NAMES = "[" + ", ".join(f"'{f}'" for f in P.STYLE) + "]"
 
 
