@@ -38,8 +38,20 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates stays (five words, similarity 0.8)."""
-    return _without(docs, near_duplicates(docs).where(~F.col("kept")))
+    """One document of each group of near-duplicates stays (five words, similarity 0.8): that of smallest id, null ids last. Texts without words stay.
+
+    Rows are compared by a key of id and text, after rows equal in both have become one; so rows with a null or repeated id take part.
+    """
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    repeated = stored(rows.where(worded).groupBy("key").count().where("count > 1").select("key"), "repeated-rows")
+    if repeated.limit(1).count():
+        one = rows.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("m")).select("m.*", "key")
+        rows = stored(rows.join(repeated, "key", "left_anti").select(*COLUMNS, "key").unionByName(one), "distinct-rows")
+    groups = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id")
+    judged = stored(groups.join(rows.where(worded).select("key", "doc_id"), "key"), "judged-rows")
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select("m.key")
+    return rows.join(judged.join(first, "key", "left_anti").select("key"), "key", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

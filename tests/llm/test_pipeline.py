@@ -30,5 +30,20 @@ def test_stages(spark):
     assert coded.count() == hidden.count() and coded.where("not round_trip").count() == 0
 
 
+def test_near_dedup_leaves_one_row_of_a_group(spark):
+    words = {c: [f"{c}{i}" for i in range(60)] for c in "abcde"}
+    near = {c: " ".join([*w[:-1], "x"]) for c, w in words.items()}
+    text = {c: " ".join(w) for c, w in words.items()}
+    rows = [(1, text["a"]), (1, text["a"]), (2, near["a"]), (3, text["b"]), (3, near["b"]), (None, text["c"]), (None, text["c"]), (None, near["c"]), (None, text["d"]), (9, near["d"]), (4, text["e"])]
+    wordless = [(5, None), (5, None), (None, None), (None, ""), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", 0) for n, (i, t) in enumerate(rows + wordless)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.near_dedup(spark, docs, SF_DIR)
+    assert kept.columns == P.COLUMNS
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    left = [(i, t) for i, t in found if t and t.strip()]
+    assert sorted(t[0] for _, t in left) == ["a", "b", "c", "d", "e"] and {t[0]: i for i, t in left} == {"a": 1, "b": 3, "c": None, "d": 9, "e": 4}
+    assert set(left) <= set(rows) and sorted(map(repr, set(found) - set(left))) == sorted(map(repr, set(wordless))) and len(found) == 10
+
+
 def test_run(spark):
     assert P.run(spark, SF_DIR.replace("sf0.01", "sf0.001")).count() > 0
