@@ -1,14 +1,15 @@
 r"""Byte-level BPE by Spark's higher-order functions.
 
-The pattern splits a text into pieces. A piece of known rank is one token; otherwise its bytes (as hex strings) are merged by a fold: each step joins
-the leftmost pair of lowest rank, looked up in a rank map, until no pair has a rank. The fold runs over distinct pieces: all pieces are counted,
-and the ``HEAD`` most frequent are folded once and become a map of bounded size beside the rank map; the pieces of the long tail, seen once or a few times in all documents, are folded
-where they stand. Both maps are values of scalar subqueries, which the tasks hold as constants: arrays of small maps, addressed by a crc32 of the key.
-Decoding looks up the bytes of all ids of a batch and concatenates them.
+The pattern splits a text into pieces. A piece's bytes become the ids of single bytes, and a fold merges them: each step joins the leftmost pair of
+lowest rank, until no pair has a rank. As a rank is the id of what the pair becomes, the rank map is kept on pairs of ids: ``merged[base[left] + right]``
+is the id if ``owner`` holds ``left`` there, so that a look-up is plain arithmetic on arrays. The vocabulary and the ``HEAD`` most frequent of all distinct pieces are
+folded once and become a table of bounded size; the pieces of the long tail, most of them seen once in all documents, are folded where they stand.
+The tables are values of scalar subqueries, which the tasks hold as constants. Decoding joins the hex strings of the ids' pieces and makes them binary.
 
-Pieces of ``LONG`` characters or more would make the fold quadratic; texts that hold one take a side path where a heap merges these pieces in the same order.
+The fold is quadratic in a piece's length. Where the corpus has a piece of ``LONG`` characters or more (runs without a break), texts that hold such a one
+take a side path, in which a heap merges these pieces in the same order.
 
-Edge cases: a null text is empty and has no ids; invalid ids decode to nothing; ids may be null or repeat, rows are independent; other columns pass
+Edge cases: a null text is empty and has no ids; invalid ids decode to nothing and null ones are left out; ids may be null or repeat, rows are independent; other columns pass
 through but for those the operator adds; an empty table gives an empty one.
 """
 
@@ -21,15 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, stored
 
-HEAD = 1 << 18
-"""Entries of the map of frequent pieces."""
-LONG = 30
-_BUCKETS = 1 << 16
+HEAD = 1 << 19
+"""Entries of the table of frequent pieces, besides the vocabulary."""
+LONG = 512
+_SLOTS = (1 << 20, 1 << 19, 1 << 16)
+"""Places of the table: a piece that finds its place taken goes on to the next part."""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,20 +44,31 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def _slot(key: Column, buckets: int) -> Column:
-    return (F.crc32(key.cast("binary")) % buckets).cast("int")
-
-
-def _as_maps(pairs: DataFrame, buckets: int) -> DataFrame:
-    """One row: an array of ``buckets`` maps key -> value. As many entries as ``pairs`` has rows, which the caller bounds."""
-    held = pairs.groupBy(_slot(F.col("key"), buckets).alias("slot")).agg(F.collect_list(F.struct("key", "value")).alias("e"))
-    slots = pairs.sparkSession.range(buckets, numPartitions=1).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left")
-    rows = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("e", F.array().cast(dict(held.dtypes)["e"])).alias("e"))))
-    return slots.agg(rows.alias("rows")).select(F.transform("rows", lambda r: F.map_from_entries(r["e"])).alias("maps"))
-
-
-def _look(maps: Column, key: Column, buckets: int) -> Column:
-    return F.element_at(F.element_at(maps, _slot(key, buckets) + 1), key)
+def pair_table(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
+    """``base``, ``owner`` and ``merged``: the id of a pair (left, right) is merged[base[left] + right] where owner is left there."""
+    rights: dict[int, list[tuple[int, int]]] = {}
+    for token, i in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                rights.setdefault(left, []).append((right, i))
+    ids = max(ranks.values(), default=0) + 1
+    room = 1 << max(10, (4 * sum(map(len, rights.values()))).bit_length())
+    base, owner, merged = np.zeros(ids, np.int32), np.full(room + ids, -1, np.int32), np.zeros(room + ids, np.int32)
+    draw = np.random.default_rng(0)
+    for left, found in sorted(rights.items(), key=lambda x: (-len(x[1]), x[0])):  # the longest rows first, while there is most room
+        places, values = np.array(found, np.int64).T
+        at = int(draw.integers(room))
+        while (owner[at + places] >= 0).any():
+            at = int(draw.integers(room))
+        base[left], owner[at + places], merged[at + places] = at, left, values
+    return {"base": base, "owner": owner, "merged": merged}
+
+
+def _constants(spark: SparkSession, columns: dict, name: str) -> dict[str, DataFrame]:
+    """A stored row of arrays, each as a one-column table."""
+    row = stored(spark.createDataFrame(pa.table({k: pa.array([v]) for k, v in columns.items()})), name)
+    return {k: row.select(k) for k in columns}
 
 
 def _with(tables: dict[str, DataFrame], rows: DataFrame, result: str, value) -> DataFrame:
@@ -74,40 +87,77 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
-def folded(piece: Column, ranks: Column) -> Column:
-    """Ids of a piece, given as text: ranked merges over its bytes. The ranks of neighbouring parts are kept; a merge changes two of them."""
-    none = F.array().cast("array<int>")
+_NONE = 1 << 62
+"""Added to an id whose pair with the next one has no rank."""
+
+
+def folded(piece: Column, t: Column) -> Column:
+    """Ids of a piece: ranked merges over its bytes. Each element holds an id and, above its lowest 20 bits, the id that it would become with the next one,
+    so the least element is the next merge; a merge changes two elements and takes one away."""
+    none = F.array().cast("array<long>")
+
+    def number(x: Column) -> Column:
+        return x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+
+    def element(left: Column, right: Column) -> Column:
+        place = F.get(t["base"], left) + right
+        return F.when(F.get(t["owner"], place) == left, F.shiftleft(F.get(t["merged"], place).cast("long"), 20) + left).otherwise(F.lit(_NONE) + left)
 
-    def rank(key: Column) -> Column:
-        return _let(key, lambda x: _look(ranks, x, _BUCKETS))
+    def merge(parts: Column, _) -> Column:
+        def at_lowest(low: Column) -> Column:
+            new = F.shiftright(low, 20).cast("int")
 
-    def merge(acc: Column, _) -> Column:
-        parts, near = acc["parts"], acc["near"]
+            def join(at: Column) -> Column:
+                before = F.when(at > 1, F.array(element(number(F.get(parts, at - 2)), new))).otherwise(none)
+                here = F.when(at + 1 < F.size(parts), element(new, number(F.get(parts, at + 1)))).otherwise(F.lit(_NONE) + new)
+                return F.flatten(F.array(F.slice(parts, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(parts, at + 2, F.size(parts))))
 
-        def join(at: Column) -> Column:
-            def build(one: Column) -> Column:
-                left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), one)))).otherwise(none)
-                right = F.when(at < F.size(near), F.array(rank(F.concat(one, F.get(parts, at + 1))))).otherwise(none)
-                new = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(one), F.slice(parts, at + 2, F.size(parts)))
-                return F.struct(new.alias("parts"), F.concat(F.slice(near, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(near, at + 2, F.size(parts))).alias("near"), F.lit(True).alias("more"))
+            return F.when(low < _NONE, _let(F.array_position(parts, low).cast("int"), join)).otherwise(parts)
 
-            return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), build)
+        return _let(F.array_min(parts), at_lowest)
 
-        stop = F.struct(parts.alias("parts"), near.alias("near"), F.lit(False).alias("more"))
-        step = _let(F.array_min(near), lambda low: F.when(low.isNull(), stop).otherwise(_let(F.array_position(near, low).cast("int"), join)))
-        return F.when(acc["more"], step).otherwise(acc)
+    def run(ids: Column) -> Column:
+        start = F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), element(x, F.get(ids, i + 1))).otherwise(F.lit(_NONE) + x))
+        return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, merge), number)
 
-    def fold(whole: Column) -> Column:
-        parts = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
+    def fold(bytes_: Column) -> Column:  # a character for each byte
+        return _let(F.transform(F.sequence(F.lit(1), F.length(bytes_)), lambda i: F.get(t["bytes"], F.ascii(F.substring(bytes_, i, F.lit(1))))), run)
 
-        def run(bytes_: Column) -> Column:
-            near = F.transform(F.slice(bytes_, F.lit(1), F.size(bytes_) - 1), lambda p, i: rank(F.concat(p, F.get(bytes_, i + 1))))
-            start = F.struct(bytes_.alias("parts"), near.alias("near"), F.lit(True).alias("more"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(bytes_)), start, merge, lambda acc: F.transform(acc["parts"], lambda p: _look(ranks, p, _BUCKETS)))
+    return _let(F.decode(piece.cast("binary"), "ISO-8859-1"), fold)
 
-        return _let(_look(ranks, whole, _BUCKETS), lambda known: F.when(known.isNotNull(), F.array(known)).otherwise(_let(parts, run)))
 
-    return _let(F.hex(piece.cast("binary")), fold)
+def _place(hashed: Column, part: int) -> Column:
+    """A piece's place in a part of the table, by some bits of its hash."""
+    place = F.shiftright(hashed, 21 * part).bitwiseAND(F.lit(_SLOTS[part] - 1))
+    return (place + sum(_SLOTS[:part])).cast("int") if part else place.cast("int")
+
+
+def known_pieces(pairs: DataFrame) -> DataFrame:
+    """One row of two arrays, ``keys`` and ``values``, in which a piece has one of three places. As many entries as ``pairs`` (key, value) has rows, which the caller
+    bounds; the few pieces that find all their places taken are left out, and folded where they stand."""
+    rest, placed = pairs, []
+    for part in range(len(_SLOTS)):
+        ranked = rest.select("key", "value", _place(F.xxhash64("key"), part).alias("slot"))
+        ranked = stored(ranked.withColumn("r", F.row_number().over(Window.partitionBy("slot").orderBy("key"))), "placed")
+        placed.append(ranked.where("r = 1").select("slot", "key", "value"))
+        rest = ranked.where("r > 1")
+    taken = placed[0].unionByName(placed[1]).unionByName(placed[2])
+    slots = pairs.sparkSession.range(sum(_SLOTS)).select(F.col("id").cast("int").alias("slot")).join(taken, "slot", "left")
+    rows = F.array_sort(F.collect_list(F.struct("slot", "key", "value")))
+    return slots.agg(rows.alias("r")).select(F.transform("r", lambda r: r["key"]).alias("keys"), F.transform("r", lambda r: r["value"]).alias("values"))
+
+
+def ids_of(pieces: Column, t: Column, other) -> Column:
+    """The ids of all pieces, from the table or by ``other(piece)``."""
+
+    def known(piece: Column, hashed: Column) -> Column:
+        found = F
+        for part in range(len(_SLOTS)):
+            place = _place(hashed, part)
+            found = found.when(F.get(t["keys"], place) == piece, F.get(t["values"], place))
+        return found.otherwise(other(piece))
+
+    return _let(pieces, lambda p: F.flatten(F.zip_with(p, F.transform(p, lambda x: F.xxhash64(x)), known)))
 
 
 def merged_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -149,74 +199,77 @@ def _long_pieces(ranks: dict[bytes, int]):
     return run
 
 
-def _decoded(ranks: dict[bytes, int], column: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
-        pieces = [b""] * len(size)
-        for piece, i in ranks.items():
-            size[i], pieces[i] = len(piece), piece
-        pool = np.frombuffer(b"".join(pieces), np.uint8)
-        at = np.cumsum(size) - size
-        for batch in batches:
-            lists = batch.column(column)
-            for lo in range(0, batch.num_rows, 500):
-                part = lists.slice(lo, 500)
-                ids = part.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-                count = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                fine = np.where(ids < len(size), ids, 0)
-                n = np.where(ids < len(size), size[fine], 0)
-                ends = np.cumsum(n)
-                text = pool[np.repeat(at[fine] - (ends - n), n) + np.arange(n.sum())].tobytes()
-                upto, whole = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
-                raw = ids.tobytes()
-                id_bytes = [raw[4 * a : 4 * b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
-                decoded = [text[a:b] for a, b in zip(whole[:-1], whole[1:], strict=True)]
-                some = batch.slice(lo, len(count))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(id_bytes, pa.binary()), pa.array(decoded, pa.binary())], names=[*some.schema.names, "id_bytes", "decoded"])
-
-    return run
-
-
 class Codec:
     """A rank file's vocabulary as tables of a session."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks, java_pattern(pattern)
-        self.vocabulary = stored(spark.createDataFrame([(k.hex().upper(), i) for k, i in ranks.items()], "key string, value int"), "vocabulary")
-        self.rank_maps = stored(_as_maps(self.vocabulary.select("key", "value"), _BUCKETS), "ranks")
+        if not all(bytes([b]) in ranks for b in range(256)):
+            raise ValueError("a byte-level vocabulary has all 256 bytes")
+        single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.merges = _constants(spark, {"bytes": single, **pair_table(ranks)}, "merges")
+        pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        for piece, i in ranks.items():
+            pieces[i] = piece.hex()
+        coded = [{"number": i.to_bytes(4, "little").hex(), "piece": p} for i, p in enumerate(pieces)]
+        self.pieces_of = _constants(spark, {"coded": coded}, "pieces")
+        whole = []
+        for piece, i in ranks.items():
+            try:
+                whole.append((piece.decode(), [i]))
+            except UnicodeDecodeError:
+                continue  # not a piece of any text
+        self.vocabulary = stored(spark.createDataFrame(whole, "key string, value array<int>"), "vocabulary")
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def head(self, docs: DataFrame) -> DataFrame:
-        """The ids of the most frequent pieces, as maps."""
-        counted = docs.select(F.explode(self.pieces(F.col("text"))).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.length("key") < LONG)
+    def head(self, docs: DataFrame) -> tuple[dict[str, DataFrame], int]:
+        """The ids of the vocabulary and of the most frequent pieces, and the length of the longest piece."""
+        seen = Observation()
+        each = docs.select(F.explode(self.pieces(F.col("text"))).alias("key")).observe(seen, F.max(F.length("key")).alias("longest"))
+        counted = each.groupBy("key").agg(F.count("*").alias("n")).where(F.length("key") < LONG)
         top = stored(counted.orderBy(F.desc("n"), "key").limit(HEAD).select("key"), "frequent")
-        ids = _with({"ranks": self.rank_maps}, top.repartition(64), "value", lambda t: folded(F.col("key"), t["ranks"]))
-        return stored(_as_maps(stored(ids, "head"), HEAD), "head-maps")
+        new = top.join(self.vocabulary, "key", "left_anti").repartition(64)
+        ids = stored(_with(self.merges, new, "value", lambda t: folded(F.col("key"), t)).unionByName(self.vocabulary), "head")
+        table = stored(known_pieces(ids), "head-table")
+        return {k: table.select(k) for k in ("keys", "values")}, seen.get["longest"] or 0
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """All columns of ``docs`` with ``ids``."""
         docs = docs.drop("ids", "pieces", "long")
-        head = self.head(docs)
-        long_run = F.coalesce(F.rlike("text", F.lit(rf"(?U)\S{{{LONG - 1},}}|\s{{{LONG - 1},}}")), F.lit(False))
-        kind = "map<string,array<int>>"
-        usual = docs.where(~long_run).select("*", self.pieces(F.col("text")).alias("pieces"), F.lit(None).cast(kind).alias("long"))
-        rare = docs.where(long_run).select("*", self.pieces(F.col("text")).alias("pieces"))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rare.schema) + f", long {kind}"
-        tables = {"ranks": self.rank_maps, "head": head}
+        known, longest = self.head(docs)
+        tables = known | self.merges
+        pieces = self.pieces(F.col("text")).alias("pieces")
 
         def ids(t: Column) -> Column:
-            return F.flatten(F.transform("pieces", lambda p: F.coalesce(_look(t["head"], p, HEAD), F.element_at("long", p), folded(p, t["ranks"]))))
+            return ids_of(F.col("pieces"), t, lambda p: folded(p, t))
 
-        done = [_with(tables, part, "ids", ids).select(*docs.columns, "ids") for part in (usual, rare.mapInArrow(_long_pieces(self.ranks), schema))]
+        def ids_with_long(t: Column) -> Column:
+            return ids_of(F.col("pieces"), t, lambda p: F.when(F.length(p) >= LONG, F.element_at("long", p)).otherwise(folded(p, t)))
+
+        if longest < LONG:
+            return _with(tables, docs.select("*", pieces), "ids", ids).select(*docs.columns, "ids")
+        long_run = F.coalesce(F.rlike("text", F.lit(rf"(?U)\S{{{LONG - 1},}}|\s{{{LONG - 1},}}")), F.lit(False))
+        usual, rare = docs.where(~long_run).select("*", pieces), docs.where(long_run).select("*", pieces)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rare.schema) + ", long map<string,array<int>>"
+        rare = rare.mapInArrow(_long_pieces(self.ranks), schema)
+        done = [_with(tables, part, "ids", value).select(*docs.columns, "ids") for part, value in ((usual, ids), (rare, ids_with_long))]
         return done[0].unionByName(done[1])
 
     def decode(self, rows: DataFrame, ids: str = "ids") -> DataFrame:
         """``rows`` with ``id_bytes`` (little-endian unsigned 32-bit integers) and ``decoded``, the bytes that the ids stand for."""
-        rows = rows.drop("id_bytes", "decoded")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", id_bytes binary, decoded binary"
-        return rows.mapInArrow(_decoded(self.ranks, ids), schema)
+        rows = rows.drop("id_bytes", "decoded", "_coded")
+
+        def number(i: Column) -> Column:  # of an id beyond the vocabulary
+            digits = F.lpad(F.hex(i), 8, "0")
+            return F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)])
+
+        def both(t: Column) -> Column:
+            known = F.transform(ids, lambda i: F.coalesce(F.get(t["coded"], i), F.when(i.isNotNull(), F.struct(number(i).alias("number"), F.lit("").alias("piece")))))
+            return _let(known, lambda c: F.struct(F.unhex(F.array_join(c["number"], "")).alias("id_bytes"), F.unhex(F.array_join(c["piece"], "")).alias("decoded")))
+
+        return _with(self.pieces_of, rows, "_coded", both).select(*rows.columns, "_coded.id_bytes", "_coded.decoded")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
