@@ -233,7 +233,7 @@ class Codec:
         new = top.join(self.vocabulary, "key", "left_anti").repartition(64)
         ids = stored(_with(self.merges, new, "value", lambda t: folded(F.col("key"), t)).unionByName(self.vocabulary), "head")
         table = stored(known_pieces(ids), "head-table")
-        return {k: table.select(k) for k in ("keys", "values")}, seen.get["longest"] or 0
+        return {k: table.select(k) for k in ("keys", "values")}, 0 if docs.isEmpty() else seen.get["longest"] or 0
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """All columns of ``docs`` with ``ids``."""
