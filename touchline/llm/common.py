@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 500_000
 """Text handled at once inside a task; a longer text is a chunk of its own."""
 
 
@@ -41,10 +41,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Words inside a task -------------------------------------------------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
 _TABLES: dict[int, np.ndarray] = {}
+_NEAR = 64
+"""Bytes of a word whose values come from a table."""
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,28 +57,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 21)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _byte_table(seed: int) -> np.ndarray:
+    """A random number for each place in a word, up to ``_NEAR``, and byte there."""
+    if seed not in _TABLES:
+        _TABLES[seed] = _byte_values(np.arange(_NEAR * 256, dtype=np.uint64), seed)
+    return _TABLES[seed]
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for many ranges at once, from one running sum."""
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def _byte_values(place_and_byte: np.ndarray, seed: int) -> np.ndarray:
+    return mixed(mixed(place_and_byte + np.uint64(1)) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def byte_table(seed: int) -> np.ndarray:
-    if seed not in _TABLES:
-        _TABLES[seed] = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    return _TABLES[seed]
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes of ranges that follow one another without overlap and aren't empty.
+
+    A sum of numbers drawn for each byte at its place (tabulation hashing), so that no structure of the bytes makes ranges collide.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int64)
+    at = place + np.repeat(starts - first, size)
+    place -= np.repeat(first, size)
+    key = (place << 8) | data[at]
+    near = place < _NEAR
+    if near.all():
+        values = _byte_table(seed)[key]
+    else:
+        values = np.empty(len(key), np.uint64)
+        values[near] = _byte_table(seed)[key[near]]
+        values[~near] = _byte_values(key[~near].astype(np.uint64), seed)
+    return mixed(np.add.reduceat(values, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mixed(mixed(left) + right * np.uint64(0x9E3779B97F4A7C15))
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[start:end] for many ranges, which aren't empty and may overlap.
+
+    Ranges of 1, 2, 4... values are hashed from two halves; any other one from two of these that overlap and its length.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    size = ends - starts
+    level, reach = values, 1
+    left = np.ones(len(size), bool)
+    while len(size):
+        mine = np.flatnonzero(left & (size < 2 * reach))
+        if len(mine):
+            out[mine] = mixed(_joined(level[starts[mine]], level[ends[mine] - reach]) + size[mine].astype(np.uint64))
+            left[mine] = False
+        if not left.any():
+            break
+        level, reach = _joined(level[:-reach], level[reach:]), 2 * reach
+    return out
 
 
 class Words:
@@ -109,7 +142,7 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return range_hashes(byte_table(seed)[self.data], self.starts, self.ends)
+        return byte_hashes(self.data, self.starts, self.ends, seed)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

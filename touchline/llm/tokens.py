@@ -6,12 +6,12 @@ import os
 
 import numpy as np
 
-from touchline.llm.common import byte_table, range_hashes
+from touchline.llm.common import byte_hashes
 
-CACHE = 3_000_000
-RECENT = 200_000
-POOL = 32_000_000
-"""Parts and ids that a worker remembers at most; beyond that it starts anew."""
+CACHE = 600_000
+RECENT = 100_000
+POOL = 2_000_000
+"""Parts and ids that a worker remembers at most (some 45 MB); beyond that it starts anew."""
 
 
 def _byte_characters() -> dict[int, str]:
@@ -62,26 +62,43 @@ def unusual(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
 
 
+def ends_of_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first eight bytes of each part and its last eight, as numbers; shorter parts are filled up with zeros."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 9, 8), (1, 1))
+    fill = np.uint64(8) * np.maximum(8 - (ends - starts), 0).astype(np.uint64)
+    head = eight[starts + 8].reshape(-1).view("<u8")
+    tail = eight[ends].reshape(-1).view("<u8")
+    return (head << fill) >> fill, (tail >> fill) << fill
+
+
 class _Level:
-    """Sorted keys with a second hash and the place and number of their ids."""
+    """Sorted keys of parts with what tells parts apart, and the place and number of their ids."""
 
     def __init__(self):
-        self.key, self.check, self.at, self.size = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        self.columns = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64)]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
 
     def add(self, *columns: np.ndarray) -> None:
-        merged = [np.concatenate([a, b]) for a, b in zip((self.key, self.check, self.at, self.size), columns, strict=True)]
+        merged = [np.concatenate([a, b]) for a, b in zip(self.columns, columns, strict=True)]
         order = np.argsort(merged[0], kind="stable")
-        self.key, self.check, self.at, self.size = (m[order] for m in merged)
+        self.columns = [m[order] for m in merged]
 
-    def find(self, key: np.ndarray, check: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        if len(self.key):
-            where = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            same = np.flatnonzero((self.key[where] == key) & (self.check[where] == check))
-            at[same], size[same] = self.at[where[same]], self.size[where[same]]
+    def find(self, key: np.ndarray, head: np.ndarray, tail: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        keys, heads, tails, places, sizes = self.columns
+        if len(keys):
+            where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            same = np.flatnonzero((keys[where] == key) & (heads[where] == head) & (tails[where] == tail))
+            at[same], size[same] = places[where[same]], sizes[where[same]]
 
 
 class Encoder:
-    """Ids of whole texts. A text is cut into parts at safe places; each different part is encoded once, looked up by a 128-bit hash."""
+    """Ids of whole texts. A text is cut into parts at safe places; each different part is encoded once.
+
+    A part is looked up by a 64-bit hash, and its first and last eight bytes must be the same; in the pieces of usual texts that is all of it.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,9 +108,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.characters = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
         self.space = " ".translate(self.characters)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.base, self.recent = _Level(), _Level()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -126,21 +143,25 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
-        h, g = (range_hashes(byte_table(seed)[data], starts, ends) for seed in (11, 12))
+        h = byte_hashes(data, starts, ends, 11)
+        heads, tails = ends_of_parts(data, starts, ends)
         key, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        check = g[first]
-        if len(self.base.key) > CACHE or self.used > POOL:
-            self._forget()
+        head, tail = heads[first], tails[first]
+        if (head[inverse] != heads).any() or (tail[inverse] != tails).any():  # different parts of one hash
+            lists = [self.plain(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+        if len(self.base) > CACHE or self.used > POOL:
+            self.forget()
         at, size = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
-        self.base.find(key, check, at, size)
-        self.recent.find(key, check, at, size)
+        self.base.find(key, head, tail, at, size)
+        self.recent.find(key, head, tail, at, size)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             raw = data.tobytes()
             at[missing], size[missing] = self._store([self._part(raw[a:b]) for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
-            self.recent.add(key[missing], check[missing], at[missing], size[missing])
-            if len(self.recent.key) > RECENT:
-                self.base.add(self.recent.key, self.recent.check, self.recent.at, self.recent.size)
+            self.recent.add(key[missing], head[missing], tail[missing], at[missing], size[missing])
+            if len(self.recent) > RECENT:
+                self.base.add(*self.recent.columns)
                 self.recent = _Level()
         n = size[inverse]
         upto = np.cumsum(n)
