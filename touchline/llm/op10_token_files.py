@@ -1,8 +1,8 @@
 """Token ids in compressed files: canonical length-limited Huffman codes from global counts.
 
-A first pass counts the ids of all documents, each followed by an end id; a second encodes them to bit streams, which are sorted by document inside ranges of ids.
-A range is written as blocks of whole documents of about ``BLOCK`` ids: header columns and the documents' bit streams, each from a byte's first bit on. Every ``LANE`` ids the block stores how many bits they took, so a reader finds any lane without decoding those before it; all
-lanes of a block are decoded side by side by looking up ``limit`` bits in one table. The codebook holds a length for each id; the codes follow from it.
+Each text is encoded once; its ids, followed by an end id, are stored, counted, and dealt by ranges of document ids, so that file after file and inside each the documents ascend.
+A file has rows (blocks) of whole documents with about ``BLOCK`` ids: header columns and the documents' bit streams, each from a byte's first bit on. Every ``LANE`` ids the block stores how many bits they took, so a reader finds any lane without decoding those before it; the
+lanes of many blocks are decoded side by side by looking up ``limit`` bits in one table. The codebook holds a length for each id; the codes follow from it.
 Files are Parquet, so that Spark's commit protocol covers them on any file system.
 
 Edge cases: a null text is empty and has the end id alone; null ids come first, equal ids are ordered by a hash of their ids' bytes; an empty table gives empty files;
@@ -19,16 +19,20 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import documents, shared_dir, text_chunks
+from touchline.llm.common import documents, shared_dir, stored, text_chunks
 from touchline.llm.tokens import Encoder, definition_at, encoder_of
 
 LIMIT = 16
-BLOCK = 1 << 18
+BLOCK = 1 << 12
+"""Ids of a block; Spark hands thousands of rows at once to a task, so blocks are small."""
+TOGETHER = 1 << 18
+"""Ids that are packed or decoded at once."""
 LANE = 64
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 64 << 20
 BLOCKS = "part int, block int, part_start long, ids long, documents binary, sizes binary, lane_bits binary, bits binary"
 
 
@@ -129,96 +133,107 @@ def _encoded(batch: pa.RecordBatch, encoder: Encoder, end_id: int) -> Iterator[t
         yield lo, np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
 
 
-def _count(definition: str, end_id: int):
+def _ids(definition: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(definition)
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for _, ids, _ in _encoded(batch, encoder, end_id):
-                found = np.bincount(ids, minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+            for lo, ids, sizes in _encoded(batch, encoder, end_id):
+                raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
+                each = [raw[a:b] for a, b in zip(ends - 4 * sizes, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sizes)), pa.array(sizes), pa.array(each, pa.binary())], names=["doc_id", "n", "ids"])
+        encoder.forget()  # workers are used again
 
     return run
 
 
-def _packed(definition: str, end_id: int, lengths: np.ndarray, bounds: list):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(definition)
-        codes, _ = canonical_codes(lengths)
-        cuts = np.array(bounds)
-        for batch in batches:
-            for lo, ids, sizes in _encoded(batch, encoder, end_id):
-                bits, lanes = pack(ids.astype(np.int64), sizes, lengths, codes)
-                names = batch.column("doc_id").slice(lo, len(sizes))
-                known = names.fill_null(0).to_numpy(zero_copy_only=False)
-                part = np.where(names.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts, known, "right")).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), names, pa.array(sizes), pa.array(lanes, pa.binary()), pa.array(bits, pa.binary())], names=["part", "doc_id", "n", "lane_bits", "bits"])
+def _flat(column: pa.Array) -> np.ndarray:
+    """The ids of a column of binary values, one after another."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4") if len(column) and offsets[-1] > offsets[0] else np.zeros(0, "<u4")
 
-    return run
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        found = np.bincount(_flat(batch.column("ids")), minlength=len(total))
+        found[: len(total)] += total
+        total = found
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
 
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("ids", pa.int64()), *[(k, pa.binary()) for k in ("documents", "sizes", "lane_bits", "bits")]])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows that are sorted by part and document."""
-    part, block, before, size = -1, 0, 0, 0
-    held: list[dict] = []
+def _runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of values, each of about ``most`` in sum and of at least one value."""
+    upto, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
-    def close() -> pa.RecordBatch:
-        known = np.array([x["doc_id"] is not None for x in held], np.uint8).tobytes() + np.array([x["doc_id"] or 0 for x in held], "<i8").tobytes()
-        sizes = np.array([x["n"] for x in held], "<u8").tobytes()
-        row = {"part": part, "block": block, "part_start": before, "ids": size, "documents": known, "sizes": sizes, "lane_bits": b"".join(x["lane_bits"] for x in held), "bits": b"".join(x["bits"] for x in held)}
-        return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (size >= BLOCK or row["part"] != part):
-                yield close()
-                block, before, held, size = block + 1, before + size, [], 0
-            if row["part"] != part:
-                part, block, before = row["part"], 0, 0
-            held.append(row)
-            size += row["n"]
-    if held:
-        yield close()
+def _blocks(lengths: np.ndarray):
+    """Blocks of the documents of a partition, which come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, before = TaskContext.get().partitionId(), 0, 0
+        codes, _ = canonical_codes(lengths)
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            for lo, hi in _runs(sizes, TOGETHER):
+                some = batch.slice(lo, hi - lo)
+                n = sizes[lo:hi]
+                bits, lanes = pack(_flat(some.column("ids")).astype(np.int64), n, lengths, codes)
+                known = some.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                names = some.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+                rows = []
+                for a, b in _runs(n, BLOCK):
+                    ids = int(n[a:b].sum())
+                    header = known[a:b].astype(np.uint8).tobytes() + names[a:b].astype("<i8").tobytes()
+                    rows.append({"part": part, "block": block, "part_start": before, "ids": ids, "documents": header, "sizes": n[a:b].astype("<u8").tobytes(), "lane_bits": b"".join(lanes[a:b]), "bits": b"".join(bits[a:b])})
+                    block, before = block + 1, before + ids
+                yield pa.RecordBatch.from_pylist(rows, schema=_BLOCK)
+
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` with the tokenizer definition and write codebook and blocks under ``path``."""
     spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_count(tokenizer, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    encoded = stored(docs.select("doc_id", "text").mapInArrow(_ids(tokenizer, end_id), f"doc_id {kind}, n long, ids binary"), "token-ids")
+    counts = encoded.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
     total = np.zeros(max((r.id for r in counts), default=-1) + 1, np.int64)
     for r in counts:
         total[r.id] = r.n
     lengths = code_lengths(total)
     book = pd.DataFrame({"id": np.flatnonzero(lengths), "length": lengths[lengths > 0]})
     spark.createDataFrame(book, "id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    # ranges of ids of about equal count, from the ids alone: a range partitioning would encode all texts once more to sample them
-    parts = max(1, -(-int((total * lengths).sum()) // (8 * PARTITION_BYTES)))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or [])) if shares else []
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = docs.select("doc_id", "text").mapInArrow(_packed(tokenizer, end_id, lengths, bounds), f"part int, doc_id {kind}, n long, lane_bits binary, bits binary")
-    ordered = packed.repartition(parts, "part").sortWithinPartitions("part", "doc_id", F.xxhash64("bits"))
-    ordered.mapInArrow(_blocks, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((total * lengths).sum()) // (8 * PARTITION_BYTES)))
+    order = ["doc_id", F.xxhash64("ids")]
+    ordered = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.mapInArrow(_blocks(lengths), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def _read(lengths: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(lengths)
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.frombuffer(row["sizes"], "<u8").astype(np.int64)
-                known = np.frombuffer(row["documents"][: len(sizes)], np.uint8) > 0
-                names = np.frombuffer(row["documents"][len(sizes) :], "<i8")
-                raw = table.unpack(row["bits"], np.frombuffer(row["lane_bits"], "<u2").astype(np.int64), sizes).astype("<u4").tobytes()
+            count = batch.column("ids").to_numpy()
+            for lo, hi in _runs(count, TOGETHER):
+                some = batch.slice(lo, hi - lo)
+                column = {k: [x.as_py() for x in some.column(k)] for k in ("documents", "sizes", "lane_bits", "bits")}
+                each = [np.frombuffer(x, "<u8").astype(np.int64) for x in column["sizes"]]
+                sizes = np.concatenate(each)
+                known = np.concatenate([np.frombuffer(x[: len(n)], np.uint8) for x, n in zip(column["documents"], each, strict=True)]) > 0
+                names = np.concatenate([np.frombuffer(x[len(n) :], "<i8") for x, n in zip(column["documents"], each, strict=True)])
+                raw = table.unpack(b"".join(column["bits"]), np.frombuffer(b"".join(column["lane_bits"]), "<u2").astype(np.int64), sizes).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
                 ids = [raw[4 * a : 4 * b] for a, b in zip(ends - sizes, ends, strict=True)]
-                start = row["before"] + row["part_start"] + ends - sizes
+                first = some.column("before").to_numpy() + some.column("part_start").to_numpy() - (np.cumsum(count[lo:hi]) - count[lo:hi])
+                start = ends - sizes + np.repeat(first, [len(n) for n in each])
                 yield pa.RecordBatch.from_arrays([pa.array(names, mask=~known), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
 
     return run
