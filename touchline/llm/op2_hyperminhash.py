@@ -2,15 +2,16 @@ r"""Near-duplicates by HyperMinHash, banding and verification on the full shingl
 
 A set's 64-bit shingle hashes fall into ``BUCKETS`` buckets; a bucket keeps its smallest hash as a register of
 leading-zero count and ten mantissa bits. Empty registers borrow from others by a fixed order, so that small sets fill all of them.
-Texts with equal sets are one class and need no comparing. Four registers make a band; classes that share a band are candidates. In each band's
+Texts of equal word sequences are one class and need no comparing. Four registers make a band; classes that share a band are candidates. In each band's
 group the most central class (that with the most companions over all its bands) is the pivot, compared with every other member, which is linear in the group.
 The collision-corrected Jaccard estimate (six standard deviations of slack) rules out links; the words themselves confirm them.
 
 Other pairs of a group are never all formed. A member differs from its pivot by a set of added and missing shingles, and two members differ by the
-symmetric difference of these sets. So a link that the pivot doesn't imply needs common differences, and one of them stands early
-in both ordered lists of differences (added ones first, as they are rare): joining the lists' prefixes finds these candidates. Members far from the pivot can't be linked
-with close ones (Jaccard distance is a metric); they form groups with new pivots, and what is left after ``ROUNDS`` rounds is paired where two members share another band too. Candidates that still lie in different components
-pass the estimate and are compared as well.
+symmetric difference of these sets. So a link that the pivot doesn't imply needs common differences. Ordered by how rare they are in the group, one of these stands early
+in both lists (prefix filtering, which loses nothing), and differences that a whole family has come last: members that share an early difference are a cell. A cell is first compared with its own
+pivot, so that families fall together, and only members of different components are paired then. Members far from the pivot can't be linked
+with close ones (Jaccard distance is a metric); they form groups with new pivots. What is still open after ``ROUNDS`` rounds is paired by the same filter over the whole shingle sets. Candidates that
+still lie in different components pass the estimate and are compared as well.
 
 With 32 bands of four registers a pair at the threshold 0.85 is missed with probability 1e-10, at 0.8 with 1e-7.
 
@@ -21,12 +22,13 @@ their own texts; an empty table gives an empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import Words, documents, mixed, range_hashes, stored, text_chunks
@@ -37,6 +39,9 @@ MANTISSA = 10
 ROUNDS = 3
 FAR = 40
 """Members below this similarity (percent) to their pivot have no list of differences."""
+CELL_ROUNDS = 2
+LARGE = 64
+"""Cells of more members are compared with a pivot of their own first, in so many rounds."""
 COLLISION = 1 / (3 * (1 << MANTISSA))
 """Chance that different minima give equal registers: equal leading zeros (1/3), then equal mantissas."""
 
@@ -88,7 +93,7 @@ def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and the registers."""
+    """doc_id, n_shingles, a 128-bit digest of the words, and the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,12 +101,9 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for lo, hi, data, offsets in text_chunks(batch):
                 d, x = shingle_hashes(Words(data, offsets, fold=True), k)
                 n = np.bincount(d, minlength=hi - lo)
-                ends = np.cumsum(n)
-                keys = []
-                for salt in (0x1234567, 0x89ABCDE):
-                    total = np.zeros(len(x) + 1, np.uint64)
-                    np.cumsum(mixed(x ^ np.uint64(salt)), out=total[1:])
-                    keys.append((total[ends] - total[ends - n]).view(np.int64))
+                raw = data.tobytes()
+                digests = [hashlib.blake2b(b" ".join(raw[a:b].lower().split()), digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
                 regs = registers(d, x, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), pa.array([r.tobytes() for r in regs], pa.binary())],
@@ -164,15 +166,9 @@ def _compare(k: int, percent: int):
                 apart = len(pivot) + len(other) - 2 * both
                 linked = likely[i].as_py() and both > 0 and 100 * both >= percent * (both + apart)
                 listed = 100 * both >= FAR * (both + apart)
-                first: list[int] = []
-                if listed:  # as many differences as can matter for a link with a set of the largest fitting size
-                    most = (100 - percent) * (len(other) + len(other) * 100 // percent + 1) // (100 + percent) + 1
-                    first = sorted(xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in other - pivot)
-                    if len(first) < most:
-                        first += sorted(xxhash.xxh64_intdigest(b" ".join(x), 1) - (1 << 63) for x in pivot - other)
-                    first = first[:most]
-                rows.append((a, batch.column("b")[i].as_py(), linked, 100 * both >= near * (both + apart), listed, len(other), apart, first))
-            names = ["a", "b", "linked", "near", "listed", "n", "apart", "first"]
+                differ = [xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in pivot ^ other] if listed else []
+                rows.append((a, batch.column("b")[i].as_py(), linked, 100 * both >= near * (both + apart), listed, len(other), apart, differ))
+            names = ["a", "b", "linked", "near", "listed", "n", "apart", "differ"]
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
@@ -180,19 +176,39 @@ def _compare(k: int, percent: int):
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, likely) with ``linked``, whether b is near a, whether its differences are listed, the size of b's set, by how many shingles the sets differ, and the first of these."""
+    """(a, b, likely) with ``linked``, whether b is near a, whether its differences are listed, the size of b's set, by how many shingles the sets differ, and hashes of these."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, near boolean, listed boolean, n long, apart long, first array<long>")
+    return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, near boolean, listed boolean, n long, apart long, differ array<long>")
 
 
-def other_candidates(measured: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of members of one pivot's group that may be linked although the pivot doesn't link them."""
+def cells(measured: DataFrame, percent: int) -> DataFrame:
+    """(a, e, b, linked, n, apart, at): the early differences e of the members b of each pivot a that has members without a link; ``at`` is their place in b's list, rarest first."""
     measured = measured.where("listed")
     groups = stored(measured.where(~F.col("linked")).select("a").distinct(), "open-groups")
-    members = measured.join(groups, "a", "left_semi").join(rooted.withColumnRenamed("id", "b"), "b", "left")
-    places = members.select("a", "b", "linked", "n", "apart", F.coalesce("root", "b").alias("root"), F.posexplode("first").alias("at", "e"))
-    x = places.where(~F.col("linked")).select("a", "e", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "apart", "root", "at")])
-    y = places.select("a", "e", *[F.col(c).alias(f"{c}_y") for c in ("b", "n", "apart", "root", "at")])
+    each = stored(measured.join(groups, "a", "left_semi").select("a", "b", "linked", "n", "apart", F.explode("differ").alias("e")), "differences")
+    often = each.groupBy("a", "e").agg(F.count("*").alias("often"))
+    placed = each.join(often, ["a", "e"]).withColumn("at", F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "e")) - 1)
+    # of two linked sets, each has the first common difference within this many places
+    room = (100 - percent) * (F.col("n") + F.col("n") * 100 / percent) / (100 + percent)
+    early = placed.where((F.col("at") <= room) & (F.col("often") > 1))
+    return stored(early.select("a", "e", "b", "linked", "n", "apart", "at"), "cells")
+
+
+def cell_stars(found: DataFrame, rooted: DataFrame, before: DataFrame | None) -> DataFrame:
+    """(a, b): in each large cell the member nearest to the group's pivot that was no pivot ``before``, and each other one of another component."""
+    rows = found.join(rooted.withColumnRenamed("id", "b"), "b", "left").select("a", "e", "b", "apart", F.coalesce("root", "b").alias("root"))
+    free = rows if before is None else rows.join(before.select("b").distinct(), "b", "left_anti")
+    size = rows.groupBy("a", "e").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("members") > LARGE) & (F.col("low") < F.col("high")))
+    pivots = free.join(size, ["a", "e"]).groupBy("a", "e").agg(F.min(F.struct("apart", "b", "root")).alias("p")).select("a", "e", F.col("p.b").alias("p"), F.col("p.root").alias("p_root"))
+    star = rows.join(pivots, ["a", "e"]).where(F.col("root") != F.col("p_root"))
+    return star.select(F.col("p").alias("a"), "b").distinct()
+
+
+def cell_pairs(found: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of one cell that may be linked and lie in different components."""
+    rows = found.join(rooted.withColumnRenamed("id", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    x = rows.where(~F.col("linked")).select("a", "e", *[F.col(c).alias(f"{c}_x") for c in ("b", "n", "apart", "root", "at")])
+    y = rows.select("a", "e", *[F.col(c).alias(f"{c}_y") for c in ("b", "n", "apart", "root", "at")])
     room = (F.col("n_x") + F.col("n_y")) * (100 - percent)
     early_x = (F.col("at_x") * 2 - F.col("apart_x") + F.col("apart_y")) * (100 + percent) <= room
     early_y = (F.col("at_y") * 2 - F.col("apart_y") + F.col("apart_x")) * (100 + percent) <= room
@@ -200,6 +216,30 @@ def other_candidates(measured: DataFrame, rooted: DataFrame, percent: int) -> Da
     return x.join(y, ["a", "e"]).where(fits).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
+def _shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for lo, _, data, offsets in text_chunks(batch):
+                d, x = shingle_hashes(Words(data, offsets, fold=True), k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d + lo)), pa.array(x.view(np.int64))], names=["id", "e"])
+
+    return run
+
+
+def open_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): members of one band that may be linked, by prefix filtering over their whole sets: linked sets share one of their rarest shingles."""
+    several = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    still = stored(members.join(several, "band", "left_semi").select("band", "id"), "open-members")
+    chosen = texts.join(still.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    each = stored(still.join(chosen.mapInArrow(_shingles(k), "id long, e long"), "id"), "open-shingles")
+    often = each.groupBy("band", "e").agg(F.count("*").alias("often"))
+    placed = each.join(often, ["band", "e"]).withColumn("at", F.row_number().over(Window.partitionBy("band", "id").orderBy("often", "e")) - 1)
+    early = placed.where("often > 1").join(classes.select("id", "n"), "id").where(F.col("at") * 100 <= F.col("n") * (100 - percent)).select("band", "e", "id", "n")
+    x, y = early.select("band", "e", F.col("id").alias("a"), F.col("n").alias("n_a")), early.select("band", "e", F.col("id").alias("b"), F.col("n").alias("n_b"))
+    return x.join(y, ["band", "e"]).where((F.col("a") < F.col("b")) & _similar_size(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): each linked id with the smallest id it can reach, by alternating large and small stars until nothing changes."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -245,16 +285,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         members = stored(groups.join(far, ["a", "id"]).select("band", "id", "central"), "members")
         if not members.groupBy("band").count().where("count > 1").limit(1).count():
             break
-    # linked classes share many bands, so members that are still open are paired where they share another one
-    wide = stored(members.select("band", "id").join(bands.withColumnRenamed("band", "other"), "id").where("other <> band"), "open-bands")
-    x, y = wide.select("band", "other", F.col("id").alias("a")), wide.select("band", "other", F.col("id").alias("b"))
-    left_over = x.join(y, ["band", "other"]).where("a < b").select("a", "b")
     links = measured.where("linked").select("a", "b")
     rooted = components(links)
-    rest = stored(other_candidates(measured, rooted, percent).union(left_over).distinct(), "other-pairs")
-    likely = stored(estimated(rest, classes, percent).where("likely"), "other-likely")
-    if likely.limit(1).count():
-        more = stored(compared(likely, texts, k, percent).where("linked").select("a", "b"), "more-links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = stored(estimated(pairs, classes, percent).where("likely"), "other-likely")
+        return stored(compared(likely, texts, k, percent).where("linked").select("a", "b"), "more-links")
+
+    found = cells(measured, percent)
+    stars = None
+    for _ in range(CELL_ROUNDS):
+        star = stored(cell_stars(found, rooted, stars), "cell-stars")
+        if not star.limit(1).count():
+            break
+        stars = star.select(F.col("a").alias("b")) if stars is None else stars.unionByName(star.select(F.col("a").alias("b")))
+        more = confirmed(star)
+        if more.limit(1).count():
+            links = links.union(more)
+            rooted = components(links)
+    rest = stored(cell_pairs(found, rooted, percent).union(open_pairs(members, texts, classes, k, percent)).distinct(), "other-pairs")
+    if rest.limit(1).count():
+        more = confirmed(rest)
         if more.limit(1).count():
             rooted = components(links.union(more))
     labelled = classes.select("k1", "k2", F.col("n").alias("n_shingles"), "id").join(rooted, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "id").alias("root"))
