@@ -1,7 +1,7 @@
 """The corpus pipeline over documents: language, near-duplicates, benchmark leaks, secrets, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents.
-Rows are told apart by their id and a hash of their text, so null and repeated ids are handled row by row.
+Rows are told apart by their id and a hash of their text, so null and repeated ids are handled row by row. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,16 +18,37 @@ from touchline.llm.op8_byte_bpe import Codec, read_ranks
 from touchline.llm.op9_language_id import identify, prototypes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.0
-"""A text whose cosine with every language is not above this belongs to none of them; short texts score low, so it isn't higher."""
+SHARE_OF_USUAL = 0.5
+"""A text goes if its score is less than this share of the usual one: that which 99 of 100 labelled texts of its length reach with their own language."""
+LEAST_LABELLED = 50
+"""Length bands with fewer labelled texts take the usual score of the next shorter band that has them; the shortest ones reject nothing."""
+
+
+def _usual_scores(judged: DataFrame) -> DataFrame:
+    """(band, usual) for each length band, a power of two of letters; a row for each band that texts can have."""
+    right = judged.where((F.col("lang") == F.col("lang_pred")) & F.col("band").isNotNull())
+    per = right.groupBy("band").agg(F.count("*").alias("n"), F.percentile_approx("score", 0.01, 1000).alias("usual")).where(F.col("n") >= LEAST_LABELLED).collect()
+    known, rows, last = {r.band: r.usual for r in per}, [], 0.0
+    for band in range(40):
+        last = known.get(band, last)
+        rows.append((band, float(last)))
+    return judged.sparkSession.createDataFrame(rows, "band int, usual double")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and those unlike any learned language, go; a missing lang is filled in."""
+    """Texts without letters, and those unlike every learned language, go; a missing lang, and one that the text contradicts with a usual score, becomes the predicted one.
+
+    The score grows with a text's length, so it is held against that of labelled texts of like length. Where no text is labelled, nothing can be learned: all texts with a letter stay as they are.
+    """
     profiles = prototypes(docs.where(F.coalesce(crc_fold("doc_id", 5) != 0, F.lit(True))))
-    judged = identify(docs.select(*COLUMNS), profiles)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    if not profiles:
+        return docs.where(F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False))).select(*COLUMNS)
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
+    judged = stored(identify(docs.select(*COLUMNS), profiles).withColumn("band", F.when(letters > 0, F.floor(F.log2(letters)).cast("int"))), "judged-languages")
+    rated = judged.where("lang_pred <> 'und'").join(F.broadcast(_usual_scores(judged)), "band")  # 40 rows
+    kept = rated.where(F.col("score") >= SHARE_OF_USUAL * F.col("usual"))
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= F.col("usual")), F.col("lang_pred")).otherwise(F.col("lang"))
+    return kept.withColumn("lang", lang).select(*COLUMNS)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:

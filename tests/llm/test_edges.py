@@ -19,6 +19,7 @@ from touchline.llm import op7_decontamination as op7
 from touchline.llm import op8_byte_bpe as op8
 from touchline.llm import op9_language_id as op9
 from touchline.llm import op10_token_files as op10
+from touchline.llm.common import range_hashes
 from touchline.llm.tokens import Encoder, definition_at
 
 JSON = definition_at(public_tokenizers.path("byte_bpe_50k.json"))
@@ -272,3 +273,70 @@ def test_encoder_equals_library():
     ids, counts = encoder.encode_many(np.frombuffer(b"".join(raw), np.uint8), offsets)
     ends = np.cumsum(counts)
     assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)] == [encoder.plain(t) for t in texts]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 65536])
+def test_hashes_of_words_of_regular_structure(spark, n):
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{word} x", f"{other} x"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    encoder = Encoder(JSON)
+    ids, counts = encoder.encode_many(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    ends = np.cumsum(counts)
+    assert [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)] == [encoder.plain(t) for t in texts]
+    rng = random.Random(1)
+    words = [prose(rng, 12, 10**6).split(), prose(rng, 12, 10**6).split()]
+    repeated = [" ".join([*words[0], w, *words[1]]) for w in (word, other, word)]
+    found = {r.doc_id: (r.n_removed, r.component_id) for r in op1.without_repeats(documents(spark, repeated)).join(op2.near_duplicates(documents(spark, repeated), 3, 85), "doc_id").collect()}
+    assert found == {0: (0, 0), 1: (0, 1), 2: (25, 0)}
+
+
+def test_range_hashes_are_functions_of_the_range():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 3, 300).astype(np.uint64)
+    starts = rng.integers(0, 200, 4000)
+    ends = starts + rng.integers(1, 100, 4000)
+    by: dict[tuple, int] = {}
+    for a, b, h in zip(starts, ends, range_hashes(values, starts, ends), strict=True):
+        assert by.setdefault(tuple(values[a:b]), int(h)) == int(h)
+    assert len(set(by.values())) == len(by)
+
+
+def test_template_family_is_linked_as_by_brute_force(spark):
+    """Members that differ from each other by many words, with a few close ones among them: more pivots than there are rounds."""
+    rng = random.Random(21)
+    template = prose(rng, 200, 10**6).split()
+    texts = []
+    for i in range(120):
+        own = [w if rng.random() > 0.12 else f"o{rng.random()}" for w in template]
+        texts.append(" ".join(own))
+        if i % 6 == 0:  # a copy of this one
+            own[rng.randrange(200)] = "near"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    sets = [op2._shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 20 <= len(texts) - len(set(root))
+    found = {r.doc_id: r.component_id for r in op2.near_duplicates(documents(spark, texts)).collect()}
+    assert found == dict(enumerate(root))
+
+
+def test_token_files_ascend_file_by_file(spark, tmp_path):
+    rng = random.Random(2)
+    order = list(range(400))
+    rng.shuffle(order)
+    path = str(tmp_path / "t")
+    op10.write_tokens(documents(spark, [prose(rng, 40, 500) for _ in order], order).repartition(5), path, JSON)
+    parts = spark.read.parquet(f"{path}/blocks").select("part", "block", F.input_file_name().alias("file"), "sizes", "documents").orderBy("file", "block").collect()
+    names = [i for r in parts for i in np.frombuffer(r.documents[len(r.sizes) // 8 :], "<i8").tolist()]
+    assert names == sorted(order) and [r.part for r in parts] == sorted(r.part for r in parts)

@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on the small tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from tests.conftest import SF_DIR
 from touchline.llm.op2_hyperminhash import _shingle_set
@@ -47,3 +49,20 @@ def test_near_dedup_leaves_one_row_of_a_group(spark):
 
 def test_run(spark):
     assert P.run(spark, SF_DIR.replace("sf0.01", "sf0.001")).count() > 0
+
+
+def test_language_rejects_texts_unlike_every_language(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = [(9001, "Ω ψυχή δεν είναι εδώ και τώρα " * 20, "en"), (9002, "zxqj vkwz qqxz jjwk " * 30, None), (9003, "Edrere.", "en")]
+    own = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], docs.schema)
+    kept = P.language(spark, docs.unionByName(own), SF_DIR)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not ids & {9001, 9002} and 9003 in ids and len(ids) >= 0.995 * docs.count()
+    unlabelled = own.withColumn("lang", F.lit(None).cast("string"))
+    assert P.language(spark, unlabelled, SF_DIR).count() == 3 and P.language(spark, docs.where("false"), SF_DIR).count() == 0
+
+
+def test_stages_of_an_empty_table(spark):
+    empty = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("false")
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, SF_DIR).count() == 0
