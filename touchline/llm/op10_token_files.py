@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, shared_dir, stored, text_chunks
-from touchline.llm.tokens import Encoder, definition_at, encoder_of
+from touchline.llm.tokens import Encoder, definition_at, encoder_of, last_id
 
 LIMIT = 16
 BLOCK = 1 << 12
@@ -133,33 +133,36 @@ def _encoded(batch: pa.RecordBatch, encoder: Encoder, end_id: int) -> Iterator[t
         yield lo, np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
 
 
-def _ids(definition: str, end_id: int):
+def _ids(definition: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(definition)
+        encoder, width = encoder_of(definition), np.dtype(kind).itemsize
         for batch in batches:
             for lo, ids, sizes in _encoded(batch, encoder, end_id):
-                raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
-                each = [raw[a:b] for a, b in zip(ends - 4 * sizes, ends, strict=True)]
+                raw, ends = ids.astype(kind).tobytes(), width * np.cumsum(sizes)
+                each = [raw[a:b] for a, b in zip(ends - width * sizes, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(sizes)), pa.array(sizes), pa.array(each, pa.binary())], names=["doc_id", "n", "ids"])
         encoder.forget()  # workers are used again
 
     return run
 
 
-def _flat(column: pa.Array) -> np.ndarray:
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
     """The ids of a column of binary values, one after another."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4") if len(column) and offsets[-1] > offsets[0] else np.zeros(0, "<u4")
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if len(column) and offsets[-1] > offsets[0] else np.zeros(0, kind)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        found = np.bincount(_flat(batch.column("ids")), minlength=len(total))
-        found[: len(total)] += total
-        total = found
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.bincount(_flat(batch.column("ids"), kind), minlength=len(total))
+            found[: len(total)] += total
+            total = found
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+
+    return run
 
 
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("ids", pa.int64()), *[(k, pa.binary()) for k in ("documents", "sizes", "lane_bits", "bits")]])
@@ -174,7 +177,7 @@ def _runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _blocks(lengths: np.ndarray):
+def _blocks(lengths: np.ndarray, kind: str):
     """Blocks of the documents of a partition, which come in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +188,7 @@ def _blocks(lengths: np.ndarray):
             for lo, hi in _runs(sizes, TOGETHER):
                 some = batch.slice(lo, hi - lo)
                 n = sizes[lo:hi]
-                bits, lanes = pack(_flat(some.column("ids")).astype(np.int64), n, lengths, codes)
+                bits, lanes = pack(_flat(some.column("ids"), kind).astype(np.int64), n, lengths, codes)
                 known = some.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 names = some.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
                 rows = []
@@ -202,9 +205,10 @@ def _blocks(lengths: np.ndarray):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` with the tokenizer definition and write codebook and blocks under ``path``."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    encoded = stored(docs.select("doc_id", "text").mapInArrow(_ids(tokenizer, end_id), f"doc_id {kind}, n long, ids binary"), "token-ids")
-    counts = encoded.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
+    kind = "<u2" if max(last_id(tokenizer), end_id) < 1 << 16 else "<u4"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, ids binary"
+    encoded = stored(docs.select("doc_id", "text").mapInArrow(_ids(tokenizer, end_id, kind), schema), "token-ids")
+    counts = encoded.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # as many rows as the vocabulary has ids
     total = np.zeros(max((r.id for r in counts), default=-1) + 1, np.int64)
     for r in counts:
         total[r.id] = r.n
@@ -214,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int((total * lengths).sum()) // (8 * PARTITION_BYTES)))
     order = ["doc_id", F.xxhash64("ids")]
     ordered = encoded.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered.mapInArrow(_blocks(lengths), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.mapInArrow(_blocks(lengths, kind), BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def _read(lengths: np.ndarray):

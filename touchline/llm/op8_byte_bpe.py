@@ -2,7 +2,7 @@ r"""Byte-level BPE by Spark's higher-order functions.
 
 The pattern splits a text into pieces. A piece's bytes become the ids of single bytes, and a fold merges them: each step joins the leftmost pair of
 lowest rank, until no pair has a rank. As a rank is the id of what the pair becomes, the rank map is kept on pairs of ids: ``merged[base[left] + right]``
-is the id if ``owner`` holds ``left`` there, so that a look-up is plain arithmetic on arrays. The vocabulary and the ``HEAD`` most frequent of all distinct pieces are
+is the id if ``owner`` holds ``left`` there, so that a look-up is plain arithmetic on arrays. The vocabulary and the most frequent of all distinct pieces are
 folded once and become a table of bounded size; the pieces of the long tail, most of them seen once in all documents, are folded where they stand.
 The tables are values of scalar subqueries, which the tasks hold as constants. Decoding joins the hex strings of the ids' pieces and makes them binary.
 
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import documents, stored
 
-HEAD = 1 << 19
+HEAD = 1 << 18
 """Entries of the table of frequent pieces, besides the vocabulary."""
 LONG = 512
-_SLOTS = (1 << 20, 1 << 19, 1 << 16)
+_SLOTS = (1 << 19, 1 << 18, 1 << 15)
 """Places of the table: a piece that finds its place taken goes on to the next part."""
 
 
@@ -228,8 +228,15 @@ class Codec:
         """The ids of the vocabulary and of the most frequent pieces, and the length of the longest piece."""
         seen = Observation()
         each = docs.select(F.explode(self.pieces(F.col("text"))).alias("key")).observe(seen, F.max(F.length("key")).alias("longest"))
-        counted = each.groupBy("key").agg(F.count("*").alias("n")).where(F.length("key") < LONG)
-        top = stored(counted.orderBy(F.desc("n"), "key").limit(HEAD).select("key"), "frequent")
+        counted = stored(each.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.length("key") < LONG)), "counted")
+        # the least count of the frequent pieces, from how many pieces there are of each (rounded) count
+        magnitude = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096)
+        room, least = HEAD, 1 << 62
+        for n, pieces in sorted(counted.groupBy(magnitude.alias("n")).count().collect(), reverse=True):
+            if pieces > room:
+                break
+            room, least = room - pieces, n
+        top = stored(counted.where(F.col("n") >= least).select("key"), "frequent")
         new = top.join(self.vocabulary, "key", "left_anti").repartition(64)
         ids = stored(_with(self.merges, new, "value", lambda t: folded(F.col("key"), t)).unionByName(self.vocabulary), "head")
         table = stored(known_pieces(ids), "head-table")

@@ -213,3 +213,10 @@ def definition_at(path: str) -> str:
     """The tokenizer's JSON, read on the driver and sent with the tasks."""
     with open(path, encoding="utf-8") as f:
         return f.read()
+
+
+def last_id(definition: str) -> int:
+    """The largest id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_str(definition).get_vocab(with_added_tokens=True).values(), default=0)
