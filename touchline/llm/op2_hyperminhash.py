@@ -227,17 +227,23 @@ def _shingles(k: int):
     return run
 
 
-def open_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): members of one band that may be linked, by prefix filtering over their whole sets: linked sets share one of their rarest shingles."""
+def open_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, rooted: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): members of open groups that may be linked, by prefix filtering over their whole sets: linked sets share one of their rarest shingles.
+
+    A shingle that one member alone has can't be shared; these come first in its order, and their number follows from the set's size.
+    """
     several = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    still = stored(members.join(several, "band", "left_semi").select("band", "id"), "open-members")
-    chosen = texts.join(still.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    each = stored(still.join(chosen.mapInArrow(_shingles(k), "id long, e long"), "id"), "open-shingles")
-    often = each.groupBy("band", "e").agg(F.count("*").alias("often"))
-    placed = each.join(often, ["band", "e"]).withColumn("at", F.row_number().over(Window.partitionBy("band", "id").orderBy("often", "e")) - 1)
-    early = placed.where("often > 1").join(classes.select("id", "n"), "id").where(F.col("at") * 100 <= F.col("n") * (100 - percent)).select("band", "e", "id", "n")
-    x, y = early.select("band", "e", F.col("id").alias("a"), F.col("n").alias("n_a")), early.select("band", "e", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    return x.join(y, ["band", "e"]).where((F.col("a") < F.col("b")) & _similar_size(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+    still = stored(members.join(several, "band", "left_semi").select("id").distinct(), "open-members")
+    chosen = texts.join(still.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    each = stored(chosen.mapInArrow(_shingles(k), "id long, e long"), "open-shingles")
+    often = each.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
+    ordered = Window.partitionBy("id").orderBy("often", "e")
+    shared = each.join(often, "e").select("id", "e", F.row_number().over(ordered).alias("rank"), F.count("*").over(Window.partitionBy("id")).alias("shared"))
+    placed = shared.join(classes.select("id", "n"), "id").withColumn("at", F.col("n") - F.col("shared") + F.col("rank") - 1)
+    early = placed.where(F.col("at") * 100 <= F.col("n") * (100 - percent)).join(rooted, "id", "left").select("e", "id", "n", F.coalesce("root", "id").alias("root"))
+    x, y = (early.select("e", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "root")]) for side in "xy")
+    fits = (F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & _similar_size(F.col("n_x"), F.col("n_y"), percent)
+    return x.join(y, "e").where(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -303,7 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if more.limit(1).count():
             links = links.union(more)
             rooted = components(links)
-    rest = stored(cell_pairs(found, rooted, percent).union(open_pairs(members, texts, classes, k, percent)).distinct(), "other-pairs")
+    rest = stored(cell_pairs(found, rooted, percent).union(open_pairs(members, texts, classes, rooted, k, percent)).distinct(), "other-pairs")
     if rest.limit(1).count():
         more = confirmed(rest)
         if more.limit(1).count():
