@@ -88,3 +88,22 @@ def test_every_player_has_ranked_similar_players(spark):
     for rows in found.values():
         assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
         assert [r.similarity for r in rows] == sorted((r.similarity for r in rows), reverse=True)
+
+
+def test_close_tables_have_equal_keys_and_nulls(spark):
+    from touchline.operators import contracts as C
+
+    table = lambda rows: spark.createDataFrame(rows, "k int, v double")
+    C.require_close(table([(1, 2.0), (2, None)]), table([(2, None), (1, 2.0 + 1e-8)]), "k", ["v"])
+    for other in ([(1, 2.0)], [(1, 2.0), (2, 1.0)], [(1, 2.1), (2, None)], [(1, 2.0), (2, None), (3, 1.0)]):
+        with pytest.raises(C.ContractError):
+            C.require_close(table([(1, 2.0), (2, None)]), table(other), "k", ["v"])
+
+
+def test_optional_filters(spark):
+    from touchline.operators import selection as X
+
+    rows = spark.createDataFrame([(1, "a", 5), (1, "b", 9), (2, "a", 5)], "k int, s string, n int")
+    assert X.filtered(rows, "k", 1).count() == 2 and X.filtered(rows, "k", 1, {"s": "a"}, {"n": (None, 6)}).count() == 1
+    with pytest.raises(ValueError):
+        X.filtered(rows, "k", 1, between={"n": (3, 2)})

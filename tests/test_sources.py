@@ -30,9 +30,12 @@ def test_flat_facts(raw):
 
 def test_snapshot_round_trip(spark, tmp_path):
     path = str(tmp_path / "v1")
-    snapshots.write_snapshot({"t": spark.range(5)}, path)
+    first = snapshots.write_snapshot({"t": spark.range(5)}, path)
+    spark.range(9).write.parquet(f"{path}/unpublished/t")
     assert snapshots.read_snapshot(spark, path)["t"].count() == 5
-    spark.range(1).write.mode("append").parquet(f"{path}/t")
+    version = snapshots.write_snapshot({"t": spark.range(6)}, path)
+    assert snapshots.read_snapshot(spark, path)["t"].count() == 6 and snapshots.read_snapshot(spark, path, first)["t"].count() == 5
+    spark.range(1).write.mode("append").parquet(f"{path}/{version}/t")
     with pytest.raises(ValueError):
         snapshots.read_snapshot(spark, path)
     assert snapshots.fingerprint(spark.range(3), "id").first().rows == 3

@@ -34,10 +34,10 @@ def enters_final_third(x1: Column, x2: Column) -> Column:
 
 def zone(x: Column, y: Column) -> Column:
     """3 x 3 zone; out of bounds or null is Unknown."""
-    along = F.when(x < 40, "Defensive").when(x < 80, "Middle").otherwise("Attacking")
-    across = F.when(y < K.PITCH_WIDTH / 3, "Left").when(y < 2 * K.PITCH_WIDTH / 3, "Centre").otherwise("Right")
+    along = F.when(x < 40, "defensive").when(x < 80, "middle").otherwise("attacking")
+    across = F.when(y < K.PITCH_WIDTH / 3, "left").when(y < 2 * K.PITCH_WIDTH / 3, "centre").otherwise("right")
     inside = (x >= 0) & (x <= K.PITCH_LENGTH) & (y >= 0) & (y <= K.PITCH_WIDTH)
-    return F.when(inside, F.concat(along, F.lit(" "), across)).otherwise(F.lit("Unknown"))
+    return F.when(inside, F.concat(along, F.lit("_"), across)).otherwise(F.lit("Unknown"))
 
 
 def third(x: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def category(c: Column, default: str) -> Column:
@@ -24,10 +28,25 @@ def season(c: Column) -> Column:
     return F.when(first == "", c).otherwise(F.concat(first, F.lit("/"), F.when(F.length(second) == 2, F.concat(F.substring(first, 1, 2), second)).otherwise(second)))
 
 
+_APOSTROPHES = "'’ʼ＇"
+
+
+@F.pandas_udf(StringType())
+def _name_key(names: pd.Series) -> pd.Series:
+    def key(name: str | None) -> str | None:
+        if name is None:
+            return None
+        folded = unicodedata.normalize("NFKC", name).casefold()
+        kept = (c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in folded if c not in _APOSTROPHES)
+        return " ".join("".join(kept).split())
+
+    return names.map(key)
+
+
 def name_key(c: Column) -> Column:
-    """Lower case, apostrophes dropped, other non-letters as single spaces."""
-    plain = F.translate(F.lower(c), "'’‘`", "")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}\p{M}]+", " "))
+    """NFKC and case-folded, apostrophes dropped, other marks as single spaces. Spark has no Unicode normal forms, so names in other letters than ASCII take a Pandas function."""
+    plain = F.trim(F.regexp_replace(F.translate(F.lower(c), "'", ""), "[^a-z0-9]+", " "))
+    return F.when(F.rlike(c, F.lit(r"^[\x00-\x7F]*$")), plain).otherwise(_name_key(c))
 
 
 def without_controls(c: Column) -> Column:
@@ -35,10 +54,43 @@ def without_controls(c: Column) -> Column:
 
 
 def citation_ids(c: Column) -> Column:
-    """Distinct ids inside ``[a; b]`` groups, in order of first occurrence."""
+    """Ids inside ``[a; b]`` groups, repeats included; a group counts only if each of its members is an id, which holds ``evidence`` and no white space."""
     groups = F.regexp_extract_all(c, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
-    ids = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*;\s*")))
-    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(r"^[A-Za-z0-9_.:-]+$"))))
+    members = F.transform(groups, lambda g: F.transform(F.split(g, ";", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
+    return F.flatten(F.filter(members, lambda m: F.forall(m, lambda x: F.rlike(x, F.lit(r"^(?i)(?=\S*evidence)\S+$")))))
+
+
+# Domains of the two better classes of sources.
+OFFICIAL_DOMAINS = ("bundesliga.com", "uefa.com", "fifa.com", "dfb.de", "premierleague.com", "laliga.com")
+REPUTABLE_DOMAINS = ("reuters.com", "bbc.com", "espn.com", "goal.com", "kicker.de", "liverpoolecho.co.uk", "skysports.com", "theathletic.com")
+
+
+def source_quality(host: Column, official=OFFICIAL_DOMAINS, reputable=REPUTABLE_DOMAINS) -> Column:
+    """``official``, ``reputable_media`` or ``other``, by the host or a domain above it."""
+    name = F.regexp_replace(F.lower(host), r"^www\.", "")
+
+    def of(domains) -> Column:
+        parts = F.split(name, r"\.")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+        return F.arrays_overlap(above, F.array(*[F.lit(d) for d in domains]))
+
+    return F.when(of(official), "official").when(of(reputable), "reputable_media").otherwise("other")
+
+
+def action_number_band(n: Column) -> Column:
+    return F.when(n <= 1, "1").when(n <= 3, "2-3").when(n <= 5, "4-5").when(n <= 10, "6-10").otherwise("11+")
+
+
+def difficulty_band(p: Column) -> Column:
+    return F.when(p < 0.6, "difficult").when(p <= 0.85, "moderate").when(p.isNotNull(), "easy")
+
+
+def cost(units: Column, cached: Column, model: Column, prices: dict[str, tuple[float, float]]) -> Column:
+    """Cost of units of which some were cached, at prices of a million; null where the model has no price."""
+    found = F.lit(None).cast("double")
+    for name, (full, low) in prices.items():
+        found = F.when(model == name, ((units - cached) * full + cached * low) / 1e6).otherwise(found)
+    return found
 
 
 def logistic(margin: Column, temperature: float = 1.0) -> Column:

@@ -72,7 +72,12 @@ def require_ranks(rows: DataFrame, key: str, other: str, rank: str, distance: st
 
 
 def require_close(a: DataFrame, b: DataFrame, key: str, columns: list[str], rtol: float = 1e-7, atol: float = 2e-7) -> None:
-    joined = a.alias("a").join(b.alias("b"), key)
-    far = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > atol + rtol * F.abs(F.col(f"b.{c}")) for c in columns]
-    if joined.where(F.coalesce(F.greatest(*[x.cast("int") for x in far], F.lit(0)) > 0, F.lit(False))).limit(1).count():
+    """Both tables have the same keys, and values are equal within the tolerance; null is equal to null alone."""
+    x, y = (t.select(F.col(key).alias("_key"), F.lit(True).alias("_there"), *columns).alias(n) for t, n in ((a, "a"), (b, "b")))
+    joined = x.join(y, F.col("a._key").eqNullSafe(F.col("b._key")), "full")
+    bad = F.col("a._there").isNull() | F.col("b._there").isNull()
+    for c in columns:
+        left, right = F.col(f"a.{c}"), F.col(f"b.{c}")
+        bad = bad | (left.isNull() != right.isNull()) | F.coalesce(F.abs(left - right) > atol + rtol * F.abs(right), F.lit(False))
+    if joined.where(bad).limit(1).count():
         raise ContractError("recomputed values differ")

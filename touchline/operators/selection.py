@@ -84,3 +84,28 @@ def one_per_url_and_host(rows: DataFrame, url: str, key: str, quality: Column) -
     first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("quality"), "plain_url", key))
     rows = rows.withColumn("_r", first("plain_url")).where("_r = 1")
     return rows.withColumn("_r", first("host")).where("_r = 1").drop("_r")
+
+
+def filtered(rows: DataFrame, key: str, value, equal: dict | None = None, between: dict | None = None) -> DataFrame:
+    """Rows of one key under optional filters; a None doesn't filter. Bounds that exclude each other raise."""
+    found = rows.where(F.col(key) == value)
+    for column, wanted in (equal or {}).items():
+        if wanted is not None:
+            found = found.where(F.col(column) == wanted)
+    for column, (least, most) in (between or {}).items():
+        if least is not None and most is not None and least > most:
+            raise ValueError(f"{column}: {least} is more than {most}")
+        if least is not None:
+            found = found.where(F.col(column) >= least)
+        if most is not None:
+            found = found.where(F.col(column) <= most)
+    return found
+
+
+def three_way_split(rows: DataFrame, group: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """(group, part): whole groups dealt by a hash to train, validation and test."""
+    groups = rows.select(group).distinct()  # a row per match
+    place = F.row_number().over(Window.orderBy(F.md5(F.col(group).cast("string").cast("binary")), group))
+    dealt = groups.select(group, place.alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
+    part = F.when(F.col("r") <= F.floor(F.lit(train) * F.col("n")), "train").when(F.col("r") <= F.floor(F.lit(train + validation) * F.col("n")), "validation").otherwise("test")
+    return dealt.select(group, part.alias("part"))

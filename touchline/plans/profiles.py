@@ -237,7 +237,7 @@ def pass_features(spark, sf_dir):
     )
 
 
-ZONE = "case when {x} < 40 then 'Defensive' when {x} < 80 then 'Middle' else 'Attacking' end || ' ' || case when {y} < 80/3.0 then 'Left' when {y} < 160/3.0 then 'Centre' else 'Right' end"
+ZONE = "case when {x} < 40 then 'defensive' when {x} < 80 then 'middle' else 'attacking' end || '_' || case when {y} < 80/3.0 then 'left' when {y} < 160/3.0 then 'centre' else 'right' end"
 
 
 @query("pitch_zone_counts", f"select {ZONE.format(x='start_x', y='start_y')} as start_zone, {ZONE.format(x='end_x', y='end_y')} as end_zone, count(*) as n, round(avg(completed), 6) as rate from ({PASSES_SQL}) group by 1, 2")

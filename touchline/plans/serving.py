@@ -158,11 +158,17 @@ def url_dedupe_select(spark, sf_dir):
     return X.one_per_url_and_host(rows, "url", "page_id", quality).select("page_id", "host", "plain_url")
 
 
-@query("source_quality", "select case when regexp_matches(lower(url), '://[^/]*\\.org') then 'established' when regexp_matches(lower(url), '://[^/]*\\.net') then 'community' else 'other' end as quality, count(*) as n from pages group by 1")
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www[.]', '')"
+
+
+def _in_domains(domains) -> str:
+    return " or ".join(f"h = '{d}' or h like '%.{d}'" for d in domains)
+
+
+@query("source_quality", f"select page_id, case when {_in_domains(T.OFFICIAL_DOMAINS)} then 'official' when {_in_domains(T.REPUTABLE_DOMAINS)} then 'reputable_media' else 'other' end as quality from (select page_id, {_HOST} as h from pages)")
 def source_quality(spark, sf_dir):
-    url = F.lower("url")
-    quality = F.when(F.rlike(url, F.lit(r"://[^/]*\.org")), "established").when(F.rlike(url, F.lit(r"://[^/]*\.net")), "community").otherwise("other")
-    return _read(spark, sf_dir, "pages").groupBy(quality.alias("quality")).agg(F.count("*").alias("n"))
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    return _read(spark, sf_dir, "pages").select("page_id", T.source_quality(host).alias("quality"))
 
 
 @query("control_char_clean", r"select doc_id, length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'))::integer as n from documents")
@@ -170,13 +176,15 @@ def control_char_clean(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.length(T.without_controls(F.col("text"))).alias("n"))
 
 
+_CITED = "'see [evidence_' || source || '; ' || lang || '-evidence] and [evidence' || doc_id || ' ;evidence' || doc_id || '] not [evidence ' || lang || '; x] nor [y]'"
+
+
 @query(
     "citation_extract",
-    r"select doc_id, array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(t, '\[([^\[\]]+)\]', 1), lambda g: regexp_split_to_array(g, '\s*;\s*'))), lambda x: trim(x)), lambda x: regexp_matches(x, '^[A-Za-z0-9_.:-]+$')), ',') as ids from (select doc_id, 'see [' || source || '; ' || lang || '] and [' || doc_id || '] not [a b]' as t from documents)",
+    rf"select doc_id, array_to_string(flatten(list_filter(list_transform(regexp_extract_all(t, '\[([^\[\]]+)\]', 1), lambda g: list_transform(string_split(g, ';'), lambda x: trim(x))), lambda m: len(list_filter(m, lambda x: not regexp_full_match(x, '\S*[eE][vV][iI][dD][eE][nN][cC][eE]\S*'))) = 0)), ',') as ids from (select doc_id, {_CITED} as t from documents)",
 )
 def citation_extract(spark, sf_dir):
-    line = F.concat(F.lit("see ["), "source", F.lit("; "), "lang", F.lit("] and ["), F.col("doc_id").cast("string"), F.lit("] not [a b]"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.citation_ids(line), ",").alias("ids"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.citation_ids(F.expr(_CITED)), ",").alias("ids"))
 
 
 @query("category_normalise", "select coalesce(nullif(trim(case when o_orderkey % 5 = 0 then '  ' when o_orderkey % 7 = 0 then null else ' ' || o_orderpriority end), ''), 'Unknown') as category, count(*) as n from orders group by 1")

@@ -62,11 +62,11 @@ neighbours_rms, neighbours_cosine, neighbours_manhattan = (_neighbours(m, s) for
 
 @query(
     "similar_players",
-    _pairs_sql(_RMS) + ", m as (select grp, median(distance) as d50 from d where distance > 0 and left_id < right_id group by 1) select d.left_id, d.right_id, round(100*exp(-ln(2)*distance/d50), 4) as similarity from d join m on d.grp = m.grp where left_id % 5 = 0",
+    _pairs_sql(_RMS) + ", m as (select grp, median(distance) as d50 from d where distance > 0 and left_id < right_id group by 1) select d.left_id, d.right_id, round(100*exp(-ln(2)*distance/d50), 4) as similarity from d join m on d.grp = m.grp",
 )
 def similar_players(spark, sf_dir):
     s = style_vectors(spark, sf_dir)
-    pairs = V.pairs(s, "player_id", "position_group", "v").where("left_id % 5 = 0")
+    pairs = V.pairs(s, "player_id", "position_group", "v")
     half = V.d50(s, "player_id", "position_group", "v").select("grp", "d50")
     return pairs.join(F.broadcast(half), "grp").select("left_id", "right_id", F.round(T.similarity_index(F.col("distance"), F.col("d50")), 4).alias("similarity"))  # a row per group
 
