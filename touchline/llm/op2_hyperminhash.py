@@ -8,9 +8,8 @@ The collision-corrected Jaccard estimate (six standard deviations of slack) rule
 
 Other pairs of a group are never all formed. A member differs from its pivot by a set of added and missing shingles, and two members differ by the
 symmetric difference of these sets. So a link that the pivot doesn't imply needs common differences. Ordered by how rare they are in the group, one of these stands early
-in both lists (prefix filtering, which loses nothing), and differences that a whole family has come last: members that share an early difference are a cell. A cell is first compared with its own
-pivot, so that families fall together, and only members of different components are paired then. Members far from the pivot can't be linked
-with close ones (Jaccard distance is a metric); they form groups with new pivots. What is still open after ``ROUNDS`` rounds is paired by the same filter over the whole shingle sets. Candidates that
+in both lists (prefix filtering, which loses nothing), and differences that a whole family has come last: members that share an early difference are a cell. A large cell is first compared with
+pivots of its own, so that families fall together, and only members of different components are paired then. Candidates that
 still lie in different components pass the estimate and are compared as well.
 
 With 32 bands of four registers a pair at the threshold 0.85 is missed with probability 1e-10, at 0.8 with 1e-7.
@@ -36,11 +35,8 @@ from touchline.llm.common import Words, documents, mixed, range_hashes, stored,
 BUCKETS = 128
 ROWS = 4
 MANTISSA = 10
-ROUNDS = 3
-FAR = 40
-"""Members below this similarity (percent) to their pivot have no list of differences."""
 CELL_ROUNDS = 2
-LARGE = 64
+LARGE = 16
 """Cells of more members are compared with a pivot of their own first, in so many rounds."""
 COLLISION = 1 / (3 * (1 << MANTISSA))
 """Chance that different minima give equal registers: equal leading zeros (1/3), then equal mantissas."""
@@ -150,8 +146,6 @@ def _shingle_set(text: str, k: int) -> set:
 
 
 def _compare(k: int, percent: int):
-    near = FAR + 100 - percent + 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[tuple | None, set] = (None, set())
         for batch in batches:
@@ -165,25 +159,23 @@ def _compare(k: int, percent: int):
                 both = len(pivot & other)
                 apart = len(pivot) + len(other) - 2 * both
                 linked = likely[i].as_py() and both > 0 and 100 * both >= percent * (both + apart)
-                listed = 100 * both >= FAR * (both + apart)
-                differ = [xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in pivot ^ other] if listed else []
-                rows.append((a, batch.column("b")[i].as_py(), linked, 100 * both >= near * (both + apart), listed, len(other), apart, differ))
-            names = ["a", "b", "linked", "near", "listed", "n", "apart", "differ"]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                differ = [xxhash.xxh64_intdigest(b" ".join(x)) - (1 << 63) for x in pivot ^ other]
+                rows.append((a, batch.column("b")[i].as_py(), linked, len(other), apart, differ))
+            names = ["a", "b", "linked", "n", "apart", "differ"]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=names)
 
     return run
 
 
 def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, likely) with ``linked``, whether b is near a, whether its differences are listed, the size of b's set, by how many shingles the sets differ, and hashes of these."""
+    """(a, b, likely) with ``linked``, the size of b's set, by how many shingles the sets differ, and hashes of these."""
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, near boolean, listed boolean, n long, apart long, differ array<long>")
+    return both.select("a", "b", "likely", "text_a", "text_b").mapInArrow(_compare(k, percent), "a long, b long, linked boolean, n long, apart long, differ array<long>")
 
 
 def cells(measured: DataFrame, percent: int) -> DataFrame:
     """(a, e, b, linked, n, apart, at): the early differences e of the members b of each pivot a that has members without a link; ``at`` is their place in b's list, rarest first."""
-    measured = measured.where("listed")
     groups = stored(measured.where(~F.col("linked")).select("a").distinct(), "open-groups")
     each = stored(measured.join(groups, "a", "left_semi").select("a", "b", "linked", "n", "apart", F.explode("differ").alias("e")), "differences")
     often = each.groupBy("a", "e").agg(F.count("*").alias("often"))
@@ -216,36 +208,6 @@ def cell_pairs(found: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
     return x.join(y, ["a", "e"]).where(fits).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
-def _shingles(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for lo, _, data, offsets in text_chunks(batch):
-                d, x = shingle_hashes(Words(data, offsets, fold=True), k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(d + lo)), pa.array(x.view(np.int64))], names=["id", "e"])
-
-    return run
-
-
-def open_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, rooted: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): members of open groups that may be linked, by prefix filtering over their whole sets: linked sets share one of their rarest shingles.
-
-    A shingle that one member alone has can't be shared; these come first in its order, and their number follows from the set's size.
-    """
-    several = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    still = stored(members.join(several, "band", "left_semi").select("id").distinct(), "open-members")
-    chosen = texts.join(still.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    each = stored(chosen.mapInArrow(_shingles(k), "id long, e long"), "open-shingles")
-    often = each.groupBy("e").agg(F.count("*").alias("often")).where("often > 1")
-    ordered = Window.partitionBy("id").orderBy("often", "e")
-    shared = each.join(often, "e").select("id", "e", F.row_number().over(ordered).alias("rank"), F.count("*").over(Window.partitionBy("id")).alias("shared"))
-    placed = shared.join(classes.select("id", "n"), "id").withColumn("at", F.col("n") - F.col("shared") + F.col("rank") - 1)
-    early = placed.where(F.col("at") * 100 <= F.col("n") * (100 - percent)).join(rooted, "id", "left").select("e", "id", "n", F.coalesce("root", "id").alias("root"))
-    x, y = (early.select("e", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "root")]) for side in "xy")
-    fits = (F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & _similar_size(F.col("n_x"), F.col("n_y"), percent)
-    return x.join(y, "e").where(fits).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, root): each linked id with the smallest id it can reach, by alternating large and small stars until nothing changes."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -280,17 +242,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # the texts of all classes that share a band, selected once; a merge join at any size, so that its cost is in proportion
     companions = members.select(F.col("id").alias("doc_id")).distinct()
     texts = stored(docs.select("doc_id", "text").join(companions.hint("merge"), "doc_id", "left_semi"), "texts")
-    measured = None
-    for number in range(ROUNDS):
-        pivots = stored(members.groupBy("band").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p"), F.count("*").alias("members")).where("members > 1").select("band", (-F.col("p.id")).alias("a")), "pivots")
-        groups = stored(members.join(pivots, "band").where("id <> a"), "groups")
-        star = groups.select("a", F.col("id").alias("b")).distinct()
-        found = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), texts, k, percent), "measured")
-        measured = found if measured is None else measured.unionByName(found)
-        far = found.where(~F.col("near")).select("a", F.col("b").alias("id"))
-        members = stored(groups.join(far, ["a", "id"]).select("band", "id", "central"), "members")
-        if not members.groupBy("band").count().where("count > 1").limit(1).count():
-            break
+    pivots = members.groupBy("band").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p")).select("band", (-F.col("p.id")).alias("a"))
+    star = members.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    measured = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), texts, k, percent), "measured")
     links = measured.where("linked").select("a", "b")
     rooted = components(links)
 
@@ -306,10 +260,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         stars = star.select(F.col("a").alias("b")) if stars is None else stars.unionByName(star.select(F.col("a").alias("b")))
         more = confirmed(star)
-        if more.limit(1).count():
-            links = links.union(more)
-            rooted = components(links)
-    rest = stored(cell_pairs(found, rooted, percent).union(open_pairs(members, texts, classes, rooted, k, percent)).distinct(), "other-pairs")
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        rooted = components(links)
+    rest = stored(cell_pairs(found, rooted, percent), "other-pairs")
     if rest.limit(1).count():
         more = confirmed(rest)
         if more.limit(1).count():
