@@ -109,3 +109,43 @@ def rates(name: str) -> list[Column]:
     """Numerator, denominator and rate of a boolean column over the rows where it isn't null."""
     top, below = F.count(F.when(F.col(name), 1)), F.count(name)
     return [top.alias(f"{name}_numerator"), below.alias(f"{name}_denominator"), F.round(F.try_divide(top, below), 6).alias(f"{name}_rate")]
+
+
+def distance_shares(rows: DataFrame, group: str, vector: str) -> DataFrame:
+    """Mean squared difference of all pairs of a group in each dimension, and its share of the sum: twice the sample variance, so no pair is formed."""
+    each = rows.select(group, F.posexplode(vector).alias("dim", "x"))
+    squared = each.groupBy(group, "dim").agg((F.var_samp("x") * 2).alias("mean_squared"))
+    return squared.withColumn("share", F.try_divide("mean_squared", F.sum("mean_squared").over(Window.partitionBy(group))))
+
+
+def distinguishing(rows: DataFrame, label: str, vector: str, most: int = 4) -> DataFrame:
+    """The dimensions in which a label's mean lies furthest from the mean of all, in standard deviations; ties to the earlier dimension."""
+    each = rows.select(label, F.posexplode(vector).alias("dim", "x"))
+    parts = each.groupBy(label, "dim").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))  # a row per label and dimension
+    whole = Window.partitionBy("dim")
+    n, mean = F.sum("n").over(whole), F.sum("s").over(whole) / F.sum("n").over(whole)
+    spread = F.sqrt(F.sum("q").over(whole) / n - mean * mean)
+    z = parts.select(label, "dim", F.round(F.try_divide(F.col("s") / F.col("n") - mean, spread), 6).alias("z"))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.desc(F.abs("z")), "dim"))
+    return z.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def vector_summary(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Root mean square distance, cosine similarity and rank correlation (average ranks of ties) of two arrays of each row."""
+    each = rows.select(key, F.posexplode(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")))).select(key, F.round("col.x", 9).alias("x"), F.round("col.y", 9).alias("y"))
+    own = Window.partitionBy(key)
+    rank = lambda c: F.rank().over(own.orderBy(c)) + (F.count("*").over(Window.partitionBy(key, c)) - 1) / 2
+    ranked = each.withColumns({"rx": rank("x"), "ry": rank("y")})
+    total = lambda c, d: F.sum(F.col(c) * F.col(d))
+    apart = F.sqrt(F.avg((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))))
+    cosine = F.try_divide(total("x", "y"), F.sqrt(total("x", "x")) * F.sqrt(total("y", "y")))
+    n, left, right = F.count("*"), F.sum("rx"), F.sum("ry")
+    spearman = F.try_divide(n * total("rx", "ry") - left * right, F.sqrt(n * total("rx", "rx") - left * left) * F.sqrt(n * total("ry", "ry") - right * right))
+    return ranked.groupBy(key).agg(F.round(apart, 6).alias("rms"), F.round(cosine, 6).alias("cosine"), F.round(spearman, 6).alias("spearman"))
+
+
+def support(rows: DataFrame, observed: str, thresholds: list[int], enough: int = 20) -> DataFrame:
+    """For each threshold: how many rows have at least so many observations, and whether these are enough for a conclusion."""
+    levels = F.explode(F.array(*[F.lit(t) for t in thresholds]))
+    kept = rows.select(observed, levels.alias("threshold")).where(F.col(observed) >= F.col("threshold"))
+    return kept.groupBy("threshold").agg(F.count("*").alias("eligible"), F.round(F.avg(observed), 6).alias("mean_observed"), (F.count("*") >= enough).alias("meaningful"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import models, pages, profiles, roles, sequences, serving, vectors  # noqa: F401  (they register their queries)
+from touchline.plans import audits, models, pages, profiles, roles, sequences, serving, vectors  # noqa: F401  (they register their queries)
 from touchline.plans.base import QUERIES, SQL, Query
 
 
