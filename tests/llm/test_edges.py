@@ -340,3 +340,28 @@ def test_token_files_ascend_file_by_file(spark, tmp_path):
     parts = spark.read.parquet(f"{path}/blocks").select("part", "block", F.input_file_name().alias("file"), "sizes", "documents").orderBy("file", "block").collect()
     names = [i for r in parts for i in np.frombuffer(r.documents[len(r.sizes) // 8 :], "<i8").tolist()]
     assert names == sorted(order) and [r.part for r in parts] == sorted(r.part for r in parts)
+
+
+def test_components_and_later_links_are_those_of_union_find(spark):
+    def smallest(links):
+        root = {x: x for link in links for x in link}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        return {x: find(x) for x in root if find(x) != x}
+
+    rng = random.Random(4)
+    first = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(1000 + i, 1001 + i) for i in range(12)]  # with a chain
+    later = [(rng.randrange(220), rng.randrange(220)) for _ in range(20)]
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    for links in (first, []):
+        rooted = op2.components(table(links))
+        for found, want in ((rooted, links), (op2.joined_components(rooted, table(later)), [*links, *later])):
+            rows = [tuple(r) for r in found.select("id", "root").collect()]
+            assert len(rows) == len(dict(rows)) and dict(rows) == smallest(want)

@@ -208,15 +208,16 @@ def cell_pairs(found: DataFrame, rooted: DataFrame, percent: int) -> DataFrame:
     return x.join(y, ["a", "e"]).where(fits).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge and no u is another one's v."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, root): each linked id with the smallest id it can reach, by alternating large and small stars until nothing changes."""
+    """(id, root): each linked id with the smallest id it can reach, by alternating large and small stars until each component is one star around its smallest id."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = state
+    while not _are_stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -225,6 +226,18 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "small-star")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def joined_components(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted`` after further links: only the roots that these join are searched anew."""
+
+    def root_of(links: DataFrame, end: str) -> DataFrame:
+        return links.join(rooted.select(F.col("id").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+
+    moved = components(root_of(root_of(links, "a"), "b"))
+    kept = rooted.join(moved.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    return stored(kept.union(moved), "joined-components")  # a root is no id of ``rooted``
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -245,8 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pivots = members.groupBy("band").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("p")).select("band", (-F.col("p.id")).alias("a"))
     star = members.join(pivots, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     measured = stored(compared(stored(estimated(star, classes, percent), "star-pairs"), texts, k, percent), "measured")
-    links = measured.where("linked").select("a", "b")
-    rooted = components(links)
+    rooted = components(measured.where("linked").select("a", "b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = stored(estimated(pairs, classes, percent).where("likely"), "other-likely")
@@ -262,13 +274,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         more = confirmed(star)
         if not more.limit(1).count():
             break
-        links = links.union(more)
-        rooted = components(links)
+        rooted = joined_components(rooted, more)
     rest = stored(cell_pairs(found, rooted, percent), "other-pairs")
     if rest.limit(1).count():
         more = confirmed(rest)
         if more.limit(1).count():
-            rooted = components(links.union(more))
+            rooted = joined_components(rooted, more)
     labelled = classes.select("k1", "k2", F.col("n").alias("n_shingles"), "id").join(rooted, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("root", "id").alias("root"))
     joined = signed.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(labelled, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
