@@ -45,6 +45,26 @@ def name_matches(rows: DataFrame, name: str, wanted: str) -> DataFrame:
     return found.join(F.broadcast(best), F.col("match_class") == F.col("_best")).drop("_best")  # one row
 
 
+def resolved(rows: DataFrame, key: str, name: str, wanted: str) -> DataFrame:
+    """One row: whether a name stands for one row, for several of its best class of match, or for none; the key only in the first case."""
+    found = name_matches(rows, name, wanted).agg(F.count("*").alias("candidates"), F.min(key).alias("_key"))
+    status = F.when(F.col("candidates") == 1, "RESOLVED").when(F.col("candidates") > 1, "AMBIGUOUS").otherwise("NOT_FOUND")
+    return found.select(F.lit(wanted).alias("query"), status.alias("status"), "candidates", F.when(F.col("candidates") == 1, F.col("_key")).alias(key))
+
+
+def contaminated(rows: DataFrame, inner: str, outer: str, unit: str, k: int) -> DataFrame:
+    """For each of ``k`` outer folds: rows outside of it, and those of them whose label comes from a model that saw a unit of that fold.
+
+    A row's label comes from all units outside its own inner fold. Counted on cells of two folds, not on rows.
+    """
+    cells = rows.groupBy(inner, outer).agg(F.countDistinct(unit).alias("units"), F.count("*").alias("n"))
+    each = cells.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    own = F.col(outer) == F.col("fold")
+    per = each.groupBy("fold", inner).agg(F.sum(F.when(~own, F.col("n")).otherwise(0)).alias("train"), F.sum(F.when(own, F.col("units")).otherwise(0)).alias("held"))
+    seen = per.withColumn("seen", F.sum("held").over(Window.partitionBy("fold")) > F.col("held"))
+    return seen.groupBy("fold").agg(F.sum("train").alias("training"), F.sum(F.when(F.col("seen"), F.col("train")).otherwise(0)).alias("contaminated"))
+
+
 def autocomplete(rows: DataFrame, name: str, key: str, typed: str, limit: int = 10) -> DataFrame:
     """Prefix before word prefix before contained, then by name and id."""
     text, t = F.lower(F.col(name)), typed.lower()

@@ -16,7 +16,7 @@ from touchline.plans.profiles import FEATURES_SQL, PROFILE_SQL, features, passin
 from touchline.plans.sequences import HALVES_SQL, _halves
 from touchline.plans.vectors import _MAN, _RMS, DIMS, ROLE_SQL, STYLE_VECTORS_SQL, _pairs_sql, _role_distances, neighbours_manhattan, neighbours_rms, style_vectors, topk_overlap_jaccard
 from touchline.sources import views
-from touchline.sources.views import PASSES_SQL
+from touchline.sources.views import PASSES_SQL, SHOTS_SQL
 
 # Players ---------------------------------------------------------------------------------------------------------------
 
@@ -185,3 +185,41 @@ def label_rates(spark, sf_dir):
     labelled = F.sum("n").over(Window.partitionBy())  # a row per label
     every = docs.agg(F.count("*").alias("_all")).scalar()
     return counted.select("quality", "n", F.round(F.col("n") / labelled, 6).alias("share"), F.round(labelled / every, 6).alias("coverage"))
+
+
+_FOLDED = (
+    f"m as (select distinct match_id from ({SHOTS_SQL})), f as (select match_id, (row_number() over (order by md5(match_id::varchar), match_id) - 1) % 5 + 1 as inner_fold, (row_number() over (order by md5('outer:' || match_id), 'outer:' || match_id) - 1) % 5 + 1 as outer_fold from m)"
+)
+
+
+@query(
+    "leakage_audit",
+    f"with {_FOLDED}, s as (select inner_fold, outer_fold from ({SHOTS_SQL}) x join f on x.match_id = f.match_id) "
+    "select h::integer as fold, count(*) as training, count(*) filter (exists (select 1 from f where f.outer_fold = h and f.inner_fold <> s.inner_fold)) as contaminated from s, range(1, 6) t(h) where outer_fold <> h group by 1",
+)
+def leakage_audit(spark, sf_dir):
+    """Labels from a first cross-fit, used inside a second one with other folds: how many saw a held-out match."""
+    shots = views.shots(spark, sf_dir).select("match_id", F.concat(F.lit("outer:"), F.col("match_id").cast("string")).alias("dealt"))
+    inner = X.folds(shots, "match_id", 5).withColumnRenamed("fold", "inner_fold")
+    outer = X.folds(shots, "dealt", 5).withColumnRenamed("fold", "outer_fold")
+    return X.contaminated(shots.join(inner, "match_id").join(outer, "dealt"), "inner_fold", "outer_fold", "match_id", 5)
+
+
+_WANTED = ("Customer#000000017", "customer 00000001", "000000002 Customer", "nobody")
+
+
+def _resolved_sql(wanted: str) -> str:
+    n = " ".join("".join(c if c.isalnum() else " " for c in wanted.lower()).split())
+    kind = f"case when n = '{n}' then 1 when contains(n, '{n}') then 2 when len(list_filter({n.split()}, lambda x: not list_contains(string_split(n, ' '), x))) = 0 then 3 end"
+    best = f"select c_custkey, {kind} as c from (select c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) as n from customer)"
+    return f"select '{wanted}' as query, case count(*) when 0 then 'NOT_FOUND' when 1 then 'RESOLVED' else 'AMBIGUOUS' end as status, count(*) as candidates, case when count(*) = 1 then min(c_custkey) end as c_custkey from ({best}) where c = (select min(c) from ({best}))"
+
+
+@query("entity_resolution", " union all ".join(_resolved_sql(w) for w in _WANTED))
+def entity_resolution(spark, sf_dir):
+    """A few stated names against all customers."""
+    customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    first, *others = [X.resolved(customers, "c_custkey", "c_name", w) for w in _WANTED]
+    for other in others:
+        first = first.unionByName(other)
+    return first
