@@ -25,7 +25,7 @@ def feature_stages(numeric: list[str], categories: list[str], output: str = "fea
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, group: str, ids: list[str], label: str, numeric: list[str], categories: list[str], kind: str = "logistic") -> DataFrame:
     """A probability for every row from a model that saw none of its fold. As many models as folds."""
-    joined = rows.join(F.broadcast(folds), group).withColumn("_label", F.col(label).cast("double"))  # a row per group
+    joined = rows.join(folds, group).withColumn("_label", F.col(label).cast("double"))
     parts = []
     for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         if kind == "logistic":

@@ -106,7 +106,8 @@ def oof_group_mean(spark, sf_dir):
     from pyspark.sql import Window
 
     rows = views.passes(spark, sf_dir).select("match_id", "player_id", "completed")
-    per = rows.join(F.broadcast(X.folds(rows, "match_id", 5)), "match_id").groupBy("player_id", "fold").agg(F.sum("completed").alias("s"), F.count("*").alias("n"))  # folds: a row per match
+    each = rows.groupBy("player_id", "match_id").agg(F.sum("completed").alias("s"), F.count("*").alias("n"))
+    per = each.join(X.folds(rows, "match_id", 5), "match_id").groupBy("player_id", "fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     w = Window.partitionBy("player_id")
     return per.select("player_id", "fold", F.round(P.rate(F.sum("s").over(w) - F.col("s"), F.sum("n").over(w) - F.col("n")), 6).alias("rate"))
 
