@@ -25,7 +25,6 @@ from touchline.llm.common import documents, text_chunks
 BLOCK = 4096
 MARKERS = ("<P>", "<S>", "<M>")
 OUTPUTS = ["n", "form", "prefix_chars", "middle_chars", "output"]
-_HASHES = [f"__h{i}" for i in range(1, 5)]
 
 
 class Fenwick:
@@ -84,9 +83,9 @@ class Units:
         return self.points.before(block) + int(np.count_nonzero((self.data[block * self.block : byte] & 0xC0) != 0x80))
 
 
-def _hashes(id_col: str, seed: int) -> list[Column]:
+def _hashes(id_col: str, seed: int, names: list[str]) -> list[Column]:
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"), 256)
-    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").alias(name) for i, name in enumerate(_HASHES)]
+    return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").alias(name) for i, name in enumerate(names)]
 
 
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, rate: int = 100, spm_rate: int = 50, block: int = BLOCK) -> DataFrame:
@@ -95,6 +94,8 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``rate`` of 100 texts are rearranged, ``spm_rate`` of 100 of these in the form suffix-prefix-middle.
     """
     p, s, m = (x.encode() for x in MARKERS)
+    longest = max((len(c) for c in docs.columns), default=0)
+    names = [f"{'h' * longest}{i}" for i in range(1, 5)]  # longer than any column of the caller
 
     def rearranged(data: np.ndarray, h: tuple[int, ...]) -> tuple:
         raw, units = data.tobytes(), Units(data, block)
@@ -110,17 +111,17 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = list(zip(*(batch.column(name).to_pylist() for name in _HASHES), strict=True))
+            hashes = list(zip(*(batch.column(name).to_pylist() for name in names), strict=True))
             for lo, hi, data, offsets in text_chunks(batch, text_col):
                 found = [rearranged(data[a:b], h) for a, b, h in zip(offsets[:-1], offsets[1:], hashes[lo:hi], strict=True)]
-                part = batch.slice(lo, hi - lo).drop_columns(_HASHES)
+                part = batch.slice(lo, hi - lo).drop_columns(names)
                 n, form, before, middle, output = zip(*found, strict=True)
                 made = [pa.array(n, pa.int64()), pa.array(form, pa.string()), pa.array(before, pa.int64()), pa.array(middle, pa.int64()), pa.array(output, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *OUTPUTS])
 
     rows = docs.select(*[c for c in docs.columns if c not in OUTPUTS or c in (id_col, text_col)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.select("*", *_hashes(id_col, seed)).mapInArrow(run, f"{schema}, n long, form string, prefix_chars long, middle_chars long, output string")
+    return rows.select("*", *_hashes(id_col, seed, names)).mapInArrow(run, f"{schema}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
 def restored(output: str = "output", form: str = "form") -> Column:
