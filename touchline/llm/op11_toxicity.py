@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.common import Words, crc_fold, documents, mixed, range_hashes, stored, text_chunks
@@ -289,8 +289,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) ->
     once = stored(once.select("h", "text", (F.col("toxic") >= 0.5).cast("int").alias("toxic")), "toxicity-texts")
     names = [f"m{i}" for i in range(VOTE_HASHES)]
     hashed = once.select("h", "text").mapInArrow(_least_hashes, "h string, " + ", ".join(f"{m} long" for m in names))
-    alike = F.greatest(*[F.count("*").over(Window.partitionBy(m)) for m in names])  # windows over at most ``bound`` rows of hashes
-    votes = hashed.select("h", F.greatest(F.lit(1), F.round(VOTE / alike)).cast("long").alias("vote"))
+    each = stored(hashed.select("h", F.posexplode(F.array(*names)).alias("i", "m")), "toxicity-hashes")
+    alike = each.groupBy("i", "m").agg(F.count("*").alias("n"))
+    votes = each.join(alike, ["i", "m"]).groupBy("h").agg(F.greatest(F.lit(1), F.round(VOTE / F.max("n"))).cast("long").alias("vote"))
     return stored(once.join(votes, "h").select("text", "toxic", "vote"), "toxicity-training")
 
 
