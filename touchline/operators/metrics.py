@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.ordering import running_sums
+from touchline.sources.scratch import stored
+
 CLIP = 1e-7
 
 
 def probability_metrics(rows: DataFrame, y: str, p: str) -> DataFrame:
     """Log loss, Brier score, accuracy at 0.5, and the exact AUC. Rows are first counted by (p, y), so the ranks run over distinct scores."""
-    counts = rows.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).alias("p"), F.col(y).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    counts = stored(rows.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.col(p).alias("p"), F.col(y).cast("int").alias("y")).agg(F.count("*").alias("n")), "scores")
     clipped = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), F.col("p")))
     loss = -F.when(F.col("y") == 1, F.log(clipped)).otherwise(F.log(F.lit(1.0) - clipped))
     n, positive, negative = F.sum("n"), F.sum(F.col("n") * F.col("y")), F.sum(F.col("n") * (1 - F.col("y")))
@@ -20,8 +23,7 @@ def probability_metrics(rows: DataFrame, y: str, p: str) -> DataFrame:
         F.round(F.sum(F.when((F.col("p") >= 0.5) == (F.col("y") == 1), F.col("n")).otherwise(0)) / n, 6).alias("accuracy"), positive.alias("_p"), negative.alias("_q"),
     )
     scores = counts.groupBy("p").agg(F.sum(F.col("n") * F.col("y")).alias("pos"), F.sum(F.col("n") * (1 - F.col("y"))).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = scores.withColumn("below", below).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("_u"))
+    auc = running_sums(scores, ["p"], {"upto": "neg"}).agg(F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2)).alias("_u"))
     joined = base.crossJoin(auc)  # one row each
     return joined.select("n", "positives", "log_loss", "brier", "accuracy", F.round(F.try_divide(F.col("_u"), (F.col("_p") * F.col("_q")).cast("double")), 6).alias("auc"))
 

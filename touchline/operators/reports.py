@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.ordering import running_sums
+
 
 def _total(column: str) -> Column:
     """The sum over all rows; only for aggregates, with a row per bin, label or distinct score."""
@@ -68,9 +70,9 @@ def left_closed_bins(rows: DataFrame, p: str, y: str, bins: int) -> DataFrame:
 def average_precision(rows: DataFrame, p: str, y: str) -> DataFrame:
     """Area under the precision-recall curve as a sum over distinct scores, ties taken together."""
     per = rows.groupBy(F.round(p, 9).alias("p")).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    w = Window.orderBy(F.desc("p"))
-    steps = per.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("seen"), _total("pos").alias("total"))
-    return steps.agg(F.round(F.sum(F.try_divide("pos", "total") * F.col("tp") / F.col("seen")), 6).alias("average_precision"))
+    steps = running_sums(per, [F.desc("p")], {"tp": "pos", "seen": "n"})
+    found = steps.agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("area"), F.sum("pos").alias("total"))
+    return found.select(F.round(F.try_divide("area", F.col("total").cast("double")), 6).alias("average_precision"))
 
 
 def nmi(rows: DataFrame, u: str, v: str) -> DataFrame:
