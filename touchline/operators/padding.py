@@ -53,11 +53,13 @@ class Encoder:
         self.means = {c: moments[f"m_{c}"] for c in self.numbers}
         self.scales = {c: moments[f"s_{c}"] if moments[f"s_{c}"] >= LEAST_SCALE else 1.0 for c in self.numbers}
         self.modes = {c: float((moments[f"f_{c}"] or 0) > 0.5) for c in self.flags}
+        self.vocabularies: dict[str, dict[str, int]] = {c: {UNKNOWN: 0} for c in self.categories}
+        if not self.categories:
+            return self
         each = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in self.categories])).alias("x")).select("x.*")
         words = each.where(F.col("value").isNotNull() & (F.col("value") != UNKNOWN)).distinct().orderBy("name", "value").limit(MOST_WORDS + 1).collect()
         if len(words) > MOST_WORDS:
             raise ValueError(f"more than {MOST_WORDS} distinct categories")
-        self.vocabularies: dict[str, dict[str, int]] = {c: {UNKNOWN: 0} for c in self.categories}
         for name, value in words:
             self.vocabularies[name][value] = len(self.vocabularies[name])
         return self
