@@ -11,7 +11,7 @@ _NAMED = "struct<id:long,name:string>"
 SCHEMA = (
     f"id string, index long, match_id long, period long, minute long, second long, timestamp string, possession long, type {_NAMED}, play_pattern {_NAMED}, possession_team {_NAMED}, team {_NAMED}, "
     f"player {_NAMED}, position {_NAMED}, location array<double>, under_pressure boolean, "
-    f"pass struct<end_location:array<double>,outcome:{_NAMED},length:double,angle:double,height:{_NAMED},body_part:{_NAMED}>, carry struct<end_location:array<double>>, dribble struct<outcome:{_NAMED}>, "
+    f"pass struct<end_location:array<double>,outcome:{_NAMED},length:double,angle:double,height:{_NAMED},body_part:{_NAMED},type:{_NAMED}>, carry struct<end_location:array<double>>, dribble struct<outcome:{_NAMED}>, "
     f"shot struct<outcome:{_NAMED},type:{_NAMED},body_part:{_NAMED},technique:{_NAMED},first_time:boolean,one_on_one:boolean,open_goal:boolean,expected_goal:double>"
 )
 
