@@ -45,6 +45,11 @@ def name_matches(rows: DataFrame, name: str, wanted: str) -> DataFrame:
     return found.join(F.broadcast(best), F.col("match_class") == F.col("_best")).drop("_best")  # one row
 
 
+def named_like(rows: DataFrame, name: str, typed: str) -> DataFrame:
+    """Rows whose name contains ``typed`` in any case; ``%`` and ``_`` are plain characters."""
+    return rows.where(F.contains(F.lower(name), F.lit(typed.lower())))
+
+
 def resolved(rows: DataFrame, key: str, name: str, wanted: str) -> DataFrame:
     """One row: whether a name stands for one row, for several of its best class of match, or for none; the key only in the first case."""
     found = name_matches(rows, name, wanted).agg(F.count("*").alias("candidates"), F.min(key).alias("_key"))
