@@ -50,3 +50,11 @@ def average_rank_of(pairs: DataFrame, side: str) -> DataFrame:
     """Average ranks where a row stands for ``n`` rows."""
     counts = pairs.groupBy(side).agg(F.sum("n").alias("_n"))
     return running_sums(counts, [side], {"_upto": "_n"}).select(side, (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
+
+
+def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row: for each share the smallest value that at least so much of the rows doesn't exceed; null without rows."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    placed = stored(running_sums(counts, ["v"], {"upto": "n"}), "placed-values")
+    whole = placed.agg(F.max("upto").alias("size"))
+    return placed.crossJoin(F.broadcast(whole)).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("size") - 1e-9), F.col("v"))).alias(name) for name, p in shares.items()])  # one row

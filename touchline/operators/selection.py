@@ -50,6 +50,16 @@ def named_like(rows: DataFrame, name: str, typed: str) -> DataFrame:
     return rows.where(F.contains(F.lower(name), F.lit(typed.lower())))
 
 
+def subset(rows: DataFrame, teams: list[int] | None = None, matches: list[int] | None = None, group: str | None = None, without_player: int | None = None) -> DataFrame:
+    """Rows of some teams, matches and a position group, without one player; a None doesn't filter, and rows without a player aren't that player's."""
+    for column, wanted in (("team_id", teams), ("match_id", matches)):
+        if wanted is not None:
+            rows = rows.where(F.col(column).isin(wanted))
+    if group is not None:
+        rows = rows.where(F.col("position_group") == group)
+    return rows if without_player is None else rows.where(~F.col("player_id").eqNullSafe(without_player))
+
+
 def resolved(rows: DataFrame, key: str, name: str, wanted: str) -> DataFrame:
     """One row: whether a name stands for one row, for several of its best class of match, or for none; the key only in the first case."""
     found = name_matches(rows, name, wanted).agg(F.count("*").alias("candidates"), F.min(key).alias("_key"))

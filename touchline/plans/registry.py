@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.plans import aligned, answers, audits, cluster_reports, clusters, evidence, models, pages, profiles, raw, roles, sequences, serving, stability, state_values, teams, vectors  # noqa: F401  (they register their queries)
+from touchline.plans import aligned, answers, audits, choices, cluster_reports, clusters, evidence, models, pages, profiles, raw, roles, sequences, serving, stability, state_values, teams, vectors  # noqa: F401  (they register their queries)
 from touchline.plans.base import QUERIES, SQL, Query
 
 
