@@ -194,3 +194,11 @@ def test_scaling_that_gains_nothing_is_dropped(spark):
     for strict in (True, False):
         row = T.assessed(rows, "g", "z", "y", fitted, strict).first()
         assert not row.retained and row.used == 1.0
+
+
+def test_group_medians(spark):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": rng.integers(0, 5, 301), "v": rng.normal(size=301).round(1)})
+    rows = spark.createDataFrame([*[(int(a), float(b)) for a, b in frame.values], (0, None), (9, None)], "g int, v double").repartition(5)
+    assert {r.g: (r.n, r.median) for r in O.group_medians(rows, "g", "v").collect()} == {g: (len(x), pytest.approx(x.v.median())) for g, x in frame.groupby("g")}
+    assert O.group_medians(rows.limit(0), "g", "v").count() == 0

@@ -32,21 +32,15 @@ _APOSTROPHES = "'’ʼ＇"
 
 
 @F.pandas_udf(StringType())
-def _name_key(names: pd.Series) -> pd.Series:
-    def key(name: str | None) -> str | None:
-        if name is None:
-            return None
-        folded = unicodedata.normalize("NFKC", name).casefold()
-        kept = (c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in folded if c not in _APOSTROPHES)
-        return " ".join("".join(kept).split())
-
-    return names.map(key)
+def _composed(names: pd.Series) -> pd.Series:
+    """Unicode's normal form KC and full case folding, which Spark doesn't have."""
+    return names.map(lambda name: unicodedata.normalize("NFKC", name).casefold(), na_action="ignore")
 
 
 def name_key(c: Column) -> Column:
-    """NFKC and case-folded, apostrophes dropped, other marks as single spaces. Spark has no Unicode normal forms, so names in other letters than ASCII take a Pandas function."""
-    plain = F.trim(F.regexp_replace(F.translate(F.lower(c), "'", ""), "[^a-z0-9]+", " "))
-    return F.when(F.rlike(c, F.lit(r"^[\x00-\x7F]*$")), plain).otherwise(_name_key(c))
+    """A name for comparing: folded, without apostrophes, everything but letters, marks and numbers as single spaces. Only names beyond ASCII meet a Python worker."""
+    folded = F.when(F.rlike(c, F.lit(r"^[\x00-\x7F]*$")), F.lower(c)).otherwise(_composed(c))
+    return F.trim(F.regexp_replace(F.translate(folded, _APOSTROPHES, ""), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def without_controls(c: Column) -> Column:

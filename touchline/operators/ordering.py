@@ -58,3 +58,15 @@ def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float]) -> Data
     placed = stored(running_sums(counts, ["v"], {"upto": "n"}), "placed-values")
     whole = placed.agg(F.max("upto").alias("size"))
     return placed.crossJoin(F.broadcast(whole)).agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("size") - 1e-9), F.col("v"))).alias(name) for name, p in shares.items()])  # one row
+
+
+def group_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, median) of the values that aren't null: the middle one, or the mean of both, found by running counts, so that no task holds a group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = stored(running_sums(counts, [group, "_v"], {"_upto": "_n"}), "placed-groups")
+    whole = placed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_before"), F.sum("_n").alias("n"))
+    inside = placed.join(whole, group).withColumns({"_first": F.col("_upto") - F.col("_n") - F.col("_before"), "_last": F.col("_upto") - F.col("_before")})
+    holds = lambda at: (F.col("_first") <= at) & (at < F.col("_last"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = inside.where(holds(low) | holds(high))  # two rows of a group at most
+    return middle.groupBy(group, "n").agg(((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias("median"))

@@ -11,8 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.ordering import ordinals, running_sums
-from touchline.sources.scratch import stored
+from touchline.operators.ordering import group_medians, ordinals
 
 UNKNOWN = "Unknown"
 LEAST_SCALE = 1e-8
@@ -28,13 +27,7 @@ def _finite(c: str) -> Column:
 def exact_medians(rows: DataFrame, columns: list[str]) -> dict[str, float]:
     """The median of each column's finite values, by running counts over its distinct values; None where there is none."""
     each = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), _finite(c).alias("value")) for c in columns])).alias("x")).select("x.*").where("value is not null")
-    counts = stored(each.groupBy("name", "value").agg(F.count("*").alias("n")), "medians")
-    sizes = counts.groupBy("name").agg(F.sum("n").alias("size"))
-    placed = running_sums(counts, ["name", "value"], {"upto": "n"})
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))  # a row per column
-    inside = placed.join(F.broadcast(before), "name").withColumn("last", F.col("upto") - F.col("before")).withColumn("first", F.col("last") - F.col("n"))
-    middle = lambda at: F.max(F.when((F.col("first") <= at) & (at < F.col("last")), F.col("value")))
-    found = inside.groupBy("name").agg(((middle(F.floor((F.col("size") - 1) / 2)) + middle(F.floor(F.col("size") / 2))) / 2).alias("median")).collect()
+    found = group_medians(each, "name", "value").collect()  # a row per column
     return {r.name: r.median for r in found}
 
 

@@ -60,11 +60,21 @@ def subset(rows: DataFrame, teams: list[int] | None = None, matches: list[int] |
     return rows if without_player is None else rows.where(~F.col("player_id").eqNullSafe(without_player))
 
 
-def resolved(rows: DataFrame, key: str, name: str, wanted: str) -> DataFrame:
-    """One row: whether a name stands for one row, for several of its best class of match, or for none; the key only in the first case."""
-    found = name_matches(rows, name, wanted).agg(F.count("*").alias("candidates"), F.min(key).alias("_key"))
+def resolved(rows: DataFrame, key: str, name: str, wanted: list[str]) -> DataFrame:
+    """(query, status, candidates, key) for each wanted name: whether it stands for one row, for several of its best class of match, or for none; the key only in the first case.
+
+    The rows are read once and meet the names in a broadcast table of as many rows as names.
+    """
+    asked = rows.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(wanted)], "query string").withColumn("_want", name_key(F.col("query")))
+    keyed = rows.select(key, name_key(F.col(name)).alias("_key"))
+    both = keyed.crossJoin(F.broadcast(asked))  # the names asked for
+    part = F.size(F.array_except(F.split("_want", " "), F.split("_key", " "))) == 0
+    kind = F.when(F.col("_key") == F.col("_want"), 1).when(F.contains("_key", "_want"), 2).when(part, 3)
+    counted = both.withColumn("kind", kind).where("kind is not null").groupBy("query", "kind").agg(F.count("*").alias("candidates"), F.min(key).alias("least"))
+    best = counted.groupBy("query").agg(F.min(F.struct("kind", "candidates", "least")).alias("m"))
+    found = asked.join(best, "query", "left").select("query", F.coalesce("m.candidates", F.lit(0)).alias("candidates"), F.col("m.least").alias("least"))
     status = F.when(F.col("candidates") == 1, "RESOLVED").when(F.col("candidates") > 1, "AMBIGUOUS").otherwise("NOT_FOUND")
-    return found.select(F.lit(wanted).alias("query"), status.alias("status"), "candidates", F.when(F.col("candidates") == 1, F.col("_key")).alias(key))
+    return found.select("query", status.alias("status"), "candidates", F.when(F.col("candidates") == 1, F.col("least")).alias(key))
 
 
 def contaminated(rows: DataFrame, inner: str, outer: str, unit: str, k: int) -> DataFrame:

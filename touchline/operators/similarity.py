@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.ordering import group_medians
+
 
 def _folded(a: Column, b: Column, term, zero: float = 0.0) -> Column:
     return F.aggregate(F.zip_with(a, b, term), F.lit(zero), lambda s, x: s + x)
@@ -40,9 +42,9 @@ def pairs(rows: DataFrame, key: str, group: str, vector: str, metric: str = "rms
 
 
 def d50(rows: DataFrame, key: str, group: str, vector: str) -> DataFrame:
-    """Median of the positive distances of a group's pairs."""
+    """Median of the positive distances of a group's pairs, by counts of equal distances."""
     found = pairs(rows, key, group, vector, unique=True).where("distance > 0")
-    return found.groupBy("grp").agg(F.count("*").alias("pairs"), F.median("distance").alias("d50"))
+    return group_medians(found, "grp", "distance").select("grp", F.col("n").alias("pairs"), F.col("median").alias("d50"))
 
 
 def neighbours(rows: DataFrame, key: str, group: str, vector: str, k: int = 10, metric: str = "rms") -> DataFrame:

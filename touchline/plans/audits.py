@@ -188,7 +188,7 @@ def label_rates(spark, sf_dir):
 
 
 _FOLDED = (
-    f"m as (select distinct match_id from ({SHOTS_SQL})), f as (select match_id, (row_number() over (order by md5(match_id::varchar), match_id) - 1) % 5 + 1 as inner_fold, (row_number() over (order by md5('outer:' || match_id), 'outer:' || match_id) - 1) % 5 + 1 as outer_fold from m)"
+    f"m as (select distinct match_id from ({SHOTS_SQL})), f as (select match_id, case when outer_fold <= 2 then 1 when outer_fold <= 4 then 2 else 3 end as inner_fold, outer_fold from (select match_id, (row_number() over (order by md5('outer:' || match_id), 'outer:' || match_id) - 1) % 5 + 1 as outer_fold from m))"
 )
 
 
@@ -198,11 +198,11 @@ _FOLDED = (
     "select h::integer as fold, count(*) as training, count(*) filter (exists (select 1 from f where f.outer_fold = h and f.inner_fold <> s.inner_fold)) as contaminated from s, range(1, 6) t(h) where outer_fold <> h group by 1",
 )
 def leakage_audit(spark, sf_dir):
-    """Labels from a first cross-fit, used inside a second one with other folds: how many saw a held-out match."""
+    """Labels from a coarser first cross-fit, used inside a second one: how many saw a held-out match; those of the same coarse fold didn't."""
     shots = views.shots(spark, sf_dir).select("match_id", F.concat(F.lit("outer:"), F.col("match_id").cast("string")).alias("dealt"))
-    inner = X.folds(shots, "match_id", 5).withColumnRenamed("fold", "inner_fold")
     outer = X.folds(shots, "dealt", 5).withColumnRenamed("fold", "outer_fold")
-    return X.contaminated(shots.join(inner, "match_id").join(outer, "dealt"), "inner_fold", "outer_fold", "match_id", 5)
+    inner = F.when(F.col("outer_fold") <= 2, 1).when(F.col("outer_fold") <= 4, 2).otherwise(3)
+    return X.contaminated(shots.join(outer, "dealt").withColumn("inner_fold", inner), "inner_fold", "outer_fold", "match_id", 5)
 
 
 _WANTED = ("Customer#000000017", "customer 00000001", "000000002 Customer", "nobody")
@@ -218,8 +218,4 @@ def _resolved_sql(wanted: str) -> str:
 @query("entity_resolution", " union all ".join(_resolved_sql(w) for w in _WANTED))
 def entity_resolution(spark, sf_dir):
     """A few stated names against all customers."""
-    customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    first, *others = [X.resolved(customers, "c_custkey", "c_name", w) for w in _WANTED]
-    for other in others:
-        first = first.unionByName(other)
-    return first
+    return X.resolved(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", "c_name", list(_WANTED))

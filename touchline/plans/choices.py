@@ -33,7 +33,7 @@ _CLIP = "greatest(1e-7, least(1 - 1e-7, {p}))"
 )
 def model_by_validation(spark, sf_dir):
     """Candidates scored on the validation part; two of them tie, so that the name decides between these."""
-    rows = views.passes(spark, sf_dir).select("match_id", F.col("completed").alias("y"), F.col("expected_completion").alias("p"))
+    rows = views.actions(spark, sf_dir).select("match_id", F.col("completed").alias("y"), F.col("expected_completion").alias("p"))
     held = rows.join(X.three_way_split(rows, "match_id"), "match_id").where("part = 'validation'")
     s = M.scored_candidates(held, "y", {n: F.expr(e) for n, e in _CANDIDATES.items()})
     return s.select("model", "n", F.round("log_loss", 6).alias("log_loss"), F.round("brier", 6).alias("brier"), "chosen")
@@ -59,13 +59,13 @@ _FOLDS5 = f"select match_id, ((row_number() over (order by md5(match_id::varchar
 )
 def calibration_parts(spark, sf_dir):
     """Inside each outer fold a tenth of its training matches is kept for calibration."""
-    return M.calibration_parts(X.folds(views.passes(spark, sf_dir), "match_id", 5), "match_id")
+    return M.calibration_parts(X.folds(views.actions(spark, sf_dir), "match_id", 5), "match_id")
 
 
 @query("frozen_split", f"select part, count(distinct x.match_id) as matches, count(*) as n, round(avg(completed), 6) as completed from ({PASSES_SQL}) x join ({_SPLIT}) s on x.match_id = s.match_id group by 1")
 def frozen_split(spark, sf_dir):
     """A stored split used again; it must cover exactly the matches at hand."""
-    rows = views.passes(spark, sf_dir).select("match_id", "completed")
+    rows = views.actions(spark, sf_dir).select("match_id", "completed")
     found = M.with_frozen_split(rows, stored(X.three_way_split(rows, "match_id"), "frozen-split"), "match_id")
     return found.groupBy("part").agg(F.countDistinct("match_id").alias("matches"), F.count("*").alias("n"), F.round(F.avg("completed"), 6).alias("completed"))
 

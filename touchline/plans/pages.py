@@ -248,9 +248,11 @@ def group_location(spark, sf_dir):
     return R.group_location(s, "position_group", P.STYLE)
 
 
-@query("feature_availability", f"with s as ({_STYLE_ROWS}), l as ({_LONG}) select feature, position_group, count(*) as rows, count(value) as available, round(1 - count(value)/count(*)::double, 6) as missing_share from l group by 1, 2")
+@query("feature_availability", f"with s as (select * replace (case when player_id % 7 <> 3 then long_pass_rate end as long_pass_rate, case when player_id % 5 <> 0 then carry_share end as carry_share) from ({_STYLE_ROWS})), l as ({_LONG}) select feature, position_group, count(*) as rows, count(value) as available, round(1 - count(value)/count(*)::double, 6) as missing_share from l group by 1, 2")
 def feature_availability(spark, sf_dir):
+    """How many values of each feature there are; two features are taken from some players."""
     s = P.style_profile(features(spark, sf_dir), ["player_id", "position_group", "team_id"])
+    s = s.withColumns({"long_pass_rate": F.when(F.col("player_id") % 7 != 3, F.col("long_pass_rate")), "carry_share": F.when(F.col("player_id") % 5 != 0, F.col("carry_share"))})
     return R.availability(s, "position_group", P.STYLE)
 
 
@@ -259,13 +261,13 @@ _SCORED = f"select least(expected_completion, 1.0) as p, completed as y from ({P
 
 @query("calibration_left_closed", f"select least(floor(p*10 + 1e-9), 9)::integer as bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as rate from ({_SCORED}) group by 1")
 def calibration_left_closed(spark, sf_dir):
-    rows = views.passes(spark, sf_dir).select(F.least("expected_completion", F.lit(1.0)).alias("p"), F.col("completed").alias("y"))
+    rows = views.actions(spark, sf_dir).select(F.least("expected_completion", F.lit(1.0)).alias("p"), F.col("completed").alias("y"))
     return R.left_closed_bins(rows, "p", "y", 10)
 
 
 @query("pr_auc", f"with t as (select round(p, 9) as p, count(*) as n, sum(y) as pos from ({_SCORED}) group by 1), c as (select p, pos, sum(pos) over w as tp, sum(n) over w as seen, sum(pos) over () as total from t window w as (order by p desc)) select round(sum(pos/total::double * tp/seen::double), 6) as average_precision from c")
 def pr_auc(spark, sf_dir):
-    rows = views.passes(spark, sf_dir).select(F.least("expected_completion", F.lit(1.0)).alias("p"), F.col("completed").alias("y"))
+    rows = views.actions(spark, sf_dir).select(F.least("expected_completion", F.lit(1.0)).alias("p"), F.col("completed").alias("y"))
     return R.average_precision(rows, "p", "y")
 
 
@@ -293,7 +295,7 @@ def calinski_harabasz(spark, sf_dir):
 
 @query("split_80_10_10", f"select match_id, case when r <= floor(0.8*n) then 'train' when r <= floor(0.9*n) then 'validation' else 'test' end as part from (select match_id, row_number() over (order by md5(match_id::varchar), match_id) as r, count(*) over () as n from (select distinct match_id from ({PASSES_SQL})))")
 def split_80_10_10(spark, sf_dir):
-    return X.three_way_split(views.passes(spark, sf_dir), "match_id")
+    return X.three_way_split(views.actions(spark, sf_dir), "match_id")
 
 
 _CHECKS = "select conv_id, role, case when role = 'user' then null else length(text) >= 40 end as long_enough, text like '%.%' as sentences from conversations"

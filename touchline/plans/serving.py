@@ -97,7 +97,7 @@ _FOLDS = "select match_id, ((row_number() over (order by md5(match_id::varchar),
 
 @query("grouped_folds", _FOLDS.format(s=PASSES_SQL))
 def grouped_folds(spark, sf_dir):
-    return X.folds(views.passes(spark, sf_dir), "match_id", 5)
+    return X.folds(views.actions(spark, sf_dir), "match_id", 5)
 
 
 @query("oof_group_mean", f"with f as ({_FOLDS.format(s=PASSES_SQL)}), p as (select p.player_id, f.fold, completed from ({PASSES_SQL}) p join f on p.match_id = f.match_id), t as (select player_id, fold, sum(completed) as s, count(*) as n from p group by 1, 2) select player_id, fold, round((sum(s) over w - s)/nullif(sum(n) over w - n, 0)::double, 6) as rate from t window w as (partition by player_id)")
@@ -105,7 +105,7 @@ def oof_group_mean(spark, sf_dir):
     """A player's completion rate outside each fold: cross-fitted, no row sees its own fold."""
     from pyspark.sql import Window
 
-    rows = views.passes(spark, sf_dir).select("match_id", "player_id", "completed")
+    rows = views.actions(spark, sf_dir).select("match_id", "player_id", "completed")
     each = rows.groupBy("player_id", "match_id").agg(F.sum("completed").alias("s"), F.count("*").alias("n"))
     per = each.join(X.folds(rows, "match_id", 5), "match_id").groupBy("player_id", "fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     w = Window.partitionBy("player_id")
@@ -166,10 +166,11 @@ def _in_domains(domains) -> str:
     return " or ".join(f"h = '{d}' or h like '%.{d}'" for d in domains)
 
 
-@query("source_quality", f"select page_id, case when {_in_domains(T.OFFICIAL_DOMAINS)} then 'official' when {_in_domains(T.REPUTABLE_DOMAINS)} then 'reputable_media' else 'other' end as quality from (select page_id, {_HOST} as h from pages)")
+@query("source_quality", f"select page_id, case when {_in_domains(T.OFFICIAL_DOMAINS)} then 'official' when {_in_domains(T.REPUTABLE_DOMAINS)} then 'reputable_media' else 'other' end as quality from (select page_id, {_HOST} as h from (select page_id, case page_id % 6 when 0 then 'https://www.uefa.com/a' when 1 then 'http://Sport.BBC.com' when 2 then 'http://notuefa.com/x' else url end as url from pages))")
 def source_quality(spark, sf_dir):
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    return _read(spark, sf_dir, "pages").select("page_id", T.source_quality(host).alias("quality"))
+    """Class of each page's host; some hosts are exchanged for known ones, so that every class occurs."""
+    url = F.when(F.col("page_id") % 6 == 0, "https://www.uefa.com/a").when(F.col("page_id") % 6 == 1, "http://Sport.BBC.com").when(F.col("page_id") % 6 == 2, "http://notuefa.com/x").otherwise(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", T.source_quality(F.regexp_extract(url, r"^[a-z]+://([^/?#]+)", 1)).alias("quality"))
 
 
 @query("control_char_clean", r"select doc_id, length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'))::integer as n from documents")

@@ -151,7 +151,7 @@ _ASSESSED = (
 
 def _margins(spark, sf_dir):
     p = F.col("expected_completion") * 0.98
-    return views.passes(spark, sf_dir).select(F.col("position_group").alias("g"), F.log(p / (1 - p)).alias("z"), F.col("completed").alias("y"))
+    return views.actions(spark, sf_dir).select(F.col("position_group").alias("g"), F.log(p / (1 - p)).alias("z"), F.col("completed").alias("y"))
 
 
 @query(

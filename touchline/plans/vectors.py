@@ -169,7 +169,7 @@ _YP = f"select completed as y, expected_completion as p from ({PASSES_SQL})"
 
 
 def _yp(spark, sf_dir):
-    return views.passes(spark, sf_dir).select(F.col("completed").alias("y"), F.col("expected_completion").alias("p"))
+    return views.actions(spark, sf_dir).select(F.col("completed").alias("y"), F.col("expected_completion").alias("p"))
 
 
 @query(

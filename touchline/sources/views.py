@@ -50,6 +50,14 @@ _EVENT = {
 EVENTS_SQL = f"select {', '.join(f'{e} as {k}' for k, e in _EVENT.items())} from events"
 
 
+_OF_DIMENSIONS = ("player_name", "team_id", "team_name", "position")
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with the facts' own columns only: no name, team or position, and so no join."""
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {k}" for k, e in _LINE.items() if k not in _OF_DIMENSIONS])
+
+
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passes and carries with player, team, coordinates and values; the dimension tables are left to the optimizer."""
     line = table(spark, sf_dir, "lineitem")
