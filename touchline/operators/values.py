@@ -8,8 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
@@ -76,15 +76,23 @@ def regressor(features: Features, target: str, kind: str = "tweedie", power: flo
 
 
 def classifier(features: Features, label: str, kind: str = "logistic", ridge: float = 0.0, trees: int = 20, depth: int = 3) -> Fit:
-    """The probability that the condition ``label`` holds; the rate itself where training rows have one class only."""
+    """The probability that the condition ``label`` holds, by ``logistic`` regression, a ``network`` with layers of 64 and 32, or boosted ``trees``; the rate itself where training rows have one class only."""
 
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rate = train.agg(F.avg(F.expr(label).cast("double"))).first()[0]
         if rate in (None, 0.0, 1.0):
             return lambda rows: rows.withColumn("prediction", F.lit(float(rate or 0)))
         columns = {"labelCol": "_target", "featuresCol": "_features"}
-        model = LogisticRegression(regParam=ridge, maxIter=100, tol=1e-8, **columns) if kind == "logistic" else GBTClassifier(maxIter=trees, maxDepth=depth, seed=42, **columns)
-        fitted = Pipeline(stages=[*features.stages(), model]).fit(features.ready(train).withColumn("_target", F.expr(label).cast("double")))
+        ready = features.ready(train).withColumn("_target", F.expr(label).cast("double"))
+        prepared = Pipeline(stages=features.stages()).fit(ready)
+        if kind == "logistic":
+            model = LogisticRegression(regParam=ridge, maxIter=100, tol=1e-8, **columns)
+        elif kind == "network":
+            width = prepared.transform(ready.limit(1)).first()["_features"].size
+            model = MultilayerPerceptronClassifier(layers=[width, 64, 32, 2], maxIter=trees, seed=42, **columns)
+        else:
+            model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=42, **columns)
+        fitted = PipelineModel([prepared, model.fit(prepared.transform(ready))])
         return lambda rows: _drop_working(fitted.transform(features.ready(rows)), rows.columns, vector_to_array("probability")[1].alias("prediction"))
 
     return fit

@@ -6,15 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.operators import cluster_reports as R
+from touchline.operators import clustering as C
 from touchline.operators import profiles as P
 from touchline.operators import selection as X
 from touchline.operators import similarity as V
 from touchline.plans.base import query
 from touchline.plans.clusters import _REF_SQL, K, RESTARTS, ROUNDS, _lloyd_sql, _reference
+from touchline.plans.pages import players
 from touchline.plans.profiles import features, style_profile_player, style_sql
 from touchline.plans.sequences import HALVES_SQL, _halves
 from touchline.plans.stability import _DRAWN, _RATES, _SUMS_SQL
-from touchline.plans.vectors import _RMS, DIMS, STYLE_VECTORS_SQL, style_vectors
+from touchline.plans.vectors import _RMS, DIMS, STYLE_VECTORS_SQL, _role_distances, style_vectors
 from touchline.sources.scratch import stored
 
 _NAMES = "[" + ", ".join(f"'{f}'" for f in P.STYLE) + "]"
@@ -175,3 +177,43 @@ def _role_evidence(spark, sf_dir):
     for part in (apart, moved, over, first):
         found = found.join(part, keys, "left")
     return found
+
+
+# Archetypes: the best of a hundred restarts ----------------------------------------------------------------------------------
+
+_HUNDRED = 100
+
+
+def _archetypes(spark, sf_dir):
+    """(player_id, v, reference) of the two clusters with the least inertia."""
+    rows = stored(style_vectors(spark, sf_dir).select("player_id", "v"), "archetype-rows")
+    _, reference = C.Fits(C.with_runs(rows, "player_id", "v", 1), "player_id", 2, _HUNDRED, ROUNDS).labels(1)
+    return stored(rows.join(reference, "player_id"), "archetypes")
+
+
+_ARCHETYPES_SQL = "with " + _lloyd_sql(1, 0, 2, _HUNDRED) + f", c9 as (select reference as l, {_MEANS} as c from ref group by 1), d9 as (select player_id, reference, l, {_DC} as d from ref, c9), m9 as (select player_id, reference, max(d) filter (l = reference) as distance, min(d) filter (l <> reference) as second from d9 group by 1, 2)"
+
+
+@query(
+    "fitted_archetype_players",
+    _ARCHETYPES_SQL + " select m9.player_id, s_name as player_name, n_name as team_name, reference::integer as archetype, round(distance, 6) as distance, round((second - distance)/greatest(second, 1e-12), 6) as margin from m9 join supplier on player_id = s_suppkey join nation on s_nationkey = n_nationkey",
+)
+def fitted_archetype_players(spark, sf_dir):
+    """Each eligible player with the fitted archetype, and how clear it is."""
+    m = R.margins(_archetypes(spark, sf_dir), "player_id", "v", "reference").join(players(spark, sf_dir), "player_id")
+    return m.select("player_id", "player_name", "team_name", F.col("reference").alias("archetype"), F.round("distance", 6).alias("distance"), F.round("margin", 6).alias("margin"))
+
+
+
+@query(
+    "role_fit_archetypes",
+    _ARCHETYPES_SQL
+    + ", s8 as (select * from s), r8 as (select team_id, position_group, " + _MEANS + " as v from s8 group by 1, 2), d8 as (select b.team_id, a.player_id, a.position_group, " + _RMS + " as distance from s8 a join r8 b on a.position_group = b.position_group and a.team_id <> b.team_id), "
+    "k8 as (select *, row_number() over (partition by team_id, position_group order by round(distance, 9), player_id) as rank from d8) select k8.team_id, k8.position_group, k8.player_id, rank::integer as rank, round(k8.distance, 6) as role_distance, reference::integer as archetype from k8 left join m9 on k8.player_id = m9.player_id where rank <= 5",
+)
+def role_fit_archetypes(spark, sf_dir):
+    """The best five outsiders of each role with their archetype, if they have one."""
+    known = _archetypes(spark, sf_dir).select("player_id", F.col("reference").alias("archetype"))
+    d = _role_distances(spark, sf_dir)
+    top = d.withColumn("rank", F.row_number().over(Window.partitionBy("team_id", "position_group").orderBy("distance", "player_id"))).where("rank <= 5")
+    return top.join(known, "player_id", "left").select("team_id", "position_group", "player_id", "rank", F.round("distance", 6).alias("role_distance"), "archetype")

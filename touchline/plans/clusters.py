@@ -19,14 +19,14 @@ _D = " + ".join(f"(v[{i}] - c[{i}])*(v[{i}] - c[{i}])" for i in range(1, DIMS +
 _AVG = "list_value(" + ", ".join(f"avg(v[{i}])" for i in range(1, DIMS + 1)) + ")"
 
 
-def _lloyd_sql(seeds: int, resamples: int) -> str:
+def _lloyd_sql(seeds: int, resamples: int, k: int = K, restarts: int = RESTARTS) -> str:
     """CTEs: e (fit, run, player_id, v), a (fit, run, player_id, label, d) after all rounds, c (fit, label, c), best (run, fit, inertia)."""
     drawn = f"select run, player_id, v from (select r.run, s.player_id, s.v, row_number() over (partition by r.run order by md5(r.run || ':' || s.player_id), s.player_id) as r, count(*) over (partition by r.run) as n from s, (select unnest(range({seeds}, {seeds + resamples})) as run) r) where r <= floor(n*{SHARE})"
     ctes = [
         f"s as materialized ({STYLE_VECTORS_SQL})",
         f"m as (select unnest(range({seeds})) as run, player_id, v from s" + (f" union all {drawn})" if resamples else ")"),
-        f"e as materialized (select run*{RESTARTS} + t as fit, run, player_id, v from m, (select unnest(range({RESTARTS})) as t))",
-        f"c0 as materialized (select fit, r - 1 as label, v as c from (select fit, v, row_number() over (partition by fit order by md5(fit || ':' || player_id), player_id) as r from e) where r <= {K})",
+        f"e as materialized (select run*{restarts} + t as fit, run, player_id, v from m, (select unnest(range({restarts})) as t))",
+        f"c0 as materialized (select fit, r - 1 as label, v as c from (select fit, v, row_number() over (partition by fit order by md5(fit || ':' || player_id), player_id) as r from e) where r <= {k})",
     ]
     near = "select e.fit, run, player_id, v, label, round({d}, 9) as d from e join {c} c on e.fit = c.fit qualify row_number() over (partition by e.fit, player_id order by round({d}, 9), label) = 1"
     for i in range(ROUNDS):

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from touchline.operators import calibration as T
 from touchline.operators import crossfit as X
+from touchline.operators import model_choice as M
 from touchline.operators import sequences as S
 from touchline.operators import values as V
-from touchline.operators.selection import folds
+from touchline.operators.selection import folds, three_way_split
 from touchline.plans.base import query
 from touchline.plans.sequences import STATES_SQL, possessions, states
 from touchline.sources import views
-from touchline.sources.scratch import shared_folder
+from touchline.sources.scratch import shared_folder, stored
 from touchline.sources.views import PASSES_SQL
 
 # Quality of values -------------------------------------------------------------------------------------------------------
@@ -92,6 +93,20 @@ tweedie_oof = _model_query("tweedie_oof", V.regressor(_COLUMNS, "value", "tweedi
 boosted_value_oof = _model_query("boosted_value_oof", V.regressor(_COLUMNS, "value", "squared", trees=5))
 hurdle_oof = _model_query("hurdle_oof", V.hurdle(_COLUMNS, "value", ridge=1e-3))
 
+
+
+@query("boosting_candidates")
+def boosting_candidates(spark, sf_dir):
+    """Three boosted models and a small network of whether something follows, scored on the validation matches."""
+    rows = _rows(spark, sf_dir).withColumn("y", (F.col("value") > 0).cast("int"))
+    dealt = stored(rows.join(three_way_split(rows, "match_id"), "match_id"), "candidates-split")
+    train, held = dealt.where("part = 'train'"), dealt.where("part = 'validation'").select("event_id", "y", *_COLUMNS.numbers, *_COLUMNS.flags, *_COLUMNS.categories)
+    fits = {"shallow": V.classifier(_COLUMNS, "value > 0", "trees", trees=5, depth=2), "deeper": V.classifier(_COLUMNS, "value > 0", "trees", trees=5, depth=4), "longer": V.classifier(_COLUMNS, "value > 0", "trees", trees=10, depth=3), "network": V.classifier(_COLUMNS, "value > 0", "network", trees=30)}
+    for name, fit in fits.items():
+        held = stored(fit(train)(held).withColumnRenamed("prediction", f"p_{name}"), "candidate")
+    return M.scored_candidates(held, "y", {name: F.col(f"p_{name}") for name in fits})
+
+
 # Nested cross-fitting ----------------------------------------------------------------------------------------------------
 
 _NESTED = (
