@@ -242,6 +242,23 @@ def joined_components(rooted: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for each row of ``docs``."""
+    hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
+    shared = hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    return _with_own_keys(docs, k, percent) if shared.limit(1).count() else _near_duplicates(docs, k, percent)
+
+
+def _with_own_keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same where an id stands for different texts: each id and text is compared under a key of its own."""
+    keys = stored(docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash")).distinct().withColumn("key", F.monotonically_increasing_id()), "row-keys")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(keys, ["doc_id", "text_hash"], "left")
+    found = stored(_near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("root"), "text_hash"), "keyed-components")
+    named = found.join(keys.select("key", "doc_id"), "key", "left")
+    least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    joined = named.join(least, "root", "left")
+    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     signed = stored(signatures(docs, k), "signatures")
     classes = stored(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "regs")).alias("m")).select("k1", "k2", F.col("n_shingles").alias("n"), F.col("m.doc_id").alias("id"), F.col("m.regs").alias("regs")),
