@@ -86,3 +86,26 @@ def test_clustering_matrix(spark):
 def test_names_with_wildcards(spark):
     rows = spark.createDataFrame([("Borussia 100%",), ("BORUSSIA",), ("other",), (None,)], "name string")
     assert [X.named_like(rows, "name", t).count() for t in ("russ", "100%", "%", "_", "")] == [2, 1, 1, 0, 3]
+
+
+def test_concentration(spark):
+    rows = [("a", i) for i in range(10)] + [("b", 1)] * 2 + [("b", i) for i in range(2, 5)] + [("c", i) for i in (1, 1, 2, 2, 3)] + [("d", i) for i in (1, 1, 1, 2, 2, 2, 3, 3, 4)]
+    got = {r.g: (r.players, round(r.top_share, 4), round(r.top_two_share, 4), r.note) for r in I.concentration(spark.createDataFrame(rows, "g string, p int"), ["g"], "p").collect()}
+    assert got == {"a": (10, 0.1, 0.2, "distributed"), "b": (4, 0.4, 0.6, "concentrated"), "c": (3, 0.4, 0.8, "concentrated"), "d": (4, 0.3333, 0.6667, "concentrated")}
+
+
+def test_sources_beside_one_another(spark):
+    from touchline.operators import profiles as P
+
+    base = spark.createDataFrame([("x", 1, 5), ("x", None, 6), ("y", 2, 7)], "g string, m int, passes int")
+    shots = spark.createDataFrame([("x", None, 3, 0.5), ("z", 1, 1, 0.1)], "g string, m int, shots int, xg double")
+    got = {(r.g, r.m): (r.passes, r.shots, r.xg) for r in P.beside(base, ["g", "m"], [shots], ["shots"]).collect()}
+    assert got == {("x", 1): (5, 0, None), ("x", None): (6, 3, 0.5), ("y", 2): (7, 0, None)}
+
+
+def test_chart_kinds(spark):
+    from touchline.functions import charts as K
+
+    rows = spark.createDataFrame([("Corner", "High Pass", "Head", True, "Free Kick", "From Corner", 5), (None, "Low Pass", "Left Foot", False, "Free Kick", "Regular Play", 9), ("Recovery", None, None, False, "Open Play", "From Kick Off", 2), ("x", "x", "x", None, None, "From Counter", None), ("Throw-in", None, "Right Foot", False, "Open Play", "Other", 1)], "t string, h string, b string, p boolean, s string, y string, n int")
+    got = [tuple(r) for r in rows.select(K.pass_kind(F.col("t"), F.col("h")), K.body_part(F.col("b")), K.shot_context(F.col("p"), F.col("s"), F.col("y")), K.period(F.col("n"))).collect()]
+    assert got == [("corner", "head", "penalty", 5), ("low", "left-foot", "direct-free-kick", 1), ("other", "other", "set-piece", 2), ("other", "other", "fast-break", 1), ("throw-in", "right-foot", "other", 1)]

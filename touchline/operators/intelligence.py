@@ -91,6 +91,23 @@ def contributors(actions: DataFrame, keys: list[str], member: str, name: str) ->
     return shared.groupBy(*keys).agg(F.count("*").alias("contributor_count"), F.max("share").alias("top_share"), F.to_json(ordered).alias("contributors"))
 
 
+# Shares of the first, and of the first two contributors, from which on a role counts as concentrated.
+DOMINANT_ONE, DOMINANT_TWO = 0.40, 0.65
+
+
+def dominance(top: Column, top_two: Column) -> Column:
+    return F.when((top >= DOMINANT_ONE) | (top_two >= DOMINANT_TWO), "concentrated").otherwise("distributed")
+
+
+def concentration(actions: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(keys, players, top_share, top_two_share, hhi, note) of the members' shares of a group's actions."""
+    per = actions.groupBy(*keys, member).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    shares = per.select(*keys, (F.col("n") / F.sum("n").over(w)).alias("share"), F.row_number().over(w.orderBy(F.desc("n"), member)).alias("r"))
+    held = shares.groupBy(*keys).agg(F.count("*").alias("players"), F.max("share").alias("top_share"), F.sum(F.when(F.col("r") <= 2, F.col("share"))).alias("top_two_share"), F.sum(F.col("share") * F.col("share")).alias("hhi"))
+    return held.withColumn("note", dominance(F.col("top_share"), F.col("top_two_share")))
+
+
 def role_support(group: Column, matches: Column, count: Column) -> tuple[Column, Column]:
     """Level and message of a role profile: few contributors make it sensitive to who they are."""
     few = count <= LIMITED_CONTRIBUTORS

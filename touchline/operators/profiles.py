@@ -160,3 +160,16 @@ def spearman(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.withColumns({"ra": average_rank(a, keys), "rb": average_rank(b, keys)})
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho"))
+
+
+def beside(base: DataFrame, keys: list[str], others: list[DataFrame], counts: list[str]) -> DataFrame:
+    """``base`` with the aggregates of other sources under the same keys, missing keys included; ``counts`` are 0 where a source has no row, all else null."""
+    found = base
+    for n, other in enumerate(others):
+        renamed = other.select(*[F.col(k).alias(f"_{n}_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{n}_{k}")) for k in keys]
+        on = same[0]
+        for s in same[1:]:
+            on = on & s
+        found = found.join(renamed, on, "left").drop(*[f"_{n}_{k}" for k in keys])
+    return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

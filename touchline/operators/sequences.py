@@ -92,3 +92,10 @@ def halves(player_matches: DataFrame, player: str = "player_id", order: tuple[st
 def first_rows(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row of each key, the first in an explicit order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def transitions_in_space(rows: DataFrame, keys: list[str], order: list[str], carried: list[str], end: tuple[str, str], start: tuple[str, str]) -> DataFrame:
+    """``rows`` that have a next one in their possession, with ``after_*`` of the carried columns and ``discrepancy``: from where the action ends to where the next begins."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    after = rows.withColumns({f"after_{c}": F.lead(c).over(w) for c in dict.fromkeys([*carried, *start])}).withColumn("_next", F.lead(F.lit(1)).over(w)).where("_next = 1").drop("_next")
+    return after.withColumn("discrepancy", F.hypot(F.col(end[0]) - F.col(f"after_{start[0]}"), F.col(end[1]) - F.col(f"after_{start[1]}")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.operators import model_choice as M
 from touchline.operators import profiles as P
 from touchline.operators import selection as X
+from touchline.operators import sequences as S
 from touchline.operators import traces as T
 from touchline.operators.ordering import spearman
 from touchline.plans.base import query
@@ -195,3 +196,24 @@ def split_half_spearman(spark, sf_dir):
     h = _halves(spark, sf_dir).groupBy("player_id", "half").agg((F.sum("progressive") / F.sum("n")).alias("p"))
     wide = stored(h.groupBy("player_id").agg(F.max(F.when(F.col("half") == "first", F.col("p"))).alias("a"), F.max(F.when(F.col("half") == "second", F.col("p"))).alias("b")).where("a is not null and b is not null"), "halves")
     return wide.agg(F.count("*").alias("players")).crossJoin(spearman(wide, "a", "b").select(F.round("spearman", 6).alias("spearman")))  # one row each
+
+
+_ORDER = ["match_number", "start_x", "end_x", "player_id", "quantity", "attacking_value"]
+_CARRIED = ["order_key", "match_id", "team_id", "player_id", "match_number", "action_type"]
+_LEADS = ", ".join(f"lead({c}) over w as after_{c}" for c in (*_CARRIED, "start_x", "start_y"))
+
+
+@query(
+    "transition_coordinates",
+    f"with t as (select *, {_LEADS}, lead(1) over w as nxt from ({PASSES_SQL}) window w as (partition by order_key order by {', '.join(_ORDER)})), d as (select *, sqrt((end_x - after_start_x)*(end_x - after_start_x) + (end_y - after_start_y)*(end_y - after_start_y)) as d from t where nxt = 1 and completed = 1) "
+    "select action_type, count(*) as n, count(*) filter (d <= 1e-9) as exact, count(*) filter (d <= 10) as near, round(median(d), 6) as median, round(quantile_cont(d, 0.95), 6) as p95, round(quantile_cont(d, 0.99), 6) as p99, round(max(d), 6) as most, count(*) filter (after_match_id <> match_id) as other_match, count(*) filter (after_order_key <> order_key) as other_possession, count(*) filter (after_team_id <> team_id) as other_team, count(*) filter (after_match_number < match_number) as backwards, count(*) filter (after_action_type = 'Carry') as carry_after from d group by 1",
+)
+def transition_coordinates(spark, sf_dir):
+    """How far successful actions end from where the next one begins, and whether it is of the same match, possession and team."""
+    t = S.transitions_in_space(views.passes(spark, sf_dir), ["order_key"], _ORDER, _CARRIED, ("end_x", "end_y"), ("start_x", "start_y")).where("completed = 1")
+    count = lambda c: F.count(F.when(F.expr(c), 1))
+    spread = [F.round(F.percentile("discrepancy", p), 6).alias(n) for n, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))]  # over few distinct distances
+    return t.groupBy("action_type").agg(
+        F.count("*").alias("n"), count("discrepancy <= 1e-9").alias("exact"), count("discrepancy <= 10").alias("near"), *spread, F.round(F.max("discrepancy"), 6).alias("most"), count("after_match_id <> match_id").alias("other_match"),
+        count("after_order_key <> order_key").alias("other_possession"), count("after_team_id <> team_id").alias("other_team"), count("after_match_number < match_number").alias("backwards"), count("after_action_type = 'Carry'").alias("carry_after"),
+    )

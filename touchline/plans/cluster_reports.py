@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import cluster_reports as R
 from touchline.operators import clustering as C
+from touchline.operators import intelligence as I
 from touchline.operators import profiles as P
 from touchline.operators import selection as X
 from touchline.operators import similarity as V
@@ -122,7 +123,7 @@ _D_AB = _RMS
     f"wk as materialized ({_RANK_SQL.format(run='whole', d=_D_RS, roles='w')}), rk as materialized ({_RANK_SQL.format(run='resample', d=_D_RS, roles='rr')}), fk as ({_RANK_SQL.format(run='half', d=_D_RS, roles='hh')}), "
     "rt as (select team_id, position_group, median(o) as median_top6 from (select y.resample, y.team_id, y.position_group, count(*) filter (x.rank <= 6 and y.rank <= 6)/6.0 as o from wk x join rk y using (team_id, position_group, player_id) group by 1, 2, 3) group by 1, 2), "
     "ct as (select team_id, position_group, count(*) filter (x.rank <= 6 and y.rank <= 6)/6.0 as candidate_top6, case when count(*) >= 3 then 1 - 6*sum((x.rank - y.rank)*(x.rank - y.rank))/(count(*)*(count(*)*count(*) - 1.0)) end as candidate_spearman from wk x join fk y using (team_id, position_group, player_id) where y.half = 'first' group by 1, 2), "
-    "p as (select team_id, position_group, player_id, sum(actions) as n from u group by 1, 2, 3), c as (select team_id, position_group, count(*) as players, max(n)/sum(n)::double >= 0.6 as concentrated from p group by 1, 2), "
+    "p as (select team_id, position_group, player_id, sum(actions) as n from u group by 1, 2, 3), c as (select team_id, position_group, count(*) as players, max(n)/sum(n)::double >= 0.4 or sum(n) filter (r <= 2)/sum(n)::double >= 0.65 as concentrated from (select *, row_number() over (partition by team_id, position_group order by n desc, player_id) as r from p) group by 1, 2), "
     "j as (select w.team_id, w.position_group, half_distance, median_resample, median_top6, candidate_spearman, candidate_top6, players, concentrated from w join c using (team_id, position_group) left join hd using (team_id, position_group) left join rd using (team_id, position_group) left join rt using (team_id, position_group) left join ct using (team_id, position_group)) "
     f"select team_id, position_group, round(half_distance, 6) as half_distance, round(median_resample, 6) as median_resample, round(median_top6, 6) as median_top6, round(candidate_spearman, 6) as candidate_spearman, round(candidate_top6, 6) as candidate_top6, players, concentrated, case when half_distance <= 1.0 and median_resample <= 0.35 and players >= 3 and not concentrated then '{R.GO}' when median_resample <= 0.5 and players >= 3 then '{R.LIMITED}' else '{R.NO}' end as role_decision, "
     f"case when half_distance <= 1.0 and median_resample <= 0.35 and median_top6 >= 0.67 and candidate_spearman >= 0.7 and candidate_top6 >= 0.67 and players >= 3 and not concentrated then '{R.LIMITED}' else '{R.NO}' end as fit_decision from j",
@@ -172,7 +173,7 @@ def _role_evidence(spark, sf_dir):
     away = lambda a, b, on: a.join(b.withColumnRenamed("rv", "bv"), on).withColumn("d", V.rms(F.col("rv"), F.col("bv")))
     apart = away(halves.where("half = 'first'").drop("half"), halves.where("half = 'second'").drop("half"), keys).select(*keys, F.col("d").alias("half_distance"))
     moved = away(whole, resampled, keys).groupBy(*keys).agg(F.percentile("d", 0.5).alias("median_resample"))
-    share = sums.groupBy(*keys, "player_id").agg(F.sum("actions").alias("n")).groupBy(*keys).agg(F.count("*").alias("players"), (F.max("n") / F.sum("n") >= 0.6).alias("concentrated"))
+    share = I.concentration(f, keys, "player_id").select(*keys, "players", (F.col("note") == "concentrated").alias("concentrated"))
     found = whole.select(*keys).join(share, keys)
     for part in (apart, moved, over, first):
         found = found.join(part, keys, "left")

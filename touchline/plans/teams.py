@@ -171,3 +171,34 @@ def target_team_players(spark, sf_dir):
     """Style of one team's players, from what they did for it."""
     t = P.style_profile(features(spark, sf_dir).where("team_id = 4"), ["player_id", "player_name", "position_group"])
     return t.select("player_id", "player_name", "position_group", "matches", "passes", "carries", *[F.round(f, 6).alias(f) for f in P.STYLE])
+
+
+@query(
+    "role_dominance",
+    f"with p as (select team_id % 5 as club, position_group, player_id, count(*) as n from ({FEATURES_SQL}) where position_group <> 'GK' group by 1, 2, 3), q as (select *, n/sum(n) over (partition by club, position_group) as share, row_number() over (partition by club, position_group order by n desc, player_id) as r from p) "
+    "select club, position_group, count(*) as players, round(max(share), 6) as top_share, round(sum(share) filter (r <= 2), 6) as top_two_share, round(sum(share*share), 6) as hhi, case when max(share) >= 0.4 or sum(share) filter (r <= 2) >= 0.65 then 'concentrated' else 'distributed' end as note from q group by 1, 2",
+)
+def role_dominance(spark, sf_dir):
+    """Whether a few players make up a role of several teams taken together."""
+    rows = features(spark, sf_dir).where("position_group <> 'GK'").withColumn("club", F.col("team_id") % 5)
+    c = I.concentration(rows, ["club", "position_group"], "player_id")
+    return c.select("club", "position_group", "players", *[F.round(x, 6).alias(x) for x in ("top_share", "top_two_share", "hhi")], "note")
+
+
+_THREE = "team_id, match_id, position_group"
+
+
+@query(
+    "profile_of_three_sources",
+    f"with p as (select {_THREE}, count(*) as passes, avg(expected_completion) as expected, avg(progressive::int) as progressive, sum(greatest(forward_distance, 0)) as forward from ({FEATURES_SQL}) where action_type = 'Pass' group by 1, 2, 3), a as (select {_THREE}, count(*) as actions, count(*) filter (action_type = 'Carry') as carries, sum(attacking_value) as value from ({FEATURES_SQL}) group by 1, 2, 3), s as (select {_THREE}, count(*) as shots, sum(expected_goal) as xg from ({SHOTS_SQL}) where position_group <> 'DEF' group by 1, 2, 3) "
+    "select p.team_id, p.match_id, p.position_group, passes, coalesce(actions, 0) as actions, coalesce(carries, 0) as carries, coalesce(shots, 0) as shots, round(expected, 6) as expected_completion_rate, round(progressive, 6) as progressive_pass_rate, round(100*forward/passes, 4) as forward_per_100_passes, round(carries/actions::double, 6) as carry_share, round(100*value/actions, 6) as value_per_100_actions, round(xg/shots, 6) as xg_per_shot from p left join a using (team_id, match_id, position_group) left join s using (team_id, match_id, position_group)",
+)
+def profile_of_three_sources(spark, sf_dir):
+    """Passes with what actions and shots say of the same team, match and role; where there is no shot, there is no rate of shots."""
+    f, keys = features(spark, sf_dir), ["team_id", "match_id", "position_group"]
+    passes = f.where("action_type = 'Pass'").groupBy(*keys).agg(F.count("*").alias("passes"), F.avg("expected_completion").alias("expected"), F.avg(F.col("progressive").cast("int")).alias("progressive"), F.sum(F.greatest("forward_distance", F.lit(0.0))).alias("forward"))
+    actions = f.groupBy(*keys).agg(F.count("*").alias("actions"), P.total(F.col("action_type") == "Carry").alias("carries"), F.sum("attacking_value").alias("value"))
+    shots = views.shots(spark, sf_dir).where("position_group <> 'DEF'").groupBy(*keys).agg(F.count("*").alias("shots"), F.sum("expected_goal").alias("xg"))
+    j = P.beside(passes, keys, [actions, shots], ["actions", "carries", "shots"])
+    share = lambda a, b, k=1.0: F.try_divide(F.col(a) * k, F.col(b).cast("double"))
+    return j.select(*keys, "passes", "actions", "carries", "shots", F.round("expected", 6).alias("expected_completion_rate"), F.round("progressive", 6).alias("progressive_pass_rate"), F.round(share("forward", "passes", 100.0), 4).alias("forward_per_100_passes"), F.round(share("carries", "actions"), 6).alias("carry_share"), F.round(share("value", "actions", 100.0), 6).alias("value_per_100_actions"), F.round(share("xg", "shots"), 6).alias("xg_per_shot"))
