@@ -9,10 +9,12 @@ from touchline.operators import intelligence as I
 from touchline.operators import profiles as P
 from touchline.operators import selection as X
 from touchline.operators import similarity as V
+from touchline.operators.ordering import group_medians
 from touchline.plans.base import query
 from touchline.plans.profiles import FEATURES_SQL, PROFILE_SQL, features, passing_profile, style_profile_player, style_sql
 from touchline.plans.vectors import DIMS, STYLE_VECTORS_SQL, style_vectors
 from touchline.sources import views
+from touchline.sources.scratch import stored
 from touchline.sources.views import PASSES_SQL, SHOTS_SQL
 
 # Player intelligence: thresholds lie inside the samples at hand, so that each reason occurs -----------------------------------
@@ -202,3 +204,35 @@ def profile_of_three_sources(spark, sf_dir):
     j = P.beside(passes, keys, [actions, shots], ["actions", "carries", "shots"])
     share = lambda a, b, k=1.0: F.try_divide(F.col(a) * k, F.col(b).cast("double"))
     return j.select(*keys, "passes", "actions", "carries", "shots", F.round("expected", 6).alias("expected_completion_rate"), F.round("progressive", 6).alias("progressive_pass_rate"), F.round(share("forward", "passes", 100.0), 4).alias("forward_per_100_passes"), F.round(share("carries", "actions"), 6).alias("carry_share"), F.round(share("value", "actions", 100.0), 6).alias("value_per_100_actions"), F.round(share("xg", "shots"), 6).alias("xg_per_shot"))
+
+
+_COUNTS = {"passes": "action_type = 'Pass'", "carries": "action_type = 'Carry'", "actions": "true", "progressive": "progressive", "pressure": "under_pressure"}
+
+
+@query(
+    "reliability_thresholds",
+    f"with p as (select player_id, {', '.join(f'count(*) filter ({c}) as {n}' for n, c in _COUNTS.items())} from ({FEATURES_SQL}) group by 1), l as (unpivot p on {', '.join(_COUNTS)} into name kind value n), t as (select kind, greatest(1, ceil(median(n)))::bigint as threshold, count(*) as players from l group by 1) "
+    "select kind, threshold, players, (select count(*) from l where l.kind = t.kind and n >= threshold) as reliable from t",
+)
+def reliability_thresholds(spark, sf_dir):
+    """For each kind of count the least that half of the players reach, and how many do."""
+    per = stored(features(spark, sf_dir).groupBy("player_id").agg(*[F.count(F.when(F.expr(c), 1)).alias(n) for n, c in _COUNTS.items()]).unpivot(["player_id"], list(_COUNTS), "kind", "n"), "counts")
+    least = group_medians(per.withColumnRenamed("n", "v"), "kind", "v").select("kind", F.greatest(F.lit(1), F.ceil("median")).alias("threshold"))
+    joined = per.join(F.broadcast(least), "kind")  # a row per kind
+    return joined.groupBy("kind", "threshold").agg(F.count("*").alias("players"), F.count(F.when(F.col("n") >= F.col("threshold"), 1)).alias("reliable")).select("kind", "threshold", "players", "reliable")
+
+
+_LOANED = "select *, case when player_id % 4 = 0 and match_id >= 20 then team_id + 100 else team_id end as club from ({s})"
+
+
+@query(
+    "multi_team_players",
+    f"with c as (select player_id, club, count(distinct match_id) as matches, count(*) as actions from ({_LOANED.format(s=PASSES_SQL)}) group by 1, 2) select player_id, count(*) as clubs, string_agg(club || ':' || matches, ' ' order by actions desc, club) as matches_by_club, arg_max(club, actions*1000 - club) as main_club from c group by 1 having count(*) > 1",
+)
+def multi_team_players(spark, sf_dir):
+    """Players who were seen for more than one team, with the one of most actions; some of the teams are exchanged from a match on."""
+    club = F.when((F.col("player_id") % 4 == 0) & (F.col("match_id") >= 20), F.col("team_id") + 100).otherwise(F.col("team_id"))
+    per = views.passes(spark, sf_dir).groupBy("player_id", club.alias("club")).agg(F.countDistinct("match_id").alias("matches"), F.count("*").alias("actions"))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("actions")).alias("o"), "club", "matches")))  # a player's teams
+    held = per.groupBy("player_id").agg(F.count("*").alias("clubs"), listed.alias("l")).where("clubs > 1")
+    return held.select("player_id", "clubs", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["club"].cast("string"), x["matches"].cast("string"))), " ").alias("matches_by_club"), F.get("l", F.lit(0))["club"].alias("main_club"))
