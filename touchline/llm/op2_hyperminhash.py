@@ -240,8 +240,13 @@ def joined_components(rooted: DataFrame, links: DataFrame) -> DataFrame:
     return stored(kept.union(moved), "joined-components")  # a root is no id of ``rooted``
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for each row of ``docs``."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, distinct_ids: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for each row of ``docs``.
+
+    ``distinct_ids``: the caller knows that no id stands for different texts, so this isn't looked for.
+    """
+    if distinct_ids:
+        return _near_duplicates(docs, k, percent)
     hashed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
     shared = hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     return _with_own_keys(docs, k, percent) if shared.limit(1).count() else _near_duplicates(docs, k, percent)
