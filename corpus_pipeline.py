@@ -69,7 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.limit(1).count():
         one = rows.join(repeated, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("m")).select("m.*", "key")
         rows = stored(rows.join(repeated, "key", "left_anti").select(*COLUMNS, "key").unionByName(one), "distinct-rows")
-    groups = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id")
+    groups = near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"), distinct_ids=True).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id")
     judged = stored(groups.join(rows.where(worded).select("key", "doc_id"), "key"), "judged-rows")
     first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select("m.key")
     return rows.join(judged.join(first, "key", "left_anti").select("key"), "key", "left_anti").select(*COLUMNS)
