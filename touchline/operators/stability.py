@@ -9,35 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.similarity import METRICS
+from touchline.operators import cells
+from touchline.operators.similarity import METRICS, blocked_pairs  # noqa: F401
 
 TOP = (5, 6, 10)
 KEPT = 11
 """One more than the longest list, so that a list isn't taken for the whole pool."""
 
 
-def blocked_pairs(rows: DataFrame, key: str, pools: list[str], block: int = 2048) -> DataFrame:
-    """(pools, left_id, right_id, a, b): pairs of different rows of a pool; ``rows`` has ``v``. A cell joins one block with one block."""
-    sizes = rows.groupBy(*pools).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    dealt = rows.join(sizes, pools).withColumns({"_mine": F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"), "_other": F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))})
-    left = dealt.select(*pools, F.col(key).alias("left_id"), F.col("v").alias("a"), F.col("_mine").alias("_l"), F.col("_other").alias("_r"))
-    right = dealt.select(*[F.col(p).alias(f"_{p}") for p in pools], F.col(key).alias("right_id"), F.col("v").alias("b"), F.col("_other").alias("_l2"), F.col("_mine").alias("_r2"))
-    on = (F.col("_l") == F.col("_l2")) & (F.col("_r") == F.col("_r2")) & (F.col("left_id") != F.col("right_id"))
-    for p in pools:
-        on = on & (F.col(p) == F.col(f"_{p}"))
-    return left.join(right, on).select(*pools, "left_id", "right_id", "a", "b")
-
-
 def ranked(pairs: DataFrame, pools: list[str], k: int) -> DataFrame:
     """The k nearest of each row in its pool, by distance to nine digits and id; ``pairs`` has ``distance``."""
     order = Window.partitionBy(*pools, "left_id").orderBy(F.round("distance", 9), "right_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbours(rows: DataFrame, key: str, pools: list[str], k: int = KEPT, metric: str = "rms", block: int = 2048) -> DataFrame:
-    """(pools, left_id, right_id, distance, rank)."""
-    pairs = blocked_pairs(rows, key, pools, block).select(*pools, "left_id", "right_id", METRICS[metric](F.col("a"), F.col("b")).alias("distance"))
-    return ranked(pairs, pools, k)
+def neighbours(rows: DataFrame, key: str, pools: list[str], k: int = KEPT, metric: str = "rms", block: int = cells.BLOCK) -> DataFrame:
+    """(pools, left_id, right_id, distance, rank); ``rows`` has ``v``."""
+    return cells.nearest(rows, key, pools, "v", k, metric, block)
 
 
 def compared(reference: DataFrame, other: DataFrame, runs: list[str]) -> DataFrame:
