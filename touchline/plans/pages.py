@@ -89,8 +89,7 @@ def player_actions_filtered(spark, sf_dir):
 @query("similar_players_page", _pairs_sql(_RMS) + f", r as (select *, row_number() over (partition by left_id order by round(distance, 9), right_id)::integer as rank from d) select r.left_id as player_id, p.player_id as similar_id, player_name, team_name, rank, round(distance, 6) as distance from r join ({PLAYERS_SQL}) p on r.right_id = p.player_id where rank <= 10")
 def similar_players_page(spark, sf_dir):
     """The ten most similar players of each, with their names."""
-    order = Window.partitionBy("left_id").orderBy(F.round("distance", 9), "right_id")
-    top = V.pairs(style_vectors(spark, sf_dir), "player_id", "position_group", "v").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    top = V.neighbours(style_vectors(spark, sf_dir), "player_id", "position_group", "v")
     named = top.join(players(spark, sf_dir).withColumnRenamed("player_id", "similar_id"), F.col("right_id") == F.col("similar_id"))
     return named.select(F.col("left_id").alias("player_id"), "similar_id", "player_name", "team_name", "rank", F.round("distance", 6).alias("distance"))
 
@@ -150,8 +149,7 @@ def archetype_players(spark, sf_dir):
 def neighbour_archetypes(spark, sf_dir):
     """Archetypes on both sides of the ten nearest neighbours."""
     a = _archetypes(spark, sf_dir)
-    order = Window.partitionBy("left_id").orderBy(F.round("distance", 9), "right_id")
-    top = V.pairs(style_vectors(spark, sf_dir), "player_id", "position_group", "v").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    top = V.neighbours(style_vectors(spark, sf_dir), "player_id", "position_group", "v")
     mine = a.select(F.col("player_id").alias("left_id"), "archetype")
     theirs = a.select(F.col("player_id").alias("right_id"), F.col("archetype").alias("neighbour_archetype"))
     return top.join(mine, "left_id", "left").join(theirs, "right_id", "left").groupBy("archetype", "neighbour_archetype").agg(F.count("*").alias("pairs"))
