@@ -150,8 +150,7 @@ def neighbour_stability(spark, sf_dir):
     rows = features(spark, sf_dir).join(half, ["player_id", "match_id"])
     s = P.style_profile(rows, ["player_id", "position_group", "half"]).where(_HALF_KEPT).withColumn("pool", F.concat_ws("/", "position_group", "half"))
     z = S.zscores(s, "pool", P.STYLE).select("player_id", "pool", F.array(*[F.col(f"z_{f}") for f in P.STYLE]).alias("v"))
-    order = Window.partitionBy("grp", "left_id").orderBy(F.round("distance", 9), "right_id")
-    top = V.pairs(z, "player_id", "pool", "v").withColumn("rank", F.row_number().over(order)).where("rank <= 6")
+    top = V.neighbours(z, "player_id", "pool", "v", 6)
     return V.overlap(top.where("grp like '%/first'"), top.where("grp like '%/second'"), "left_id", "right_id")
 
 
