@@ -82,8 +82,9 @@ def player_shots_page(spark, sf_dir):
 @query("player_actions_filtered", f"select match_id, order_key, match_number, action_type, round(attacking_value, 6) as attacking_value from ({FEATURES_SQL}) where player_id = 4 and action_type = 'Carry' and progressive and not under_pressure and match_id <= 20 and attacking_value >= 0 order by attacking_value desc, {_PAGE_ORDER} limit 500")
 def player_actions_filtered(spark, sf_dir):
     found = X.filtered(features(spark, sf_dir), "player_id", 4, equal={"action_type": "Carry", "progressive": True, "under_pressure": False, "completed": None}, between={"match_id": (None, 20), "attacking_value": (0, None)})
-    page = found.orderBy(F.desc("attacking_value"), *_PAGE_ORDER.split(", ")).limit(500)
-    return page.select("match_id", "order_key", "match_number", "action_type", F.round("attacking_value", 6).alias("attacking_value"))
+    shown = found.withColumn("attacking_value", F.round("attacking_value", 6))
+    page = shown.orderBy(F.desc("attacking_value"), *_PAGE_ORDER.split(", ")).limit(500)
+    return page.select("match_id", "order_key", "match_number", "action_type", "attacking_value")
 
 
 @query("similar_players_page", _pairs_sql(_RMS) + f", r as (select *, row_number() over (partition by left_id order by round(distance, 9), right_id)::integer as rank from d) select r.left_id as player_id, p.player_id as similar_id, player_name, team_name, rank, round(distance, 6) as distance from r join ({PLAYERS_SQL}) p on r.right_id = p.player_id where rank <= 10")

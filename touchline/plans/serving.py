@@ -55,9 +55,9 @@ _ACTIONS_PAGE = "select order_key, match_number, action_type, round(attacking_va
 
 @query("player_actions_page", _ACTIONS_PAGE.format(s=FEATURES_SQL))
 def player_actions_page(spark, sf_dir):
-    rows = features(spark, sf_dir).where("player_id = 3 and progressive")
-    top = rows.orderBy(F.desc("attacking_value"), "order_key", "match_number", "action_type", "start_x").limit(50)
-    return top.select("order_key", "match_number", "action_type", F.round("attacking_value", 6).alias("attacking_value"))
+    rows = features(spark, sf_dir).where("player_id = 3 and progressive").withColumn("attacking_value", F.round("attacking_value", 6))
+    top = rows.orderBy(F.desc("attacking_value"), "order_key", "match_number", "action_type", "start_x").limit(50)  # by the values shown
+    return top.select("order_key", "match_number", "action_type", "attacking_value")
 
 
 @query("passes_with_value", f"select player_id, count(*) as passes, count(v) as with_orders, round(avg(v), 6) as mean_price from (select player_id, o_totalprice as v from ({PASSES_SQL}) p left join orders on p.order_key = o_orderkey and o_orderstatus = 'F') group by 1")
