@@ -120,14 +120,14 @@ def player_statistics(spark, sf_dir):
 # Role fits: outsiders against the whole role, insiders against the role without themselves ------------------------------------
 
 _GAPS = "list_value(" + ", ".join(f"struct_pack(g := round(abs(v[{i + 1}] - rv[{i + 1}]), 9), i := {i}, f := '{f}')" for i, f in enumerate(P.STYLE)) + ")"
-_FIT_D = "round(sqrt((" + "+".join(f"(v[{i + 1}]-rv[{i + 1}])*(v[{i + 1}]-rv[{i + 1}])" for i in range(DIMS)) + f")/{DIMS}), 9)"
+_FIT_D = "sqrt((" + "+".join(f"(v[{i + 1}]-rv[{i + 1}])*(v[{i + 1}]-rv[{i + 1}])" for i in range(DIMS)) + f")/{DIMS})"
 
 
 @query(
     "role_fits",
     f"with s as materialized ({STYLE_VECTORS_SQL}), m as (select player_id, count(distinct match_id) as matches from ({PASSES_SQL}) group by 1), t as (select team_id as target, position_group, count(*) as n, list_value({', '.join(f'sum(v[{i + 1}])' for i in range(DIMS))}) as t from s group by 1, 2), "
     f"j as (select target, s.*, t.n, s.team_id = target as own, case when s.team_id = target then list_value({', '.join(f'(t[{i + 1}] - v[{i + 1}])/nullif(n - 1, 0)' for i in range(DIMS))}) else list_value({', '.join(f't[{i + 1}]/n' for i in range(DIMS))}) end as rv from s join t on s.position_group = t.position_group), "
-    f"k as (select *, {_FIT_D} as distance, list_sort({_GAPS}) as gaps from j where not own or n > 1), r as (select *, case when not own then row_number() over (partition by target, position_group, own order by distance, player_id) end as rank from k) "
+    f"k as (select *, {_FIT_D} as distance, list_sort({_GAPS}) as gaps from j where not own or n > 1), r as (select *, case when not own then row_number() over (partition by target, position_group, own order by round(distance, 9), player_id) end as rank from k) "
     "select target as target_team_id, r.player_id, position_group, own as is_target_team_player, case when own then 'leave_self_out_target_role' else 'full_target_role' end as calculation_scope, round(distance, 6) as role_distance, rank::integer as recommendation_rank, gaps[1].f as closest_feature_1, gaps[2].f as closest_feature_2, gaps[3].f as closest_feature_3, gaps[6].f as largest_difference, "
     "case when matches < 3 then 'limited' else 'higher' end as sample_support, case when own then n - 1 else n end as role_contributors from r join m on r.player_id = m.player_id",
 )
@@ -140,8 +140,8 @@ def role_fits(spark, sf_dir):
     part = lambda i: F.when(own, F.try_divide(F.get("t", F.lit(i)) - x[i], (F.col("n") - 1).cast("double"))).otherwise(F.get("t", F.lit(i)) / F.col("n"))
     joined = s.join(roles, "position_group").withColumns({"own": own, "rv": F.array(*[part(i) for i in range(DIMS)])}).where("not own or n > 1")
     gaps = F.array_sort(F.transform(V.gaps(F.col("v"), F.col("rv"), P.STYLE), lambda g: F.struct(F.round(g["gap"], 9).alias("gap"), g["place"].alias("place"), g["name"].alias("name"))))
-    valued = joined.withColumns({"distance": F.round(V.rms(F.col("v"), F.col("rv")), 9), "gaps": gaps})
-    rank = F.row_number().over(Window.partitionBy("target", "position_group", "own").orderBy("distance", "player_id"))
+    valued = joined.withColumns({"distance": V.rms(F.col("v"), F.col("rv")), "gaps": gaps})
+    rank = F.row_number().over(Window.partitionBy("target", "position_group", "own").orderBy(F.round("distance", 9), "player_id"))  # shown values come from the whole distance: one rounded twice makes halves
     matches = views.passes(spark, sf_dir).groupBy("player_id").agg(F.countDistinct("match_id").alias("matches"))
     found = valued.withColumn("rank", F.when(~F.col("own"), rank)).join(matches, "player_id")
     level, _ = I.player_support(F.col("matches"))
