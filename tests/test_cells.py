@@ -78,3 +78,10 @@ def test_unrolled_distances_and_quick_rounding(spark):
     from pyspark.sql import functions as F
 
     assert [r.x for r in spark.createDataFrame([(0.0078125,), (1.23456749,), (None,)], "y double").select(V.rounded(F.col("y"), 6).alias("x")).collect()] == [0.007813, 1.234567, None]
+
+
+def test_nearest_centre_is_compiled(spark):
+    rows = spark.createDataFrame([([0.0, 1.0], [[5.0, 5.0], [0.0, 2.0], [0.0, 0.0]])], "v array<double>, centres array<array<double>>")
+    near = rows.select(K._nearest(rows.v, rows.centres, 3, 2).alias("n"))
+    assert tuple(near.first().n) == (1.0, 1)
+    assert "lambda" not in near._jdf.queryExecution().executedPlan().toString()

@@ -9,11 +9,14 @@ ties go to the smaller label; a cluster that loses all its rows keeps its centre
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators import cells
+from touchline.operators.similarity import rounded
 from touchline.sources.scratch import stored
 
 DIGITS = 9
@@ -58,9 +61,13 @@ def squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest(v: Column, centres: Column) -> Column:
-    """(d, label) of the nearest centre."""
-    return F.array_min(F.transform(centres, lambda c, i: F.struct(F.round(squared(v, c), DIGITS).alias("d"), i.alias("label"))))
+def _nearest(v: Column, centres: Column, k: int, dims: int) -> Column:
+    """(d, label) of the nearest centre, in plain arithmetic, which is compiled."""
+    each = []
+    for label in range(k):
+        gaps = [F.get(v, F.lit(i)) - F.get(F.get(centres, F.lit(label)), F.lit(i)) for i in range(dims)]
+        each.append(F.struct(rounded(reduce(lambda s, g: s + g * g, gaps, F.lit(0.0)), DIGITS).alias("d"), F.lit(label).alias("label")))
+    return F.array_min(F.array(*each))
 
 
 class Fits:
@@ -68,7 +75,8 @@ class Fits:
 
     def __init__(self, members: DataFrame, key: str, k: int, restarts: int, rounds: int):
         self.members, self.key, self.k, self.restarts = members, key, k, restarts
-        self.expanded = members.select(key, "v", F.explode("runs").alias("run")).withColumn("fit", F.explode(F.sequence(F.col("run") * restarts, F.col("run") * restarts + restarts - 1)))
+        tasks = 2 * members.sparkSession.sparkContext.defaultParallelism  # the rows are few, their fits many
+        self.expanded = members.repartition(tasks, key).select(key, "v", F.explode("runs").alias("run")).withColumn("fit", F.explode(F.sequence(F.col("run") * restarts, F.col("run") * restarts + restarts - 1)))
         first = Window.partitionBy("fit").orderBy("h", key)  # ranks of at most k rows leave a task
         chosen = self.expanded.withColumn("h", _md5(F.col("fit"), key)).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
         self.centres: dict[int, np.ndarray] = {}
@@ -84,7 +92,8 @@ class Fits:
 
     def near(self) -> DataFrame:
         """(fit, run, key, v, d, label) of every row in every fit."""
-        return self.expanded.join(self.table(), "fit").withColumn("near", _nearest(F.col("v"), F.col("centres"))).select("fit", "run", self.key, "v", "near.d", "near.label")
+        dims = len(next(iter(self.centres.values()))[0]) if self.centres else 0
+        return self.expanded.join(self.table(), "fit").withColumn("near", _nearest(F.col("v"), F.col("centres"), self.k, dims)).select("fit", "run", self.key, "v", "near.d", "near.label")
 
     def _step(self) -> None:
         dims = len(next(iter(self.centres.values()))[0])
@@ -152,22 +161,16 @@ def agreement(labels: DataFrame, reference: DataFrame, key: str, k: int) -> Data
 # Internal quality ------------------------------------------------------------------------------------------------------
 
 
-def mean_distances(rows: DataFrame, key: str, vector: str, label: str, block: int = 2048) -> DataFrame:
+def mean_distances(rows: DataFrame, key: str, vector: str, label: str, block: int = cells.BLOCK) -> DataFrame:
     """(key, label, other, total, n): for each row and label the sum of its Euclidean distances to the rows of that label.
 
     Rows lie in blocks; a pair of blocks is one cell of a join, whose sums per row and label are merged.
     """
-    sized = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(label).alias("l"))
-    blocks = max(1, -(-sized.count() // block))
-    dealt = stored(sized.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")), "silhouette-rows")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select("k", F.col("v").alias("x"), F.col("l").alias("own"), F.col("b").alias("left_block"), every.alias("right_block"))
-    right = dealt.select(F.col("v").alias("y"), F.col("l").alias("other"), F.col("b").alias("right_block"), every.alias("left_block"))
-    sums = left.join(right, ["left_block", "right_block"]).groupBy("k", "own", "other").agg(F.sum(F.sqrt(squared(F.col("x"), F.col("y")))).alias("total"), F.count("*").alias("n"))
-    return sums.select(F.col("k").alias(key), F.col("own").alias(label), "other", "total", "n")
+    sums = cells.label_sums(rows, key, vector, label, block)
+    return sums.select(F.col("left_id").alias(key), F.col("own").alias(label), "other", "total", "n")
 
 
-def silhouettes(rows: DataFrame, key: str, vector: str, label: str, block: int = 2048) -> DataFrame:
+def silhouettes(rows: DataFrame, key: str, vector: str, label: str, block: int = cells.BLOCK) -> DataFrame:
     """(key, label, silhouette): 0 for the only row of a label and where there is one label."""
     own = F.col("other") == F.col(label)
     each = mean_distances(rows, key, vector, label, block).groupBy(key, label).agg(

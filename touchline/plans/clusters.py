@@ -113,7 +113,7 @@ def _reference(spark, sf_dir):
 
 @query("cluster_silhouettes", _REF_SQL + _SILHOUETTE + "select player_id, own::integer as cluster, round(s, 6) as silhouette from sil")
 def cluster_silhouettes(spark, sf_dir):
-    found = C.silhouettes(_reference(spark, sf_dir), "player_id", "v", "reference", block=512)
+    found = C.silhouettes(_reference(spark, sf_dir), "player_id", "v", "reference")
     return found.select("player_id", F.col("reference").alias("cluster"), F.round("silhouette", 6).alias("silhouette"))
 
 
@@ -131,7 +131,7 @@ _MEAN = "list_value(" + ", ".join(f"avg(v[{i}])" for i in range(1, DIMS + 1)) +
 def cluster_internal_metrics(spark, sf_dir):
     rows = _reference(spark, sf_dir)
     size = rows.agg(F.count("*").alias("players"), F.countDistinct("reference").alias("clusters"))
-    silhouette = C.silhouettes(rows, "player_id", "v", "reference", block=512).agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
+    silhouette = C.silhouettes(rows, "player_id", "v", "reference").agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
     one = size.crossJoin(silhouette).crossJoin(C.davies_bouldin(rows, "v", "reference", DIMS)).crossJoin(C.calinski_harabasz(rows, "v", "reference", DIMS))  # one row each
     return one.select("players", "clusters", "silhouette", F.round("davies_bouldin", 6).alias("davies_bouldin"), F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
 
