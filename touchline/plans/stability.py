@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators import profiles as P
@@ -164,11 +166,9 @@ def method_choice(spark, sf_dir):
     sets = F.explode(F.array(*[F.struct(F.lit(s).alias("feature_set"), F.lit(n).alias("n")) for s, n in _SETS.items()]))
 
     def lists(vectors, runs, name):
-        long = vectors.withColumn("s", sets).select(*runs, "player_id", "position_group", "s.feature_set", F.slice("v", 1, F.col("s.n")).alias("v"))
-        pairs = N.blocked_pairs(long, "player_id", [*runs, "feature_set", "position_group"])
-        each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), N.METRICS[m](F.col("a"), F.col("b")).alias("distance")) for m in N.PRIORITY])).alias("m")
-        valued = pairs.select(*runs, "feature_set", "position_group", "left_id", "right_id", each).select("*", "m.*")
-        return stored(N.ranked(valued, [*runs, "feature_set", "method", "position_group"], N.KEPT).select(*runs, "feature_set", "method", "left_id", "right_id", "rank"), name)
+        long = stored(vectors.withColumn("s", sets).select(*runs, "player_id", "position_group", "s.feature_set", F.slice("v", 1, F.col("s.n")).alias("v")), "method-rows")
+        near = [N.neighbours(long, "player_id", [*runs, "feature_set", "position_group"], metric=m).withColumn("method", F.lit(m)) for m in N.PRIORITY]
+        return stored(reduce(DataFrame.unionByName, near).select(*runs, "feature_set", "method", "left_id", "right_id", "rank"), name)
 
     full = lists(_vectors(sums.withColumn("whole", F.lit(0)), "whole").drop("whole"), [], "full-methods")
     near, half = lists(_vectors(_resampled(sums, _FEW), "resample"), ["resample"], "resample-methods"), lists(_vectors(halves, "half"), ["half"], "half-methods")
