@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.operators import stability as N
 
@@ -115,3 +117,25 @@ def test_small_groups_look_at_adjacent_ones(spark):
         short = len(others) < 5 and g != "GK"
         near = others | ({q for q, at in group.items() if at[0] == cohort and at[1] in N.ADJACENT[g]} if short else set())
         assert {q for q, _ in got.get(p, [])} == near and all(f == short for _, f in got.get(p, []))
+
+
+def test_fall_back_ranks_large_groups_in_cells_and_null_distances_last(spark):
+    rows = [(i, "a", "DEF" if i < 30 else "MID", None if i in (3, 31) else [float(i * i % 17)]) for i in range(33)]
+    found = N.neighbours_with_fallback(spark.createDataFrame(rows, "player_id long, cohort string, grp string, v array<double>"), "player_id", "cohort", "grp", k=50)
+    vectors = {r[0]: r[3] for r in rows}
+    want = {}
+    for p, _, g, v in rows:
+        others = [(q, abs(v[0] - w[0]) if v and w else None) for q, _, h, w in rows if q != p and (g == "MID" or h == "DEF")]
+        want[p] = [q for q, d in sorted(others, key=lambda x: (x[1] is None, x[1] or 0.0, x[0]))]
+    got: dict[int, list] = {}
+    for r in found.orderBy("left_id", "rank").collect():
+        got.setdefault(r.left_id, []).append(r.right_id)
+        assert (r.distance is None) == (not vectors[r.left_id] or not vectors[r.right_id])
+    assert got == want
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_cells_are_spread_over_tasks(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 2).alias("pool"), F.array((F.col("id") * 7 % 101).cast("double")).alias("v"))
+    found = N.cells.in_cells(rows, "id", ["pool"], ["v"], lambda a, b: {"n": pa.array([a.num_rows * b.num_rows])}, "n long")
+    assert found.rdd.getNumPartitions() >= N.cells.CELLS and found.agg(F.sum("n")).first()[0] == 2 * 1500 * 1500

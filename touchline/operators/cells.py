@@ -47,7 +47,10 @@ def in_cells(rows: DataFrame, key: str, pools: list[str], others: list[str], wor
         n = len(next(iter(found.values())))
         return pa.table({**{p: pa.repeat(table.column(p)[0], n) for p in pools}, **found})
 
-    return (dealt.where("_l <= _r") if once else dealt).groupBy(*pools, "_l", "_r").applyInArrow(cell, f"{kinds}, {schema}")
+    # a fixed number of tasks: cells are long work on few bytes, by which adaptive execution would put them all into one
+    tasks = max(CELLS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = (dealt.where("_l <= _r") if once else dealt).repartition(tasks, *pools, "_l", "_r")
+    return spread.groupBy(*pools, "_l", "_r").applyInArrow(cell, f"{kinds}, {schema}")
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

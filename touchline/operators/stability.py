@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import cells
 from touchline.operators.similarity import METRICS, blocked_pairs  # noqa: F401
+from touchline.sources.scratch import stored
 
 TOP = (5, 6, 10)
 KEPT = 11
@@ -19,7 +20,7 @@ KEPT = 11
 
 def ranked(pairs: DataFrame, pools: list[str], k: int) -> DataFrame:
     """The k nearest of each row in its pool, by distance to nine digits and id; ``pairs`` has ``distance``."""
-    order = Window.partitionBy(*pools, "left_id").orderBy(F.round("distance", 9), "right_id")
+    order = Window.partitionBy(*pools, "left_id").orderBy(F.round("distance", 9).asc_nulls_last(), "right_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -114,13 +115,17 @@ ADJACENT = {"DEF": ["MID"], "MID": ["DEF", "FWD"], "FWD": ["MID"], "GK": []}
 def neighbours_with_fallback(rows: DataFrame, key: str, cohort: str, group: str, k: int = 10, least: int = 5, metric: str = "rms") -> DataFrame:
     """(cohort, left_id, right_id, right_group, fell_back, distance, rank): neighbours of the own group; where fewer than ``least`` are there, adjacent groups join in.
 
-    ``rows`` has ``v``. How many a group has decides for each row which groups its join looks at; a group without adjacent ones stays alone.
+    ``rows`` has ``v``. Groups that are large enough, or have no adjacent ones, are ranked in cells; of the others each has ``least`` rows at most, and only these meet
+    the rows of their groups pair by pair. Null distances are last.
     """
-    sizes = rows.groupBy(cohort, group).agg((F.count("*") - 1).alias("_others"))
+    known = stored(rows.select(cohort, group, key, "v"), "fallback-rows")
+    sizes = known.groupBy(cohort, group).agg((F.count("*") - 1).alias("_others"))
     beside = F.create_map(*[x for g, near in ADJACENT.items() for x in (F.lit(g), F.array(*[F.lit(n) for n in near]).cast("array<string>"))])
     adjacent = F.coalesce(F.try_element_at(beside, F.col(group)), F.array().cast("array<string>"))
-    short = (F.col("_others") < least) & (F.size(adjacent) > 0)
-    asked = rows.join(sizes, [cohort, group]).select(cohort, F.col(key).alias("left_id"), F.col("v").alias("a"), short.alias("fell_back"), F.explode(F.when(short, F.concat(F.array(group), adjacent)).otherwise(F.array(group))).alias("right_group"))
-    other = rows.select(cohort, F.col(group).alias("right_group"), F.col(key).alias("right_id"), F.col("v").alias("b"))
-    pairs = asked.join(other, [cohort, "right_group"]).where("left_id <> right_id").select(cohort, "left_id", "right_id", "right_group", "fell_back", METRICS[metric](F.col("a"), F.col("b")).alias("distance"))
-    return ranked(pairs, [cohort], k)
+    sized = known.join(sizes, [cohort, group]).withColumn("_short", (F.col("_others") < least) & (F.size(adjacent) > 0))
+    columns = [cohort, "left_id", "right_id", "right_group", "fell_back", "distance"]
+    own = cells.nearest(sized.where(~F.col("_short")), key, [cohort, group], "v", k, metric).withColumns({"right_group": F.col(group), "fell_back": F.lit(False)})
+    asked = sized.where("_short").select(cohort, F.col(key).alias("left_id"), F.col("v").alias("a"), F.explode(F.concat(F.array(group), adjacent)).alias("right_group"))
+    other = known.select(cohort, F.col(group).alias("right_group"), F.col(key).alias("right_id"), F.col("v").alias("b"))
+    pairs = asked.join(other, [cohort, "right_group"]).where("left_id <> right_id").withColumns({"fell_back": F.lit(True), "distance": METRICS[metric](F.col("a"), F.col("b"))})
+    return ranked(own.select(*columns).unionByName(pairs.select(*columns)), [cohort], k)
