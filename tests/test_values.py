@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.operators import calibration as T
@@ -10,6 +11,7 @@ from touchline.operators import crossfit as X
 from touchline.operators import ordering as O
 from touchline.operators import values as V
 from touchline.operators.selection import folds
+from touchline.sources.scratch import in_parts
 
 # Order -------------------------------------------------------------------------------------------------------------------
 
@@ -64,6 +66,20 @@ def test_values_are_nonnegative_keep_the_mean_and_beat_it(states, fit):
     assert one[0] >= 0 and one[1] == pytest.approx(one[2], rel=0.08) and one[3] < one[4]
 
 
+def test_fits_and_predictions_read_stored_rows(states):
+    w = Window.partitionBy("match_id").orderBy("id")
+    rows = states.withColumn("x", F.coalesce("x", F.lag("x").over(w)))
+    found = V.cross_fitted(rows, folds(rows, "match_id", 3), "match_id", V.regressor(FEATURES, "value"))
+    assert "Window" not in found._jdf.queryExecution().toString() and found.count() == 600
+
+
+def test_parts_hold_so_many_rows(spark):
+    rows = in_parts(spark.range(10000), "parts", 1000)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 1100 and rows.distinct().count() == 10000
+    assert in_parts(spark.range(0), "parts").count() == 0
+
+
 def test_hurdle_is_a_product_and_handles_one_class(spark, states):
     found = V.hurdle(FEATURES, "value")(states)(states)
     assert found.where("abs(probability*magnitude - prediction) > 1e-12 or probability < 0 or probability > 1 or magnitude < 0").count() == 0

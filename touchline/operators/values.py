@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators.ordering import spearman
+from touchline.sources.scratch import in_parts, stored
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 UNKNOWN = "Unknown"
@@ -56,6 +57,16 @@ def nonnegative(value: Column) -> Column:
     return F.when(finite, F.greatest(value, F.lit(0.0))).otherwise(F.raise_error(F.lit("predictions must be finite")).cast("double"))
 
 
+def _examples(prepared: PipelineModel, ready: DataFrame) -> DataFrame:
+    """What a model reads in each of its rounds, worked out once."""
+    return in_parts(prepared.transform(ready).select("_features", "_target"), "examples")
+
+
+def _fitted(features: Features, model, ready: DataFrame) -> PipelineModel:
+    prepared = Pipeline(stages=features.stages()).fit(ready)
+    return PipelineModel([prepared, model.fit(_examples(prepared, ready))])
+
+
 def _drop_working(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
     return rows.select(*columns, *more)
 
@@ -69,7 +80,7 @@ def regressor(features: Features, target: str, kind: str = "tweedie", power: flo
             model = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, regParam=ridge, maxIter=50, **columns)
         else:
             model = GBTRegressor(lossType=kind, maxIter=trees, maxDepth=depth, stepSize=step, seed=42, **columns)
-        fitted = Pipeline(stages=[*features.stages(), model]).fit(features.ready(train).withColumn("_target", F.col(target).cast("double")))
+        fitted = _fitted(features, model, features.ready(train).withColumn("_target", F.col(target).cast("double")))
         return lambda rows: _drop_working(fitted.transform(features.ready(rows)), rows.columns, nonnegative(F.col("_predicted")).alias("prediction"))
 
     return fit
@@ -92,7 +103,7 @@ def classifier(features: Features, label: str, kind: str = "logistic", ridge: fl
             model = MultilayerPerceptronClassifier(layers=[width, 64, 32, 2], maxIter=trees, seed=42, **columns)
         else:
             model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=42, **columns)
-        fitted = PipelineModel([prepared, model.fit(prepared.transform(ready))])
+        fitted = PipelineModel([prepared, model.fit(_examples(prepared, ready))])
         return lambda rows: _drop_working(fitted.transform(features.ready(rows)), rows.columns, vector_to_array("probability")[1].alias("prediction"))
 
     return fit
@@ -117,8 +128,11 @@ def hurdle(features: Features, target: str, positive: str = "logistic", magnitud
 
 
 def cross_fitted(rows: DataFrame, folds: DataFrame, group: str, fit: Fit) -> DataFrame:
-    """Every row with its ``fold`` and a prediction of a model that saw none of the fold's groups; one model per fold."""
-    joined = rows.join(folds, group)
+    """Every row with its ``fold`` and a prediction of a model that saw none of the fold's groups; one model per fold.
+
+    The rows are stored, so that neither the fits nor the prediction, in which all folds come together, work them out again.
+    """
+    joined = stored(rows.join(folds, group), "fold-rows")
     parts = []
     for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         parts.append(fit(joined.where(F.col("fold") != fold))(joined.where(F.col("fold") == fold)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -25,3 +26,17 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+PART = 1 << 20
+"""Rows of a part on average, at most."""
+
+
+def in_parts(rows: DataFrame, name: str, per: int = PART) -> DataFrame:
+    """``rows`` stored and dealt to partitions of at most ``per`` rows on average, so that what a task caches of them doesn't grow with the table.
+
+    A model that reads its rows again and again keeps them in memory at several times the size that they have on disk, by which Spark cuts files.
+    """
+    kept = stored(rows, name)
+    n = kept.count()
+    return kept.repartition(max(math.ceil(n / per), min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 4096)), 1))
