@@ -19,7 +19,7 @@ from touchline.plans.profiles import FEATURES_SQL, features, style_sql
 from touchline.plans.sequences import HALVES_SQL, POSSESSIONS_SQL, STATES_SQL, _halves, possessions, states
 from touchline.session import table
 from touchline.sources import views
-from touchline.sources.scratch import stored
+from touchline.sources.scratch import in_parts, stored
 from touchline.sources.views import PASSES_SQL
 
 _SPLIT = f"select match_id, case when r <= floor(0.8*n) then 'train' when r <= floor(0.9*n) then 'validation' else 'test' end as part from (select match_id, row_number() over (order by md5(match_id::varchar), match_id) as r, count(*) over () as n from (select distinct match_id from ({PASSES_SQL})))"
@@ -45,7 +45,7 @@ def gain_importance(spark, sf_dir):
     """Share of each number in a boosted model's gain."""
     names = ["pass_length", "forward_distance", "start_goal_distance", "expected_completion"]
     rows = features(spark, sf_dir).select(F.col("completed").cast("double").alias("y"), *names)
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=42)]).fit(rows)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="y", maxIter=5, maxDepth=3, seed=42)]).fit(in_parts(rows, "gain-rows"))
     found = M.importances(names, [float(v) for v in fitted.stages[-1].featureImportances.toArray()])
     return spark.createDataFrame(found, "feature string, share double")
 
