@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.selection import folds
 from touchline.operators.values import Fit
+from touchline.sources.scratch import stored
 
 MANIFEST = "manifest string"
 TRAIN, HELD_OUT = "train_inner_oof", "outer_heldout"
@@ -50,7 +51,7 @@ def nested_labels(rows: DataFrame, train: DataFrame, held_out: DataFrame, id_col
     fitted on all of ``train``. The result is stored under ``path``; it is used again only if the fingerprints of both sets, the number of
     rows and ``settings`` (which name the model) are those of its manifest, and its rows are complete.
     """
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, stored(rows, "nested-rows")
     if train.select(group).join(held_out.select(group), group, "left_semi").limit(1).count():
         raise ValueError("outer training and held-out groups overlap")
     inside, outside = rows.join(train.select(group).distinct(), group, "left_semi"), rows.join(held_out.select(group).distinct(), group, "left_semi")
@@ -61,8 +62,7 @@ def nested_labels(rows: DataFrame, train: DataFrame, held_out: DataFrame, id_col
     manifest = json.loads(json.dumps(manifest))
     if (kept := _kept(path, manifest, spark)) is not None:
         return kept
-    dealt = folds(inside, group, inner)
-    joined = inside.join(dealt, group)
+    joined = stored(inside.join(folds(inside, group, inner), group), "inner-rows")
     role = lambda found, name, fold: found.select(F.col(id_col).alias("id"), F.col(group).alias("group"), "prediction", F.lit(name).alias("outer_role"), F.lit(fold).alias("inner_fold"))
     parts = [role(fit(joined.where(F.col("fold") != i).drop("fold"))(joined.where(F.col("fold") == i).drop("fold")), TRAIN, i) for i in range(1, inner + 1)]
     found = reduce(DataFrame.unionByName, [*parts, role(fit(inside)(outside), HELD_OUT, 0)])
