@@ -10,6 +10,7 @@ from touchline.operators import calibration as T
 from touchline.operators import crossfit as X
 from touchline.operators import ordering as O
 from touchline.operators import values as V
+from touchline.operators.models import out_of_fold
 from touchline.operators.selection import folds
 from touchline.sources.scratch import in_parts
 
@@ -73,6 +74,15 @@ def test_fits_and_predictions_read_stored_rows(states):
     assert "Window" not in found._jdf.queryExecution().toString() and found.count() == 600
 
 
+@pytest.mark.parametrize("kind", ["logistic", "gbt"])
+def test_out_of_fold_reads_stored_rows(states, kind):
+    w = Window.partitionBy("match_id").orderBy("id")
+    rows = states.select("id", "match_id", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("kind", F.lit("none")).alias("kind"), (F.col("value") > 0).alias("y"), F.row_number().over(w).alias("n"))
+    found = out_of_fold(rows, folds(rows, "match_id", 2), "match_id", ["id"], "y", ["x", "n"], ["kind"], kind)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert found.select("id").distinct().count() == found.where("prediction between 0 and 1").count() == 600
+
+
 def test_parts_hold_so_many_rows(spark):
     rows = in_parts(spark.range(10000), "parts", 1000)
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.sources.scratch import in_parts, stored
+
 
 def feature_stages(numeric: list[str], categories: list[str], output: str = "features") -> list:
     """Scaled numbers and one-hot categories; unseen categories have a slot of their own."""
@@ -24,15 +26,18 @@ def feature_stages(numeric: list[str], categories: list[str], output: str = "fea
 
 
 def out_of_fold(rows: DataFrame, folds: DataFrame, group: str, ids: list[str], label: str, numeric: list[str], categories: list[str], kind: str = "logistic") -> DataFrame:
-    """A probability for every row from a model that saw none of its fold. As many models as folds."""
-    joined = rows.join(folds, group).withColumn("_label", F.col(label).cast("double"))
+    """A probability for every row from a model that saw none of its fold. As many models as folds; the rows are worked out once for all of them."""
+    columns = dict.fromkeys([*ids, "fold", label, *numeric, *categories])
+    joined = stored(rows.join(folds, group).select(*columns, F.col(label).cast("double").alias("_label")), "fold-rows")
     parts = []
     for fold in sorted(r.fold for r in folds.select("fold").distinct().collect()):
         if kind == "logistic":
             model = LogisticRegression(labelCol="_label", maxIter=50, regParam=1e-3)
         else:
             model = GBTClassifier(labelCol="_label", maxIter=5, maxDepth=3, seed=42)
-        fitted = Pipeline(stages=[*feature_stages(numeric, categories), model]).fit(joined.where(F.col("fold") != fold))
+        train = joined.where(F.col("fold") != fold)
+        prepared = Pipeline(stages=feature_stages(numeric, categories)).fit(train)
+        fitted = PipelineModel([prepared, model.fit(in_parts(prepared.transform(train).select("features", "_label"), "examples"))])
         scored = fitted.transform(joined.where(F.col("fold") == fold))
         parts.append(scored.select(*ids, "fold", F.col(label), vector_to_array("probability")[1].alias("prediction")))
     return reduce(DataFrame.unionByName, parts)
