@@ -44,6 +44,17 @@ def test_rules_look_at_the_evidence_of_their_own_claim(spark):
     assert sorted((r.code, r.first_line, r.cited) for r in found.collect()) == [("any", 2, ["web-evidence-1"]), ("any", 7, []), ("current", 4, ["db-evidence-1"]), ("tuned", 9, [])]
 
 
+def test_each_line_is_judged_once(spark):
+    units = A.claim_units(spark.createDataFrame([(1, "a\nb")], "k int, t string"), "k", "t")
+    assert units._jdf.queryExecution().optimizedPlan().toString().count(r"^#{1,6}\s") == 1
+
+
+def test_trimmed_equals_the_sql(spark, duck):
+    for text in (" \t a b \r\n", "a  \u2028", "\u2028 a", " \n ", "", "a \u0085"):
+        want = duck.execute("select regexp_replace($1, '^\\s+|\\s+$', '', 'g')", [text]).fetchone()[0]
+        assert column(spark, text, M.trimmed) == want, repr(text)
+
+
 def test_matches_have_offsets_lines_and_context(spark):
     text = "ab 12\n\x07cd 345 ab\nxab"
     found = A.pattern_matches(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "k int, t string"), "k", "t", {"n": "[0-9]+", "ab": r"\bab\b", "at end": "b$"}, around=2)

@@ -21,7 +21,12 @@ def rlike(c: Column, pattern: str) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def only_if(first: Column, then: Column) -> Column:
+    """Both hold. The optimizer may work out what an ``&`` repeats for every row; a condition it works out only where the first one holds."""
+    return F.when(first, then).otherwise(False)
 
 
 def words(c: Column) -> Column:
@@ -48,10 +53,11 @@ def outside_world(text: Column) -> Column:
 def is_heading(line: Column, before: Column, after: Column) -> Column:
     """Whether a trimmed line is a heading, by its marks, its words, or as a short title between blank lines. ``before`` and ``after`` are null at the ends."""
     text, cited = heading_text(line), F.size(citation_ids(line)) > 0
-    bold = rlike(line, r"^(?:\*\*|__).+(?:\*\*|__)$") & ~cited & (words(text) <= 8) & ~rlike(line, r"[.?!][*_ ]*$")
-    alone = (F.coalesce(before, F.lit("")) == "") & (F.coalesce(after, F.lit("")) == "")
-    title = alone & words(line).between(1, 5) & rlike(line, r"^\p{Lu}") & ~F.contains(line, F.lit(":")) & ~rlike(line, r"[.,;?!]$") & ~cited & ~rlike(line, rf"(?i){PREDICATE}")
-    return rlike(line, r"^#{1,6}\s") | rlike(text, rf"^(?i:{PLAIN_HEADING})$") | of_the_present(text) | bold | title
+    named = only_if(rlike(line, rf"^[#*_\s]*+(?i:{PLAIN_HEADING}|{PRESENT_HEADING})"), rlike(text, rf"^(?i:{PLAIN_HEADING})$") | of_the_present(text))
+    bold = only_if(rlike(line, r"^(?:\*\*|__).+(?:\*\*|__)$"), ~cited & (words(text) <= 8) & ~rlike(line, r"[.?!][*_ ]*$"))
+    alone = (F.coalesce(before, F.lit("")) == "") & (F.coalesce(after, F.lit("")) == "") & rlike(line, r"^\p{Lu}")
+    title = only_if(alone, words(line).between(1, 5) & ~F.contains(line, F.lit(":")) & ~rlike(line, r"[.,;?!]$") & ~cited & ~rlike(line, rf"(?i){PREDICATE}"))
+    return rlike(line, r"^#{1,6}\s") | named | bold | title
 
 
 def unescaped_headings(c: Column) -> Column:

@@ -31,8 +31,8 @@ def claim_units(answers: DataFrame, key: str, text: str) -> DataFrame:
     blank = line == ""
     # an underline belongs to the text before it; one that follows an underline is a heading of its own
     taken = rule("line") & ~F.coalesce(F.col("before") == "", F.lit(True)) & ~rule("before")
-    heading = ~blank & ~taken & (rule("after") | (~rule("line") & M.is_heading(line, F.col("before"), F.col("after"))))
-    kinds = lines.withColumns({"heading": heading, "plain": ~blank & ~heading & ~rule("line")})
+    heading = M.only_if(~blank & ~taken, F.when(rule("after"), True).otherwise(M.only_if(~rule("line"), M.is_heading(line, F.col("before"), F.col("after")))))
+    kinds = lines.withColumn("heading", heading).withColumn("plain", ~blank & ~F.col("heading") & ~rule("line"))
     starts = blank | F.col("heading") | (F.col("plain") & M.rlike(line, r"^[-*+] "))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     section = F.last(F.when(F.col("heading"), M.outside_world(M.heading_text(line))), ignorenulls=True).over(upto)
