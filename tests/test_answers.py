@@ -49,6 +49,19 @@ def test_each_line_is_judged_once(spark):
     assert units._jdf.queryExecution().optimizedPlan().toString().count(r"^#{1,6}\s") == 1
 
 
+def test_units_meet_the_rules_in_one_pass(spark):
+    units = A.claim_units(spark.createDataFrame([(1, "a\nb")], "k int, t string"), "k", "t")
+    found = A.findings(units, "k", spark.createDataFrame([(1, "x", "web")], "k int, evidence_id string, category string"), [A.Rule("c", "p", "web")])
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_citations_of_one_id_in_several_categories_or_none(spark):
+    answers = spark.createDataFrame([(1, "It is [a-evidence; a-evidence; b-evidence]."), (2, "It is [b-evidence]."), (None, "It is [a-evidence]."), (3, "It is [unknown-evidence].")], "k int, t string")
+    evidence = spark.createDataFrame([(1, "a-evidence", "web"), (1, "a-evidence", "analytics"), (1, "a-evidence", "web"), (1, None, "methodology"), (2, "b-evidence", None), (None, "a-evidence", "web")], "k int, evidence_id string, category string")
+    found = A.findings(A.claim_units(answers, "k", "t"), "k", evidence, [A.Rule(c, "is", c) for c in ("web", "analytics", "methodology")])
+    assert sorted(((r.k or 0, r.code, r.cited) for r in found.collect()), key=repr) == sorted([(1, "methodology", ["a-evidence"])] + [(k, c, ["b-evidence"] if k == 2 else []) for k in (0, 2, 3) for c in ("web", "analytics", "methodology")], key=repr)
+
+
 def test_trimmed_equals_the_sql(spark, duck):
     for text in (" \t a b \r\n", "a  \u2028", "\u2028 a", " \n ", "", "a \u0085"):
         want = duck.execute("select regexp_replace($1, '^\\s+|\\s+$', '', 'g')", [text]).fetchone()[0]

@@ -55,13 +55,18 @@ class Rule:
 def findings(units: DataFrame, key: str, evidence: DataFrame, rules: list[Rule]) -> DataFrame:
     """(key, unit, code, first_line, last_line, text, cited): claims that a rule asks evidence for and that don't cite any of its category.
 
-    ``evidence``: (key, evidence_id, category). Units meet their citations in one join, whatever the number of rules.
+    ``evidence``: (key, evidence_id, category). An answer's evidence meets its units as one row, so the units are worked out once, whatever the number of rules.
     """
-    cited = units.select(key, "unit", F.explode(F.array_distinct(citation_ids(F.col("text")))).alias("evidence_id"))
-    held = cited.join(evidence, [key, "evidence_id"]).groupBy(key, "unit").agg(F.sort_array(F.collect_set("category")).alias("categories"), F.sort_array(F.collect_set("evidence_id")).alias("cited"))
-    none = F.array().cast("array<string>")
-    joined = units.join(held, [key, "unit"], "left").withColumns({"categories": F.coalesce("categories", none), "cited": F.coalesce("cited", none)})
-    broken = [F.when(M.rlike(F.col("text"), r.pattern) & (F.col("current") if r.section_only else F.lit(True)) & ~F.array_contains("categories", r.category), r.code) for r in rules]
+    kept = evidence.where(F.col("evidence_id").isNotNull()).groupBy(key, "evidence_id").agg(F.collect_set("category").alias("categories"))
+    held = kept.groupBy(key).agg(F.collect_list(F.struct("evidence_id", "categories")).alias("held"))  # one answer's evidence
+    text = F.col("text")
+    ids = F.when(F.contains(text, F.lit("[")), F.array_distinct(citation_ids(text))).otherwise(F.array().cast("array<string>"))
+    joined = units.withColumn("ids", ids).join(held, key, "left")
+    found = F.when(F.size("ids") > 0, F.filter("held", lambda e: F.array_contains("ids", e["evidence_id"])))
+    joined = joined.withColumn("found", F.coalesce(found, F.array().cast(held.schema["held"].dataType)))
+    joined = joined.withColumns({"categories": F.flatten(F.transform("found", lambda e: e["categories"])), "cited": F.array_sort(F.transform("found", lambda e: e["evidence_id"]))})
+    asked = lambda r: ~F.array_contains("categories", r.category) & (F.col("current") if r.section_only else F.lit(True))
+    broken = [F.when(M.only_if(asked(r), M.rlike(text, r.pattern)), r.code) for r in rules]
     return joined.select(key, "unit", F.explode(F.array_compact(F.array(*broken))).alias("code"), "first_line", "last_line", "text", "cited")
 
 
