@@ -228,3 +228,18 @@ def test_group_medians(spark):
     rows = spark.createDataFrame([*[(int(a), float(b)) for a, b in frame.values], (0, None), (9, None)], "g int, v double").repartition(5)
     assert {r.g: (r.n, r.median) for r in O.group_medians(rows, "g", "v").collect()} == {g: (len(x), pytest.approx(x.v.median())) for g, x in frame.groupby("g")}
     assert O.group_medians(rows.limit(0), "g", "v").count() == 0
+
+
+def test_models_of_one_condition_share_their_examples(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id", "id % 7 as a", "if(id % 3 = 0, 'x', 'y') as c", "cast(id % 7 > 3 or id % 5 = 0 as double) as v")
+    features, made, in_parts = V.Features(["a"], [], ["c"]), [], V.in_parts
+    monkeypatch.setattr(V, "in_parts", lambda *a: made.append(1) or in_parts(*a))
+    models = {"few": {"kind": "trees", "trees": 2, "depth": 2}, "net": {"kind": "network", "trees": 5}, "line": {"ridge": 1e-3}}
+    together = V.classifiers(features, "v > 0", models)(rows)(rows)
+    assert made == [1] and together.columns == [*rows.columns, *models]
+    found = {r.id: r for r in together.collect()}
+    for name, how in models.items():
+        alone = V.classifier(features, "v > 0", **how)(rows)(rows)
+        assert all(r.prediction == pytest.approx(found[r.id][name], abs=1e-9) for r in alone.collect())
+    one_class = V.classifiers(features, "v > 9", models)(rows)(rows)
+    assert one_class.select(*models).distinct().collect() == [(0.0, 0.0, 0.0)]

@@ -88,23 +88,37 @@ def regressor(features: Features, target: str, kind: str = "tweedie", power: flo
 
 def classifier(features: Features, label: str, kind: str = "logistic", ridge: float = 0.0, trees: int = 20, depth: int = 3) -> Fit:
     """The probability that the condition ``label`` holds, by ``logistic`` regression, a ``network`` with layers of 64 and 32, or boosted ``trees``; the rate itself where training rows have one class only."""
+    return classifiers(features, label, {"prediction": {"kind": kind, "ridge": ridge, "trees": trees, "depth": depth}})
+
+
+def classifiers(features: Features, label: str, models: dict[str, dict]) -> Fit:
+    """Several models of one condition, by the name of the column that each adds; ``models`` holds what ``classifier`` takes.
+
+    Features are prepared and examples worked out once for all models, and rows to predict meet them in one pass.
+    """
+
+    def model(kind: str = "logistic", ridge: float = 0.0, trees: int = 20, depth: int = 3, width=None):
+        columns = {"labelCol": "_target", "featuresCol": "_features"}
+        if kind == "logistic":
+            return LogisticRegression(regParam=ridge, maxIter=100, tol=1e-8, **columns)
+        if kind == "network":
+            return MultilayerPerceptronClassifier(layers=[width(), 64, 32, 2], maxIter=trees, seed=42, **columns)
+        return GBTClassifier(maxIter=trees, maxDepth=depth, seed=42, **columns)
 
     def fit(train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         rate = train.agg(F.avg(F.expr(label).cast("double"))).first()[0]
         if rate in (None, 0.0, 1.0):
-            return lambda rows: rows.withColumn("prediction", F.lit(float(rate or 0)))
-        columns = {"labelCol": "_target", "featuresCol": "_features"}
+            return lambda rows: rows.withColumns({name: F.lit(float(rate or 0)) for name in models})
         ready = features.ready(train).withColumn("_target", F.expr(label).cast("double"))
         prepared = Pipeline(stages=features.stages()).fit(ready)
-        if kind == "logistic":
-            model = LogisticRegression(regParam=ridge, maxIter=100, tol=1e-8, **columns)
-        elif kind == "network":
-            width = prepared.transform(ready.limit(1)).first()["_features"].size
-            model = MultilayerPerceptronClassifier(layers=[width, 64, 32, 2], maxIter=trees, seed=42, **columns)
-        else:
-            model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=42, **columns)
-        fitted = PipelineModel([prepared, model.fit(_examples(prepared, ready))])
-        return lambda rows: _drop_working(fitted.transform(features.ready(rows)), rows.columns, vector_to_array("probability")[1].alias("prediction"))
+        examples = _examples(prepared, ready)
+        width = lambda: prepared.transform(ready.limit(1)).first()["_features"].size
+        fitted = [model(**how, width=width).fit(examples) for how in models.values()]
+        for i, each in enumerate(fitted):
+            each.setProbabilityCol(f"_probability_{i}").setRawPredictionCol("").setPredictionCol("")
+        chain = PipelineModel([prepared, *fitted])
+        chances = [vector_to_array(f"_probability_{i}")[1].alias(name) for i, name in enumerate(models)]
+        return lambda rows: _drop_working(chain.transform(features.ready(rows)), rows.columns, *chances)
 
     return fit
 

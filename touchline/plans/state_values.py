@@ -101,10 +101,10 @@ def boosting_candidates(spark, sf_dir):
     rows = _rows(spark, sf_dir).withColumn("y", (F.col("value") > 0).cast("int"))
     dealt = stored(rows.join(three_way_split(rows, "match_id"), "match_id"), "candidates-split")
     train, held = dealt.where("part = 'train'"), dealt.where("part = 'validation'").select("event_id", "y", *_COLUMNS.numbers, *_COLUMNS.flags, *_COLUMNS.categories)
-    fits = {"shallow": V.classifier(_COLUMNS, "value > 0", "trees", trees=5, depth=2), "deeper": V.classifier(_COLUMNS, "value > 0", "trees", trees=5, depth=4), "longer": V.classifier(_COLUMNS, "value > 0", "trees", trees=10, depth=3), "network": V.classifier(_COLUMNS, "value > 0", "network", trees=30)}
-    for name, fit in fits.items():
-        held = stored(fit(train)(held).withColumnRenamed("prediction", f"p_{name}"), "candidate")
-    return M.scored_candidates(held, "y", {name: F.col(f"p_{name}") for name in fits})
+    models = {"shallow": {"kind": "trees", "trees": 5, "depth": 2}, "deeper": {"kind": "trees", "trees": 5, "depth": 4}, "longer": {"kind": "trees", "trees": 10, "depth": 3}, "network": {"kind": "network", "trees": 30}}
+    predict = V.classifiers(_COLUMNS, "value > 0", {f"p_{name}": how for name, how in models.items()})(train)
+    scored = stored(predict(held).select("y", *[f"p_{name}" for name in models]), "candidates")
+    return M.scored_candidates(scored, "y", {name: F.col(f"p_{name}") for name in models})
 
 
 # Nested cross-fitting ----------------------------------------------------------------------------------------------------
