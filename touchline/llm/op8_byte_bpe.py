@@ -88,36 +88,44 @@ def _let(value: Column, body) -> Column:
 
 
 _NONE = 1 << 62
-"""Added to an id whose pair with the next one has no rank."""
+"""Added to an element whose id's pair with the next one has no rank."""
+_ID = 20
+_AT = 12
+"""Bits of an id and of a place; a piece has less than 4 * ``LONG`` bytes."""
 
 
 def folded(piece: Column, t: Column) -> Column:
-    """Ids of a piece: ranked merges over its bytes. Each element holds an id and, above its lowest 20 bits, the id that it would become with the next one,
-    so the least element is the next merge; a merge changes two elements and takes one away."""
+    """Ids of a piece: ranked merges over its bytes. Each element holds an id, above it its place and above that the id that it would become with the next one,
+    so the least element is the next merge, the leftmost of equal ones; a merge changes two elements, takes one away and moves those behind by a place.
+    ``array_position`` would find the place as well, but leaves its loop by an exception."""
     none = F.array().cast("array<long>")
 
     def number(x: Column) -> Column:
-        return x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+        return x.bitwiseAND(F.lit((1 << _ID) - 1)).cast("int")
 
-    def element(left: Column, right: Column) -> Column:
+    def label(i: Column, at: Column) -> Column:
+        return F.shiftleft(at.cast("long"), _ID) + i
+
+    def element(left: Column, right: Column, at: Column) -> Column:
         place = F.get(t["base"], left) + right
-        return F.when(F.get(t["owner"], place) == left, F.shiftleft(F.get(t["merged"], place).cast("long"), 20) + left).otherwise(F.lit(_NONE) + left)
+        return F.when(F.get(t["owner"], place) == left, F.shiftleft(F.get(t["merged"], place).cast("long"), _AT + _ID)).otherwise(F.lit(_NONE)) + label(left, at)
 
     def merge(parts: Column, _) -> Column:
         def at_lowest(low: Column) -> Column:
-            new = F.shiftright(low, 20).cast("int")
+            new = F.shiftright(low, _AT + _ID).cast("int")
 
             def join(at: Column) -> Column:
-                before = F.when(at > 1, F.array(element(number(F.get(parts, at - 2)), new))).otherwise(none)
-                here = F.when(at + 1 < F.size(parts), element(new, number(F.get(parts, at + 1)))).otherwise(F.lit(_NONE) + new)
-                return F.flatten(F.array(F.slice(parts, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(parts, at + 2, F.size(parts))))
+                before = F.when(at > 0, F.array(element(number(F.get(parts, at - 1)), new, at - 1))).otherwise(none)
+                here = F.when(at + 2 < F.size(parts), element(new, number(F.get(parts, at + 2)), at)).otherwise(F.lit(_NONE) + label(new, at))
+                behind = F.transform(F.slice(parts, at + 3, F.size(parts)), lambda x: x - F.lit(1 << _ID))
+                return F.flatten(F.array(F.slice(parts, F.lit(1), F.greatest(at - 1, F.lit(0))), before, F.array(here), behind))
 
-            return F.when(low < _NONE, _let(F.array_position(parts, low).cast("int"), join)).otherwise(parts)
+            return F.when(low < _NONE, _let(F.shiftright(low, _ID).bitwiseAND(F.lit((1 << _AT) - 1)).cast("int"), join)).otherwise(parts)
 
         return _let(F.array_min(parts), at_lowest)
 
     def run(ids: Column) -> Column:
-        start = F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), element(x, F.get(ids, i + 1))).otherwise(F.lit(_NONE) + x))
+        start = F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), element(x, F.get(ids, i + 1), i)).otherwise(F.lit(_NONE) + label(x, i)))
         return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, merge), number)
 
     def fold(bytes_: Column) -> Column:  # a character for each byte
