@@ -107,3 +107,19 @@ def test_optional_filters(spark):
     assert X.filtered(rows, "k", 1).count() == 2 and X.filtered(rows, "k", 1, {"s": "a"}, {"n": (None, 6)}).count() == 1
     with pytest.raises(ValueError):
         X.filtered(rows, "k", 1, between={"n": (3, 2)})
+
+
+def test_zscores_of_large_values(spark):
+    """Of 20,000 values about 100,000.5 a plain running sum is off in the tenth digit of the score."""
+    from fractions import Fraction
+
+    values = [100000 + i * 7919 % 1000 / 1000 for i in range(20000)]
+    exact = [Fraction(x) for x in values]
+    mean = sum(exact) / len(exact)
+    deviation = float(sum((x - mean) ** 2 for x in exact) / len(exact)) ** 0.5
+    want = [float(x - mean) / deviation for x in exact]
+    rows = spark.createDataFrame([(i, "a", x) for i, x in enumerate(values)], "id long, g string, x double").unionByName(spark.createDataFrame([(-1, "b", 0.1), (-2, "b", 0.1), (-3, "b", 0.1)], "id long, g string, x double"))
+    got = {r.id: r.z_x for r in S.zscores(rows, "g", ["x"]).select("id", "z_x").collect()}
+    assert [got[i] for i in (-1, -2, -3)] == [None] * 3
+    off = max(abs(got[i] - w) for i, w in enumerate(want))
+    assert off < 3e-11
