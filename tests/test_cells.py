@@ -85,3 +85,10 @@ def test_nearest_centre_is_compiled(spark):
     near = rows.select(K._nearest(rows.v, rows.centres, 3, 2).alias("n"))
     assert tuple(near.first().n) == (1.0, 1)
     assert "lambda" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_block_that_meets_itself_is_sent_once(spark):
+    """Both sides see all rows of a pool of one block, from one copy of each."""
+    rows = spark.createDataFrame([(i, 0, float(i)) for i in range(200)], "id long, pool int, v double")
+    found = C.in_cells(rows, "id", ["pool"], ["v"], lambda a, b: {"n": [a.num_rows * b.num_rows], "once": [a.column("_side").to_pylist() == [C.BOTH] * 200]}, "n long, once boolean")
+    assert [(r.n, r.once) for r in found.collect()] == [(200 * 200, True)]

@@ -139,3 +139,25 @@ def test_cells_are_spread_over_tasks(spark):
     rows = spark.range(3000).select("id", (F.col("id") % 2).alias("pool"), F.array((F.col("id") * 7 % 101).cast("double")).alias("v"))
     found = N.cells.in_cells(rows, "id", ["pool"], ["v"], lambda a, b: {"n": pa.array([a.num_rows * b.num_rows])}, "n long")
     assert found.rdd.getNumPartitions() >= N.cells.CELLS and found.agg(F.sum("n")).first()[0] == 2 * 1500 * 1500
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+@pytest.mark.parametrize("metric", ["rms", "manhattan", "cosine"])
+def test_lists_hold_what_the_pairs_hold(spark, metric, block):
+    """Ties, a null and a zero vector; small blocks make many lists of a row."""
+    draw = random.Random(5)
+    rows = [(i, "a" if i % 3 else "b", None if i == 7 else [0.0, 0.0] if i == 8 else [float(draw.randint(0, 3)), draw.random() if i % 2 else 1.0]) for i in range(60)] + [(99, "c", [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "id long, pool string, v array<double>")
+    wanted: dict = {}
+    for r in sorted(N.cells.nearest(frame, "id", ["pool"], "v", 11, metric, block).collect(), key=lambda r: r.rank):
+        wanted.setdefault((r.pool, r.left_id), []).append(r.right_id)
+    assert {(r.pool, r.left_id): r.near for r in N.cells.nearest_lists(frame, "id", ["pool"], "v", 11, metric, block).collect()} == wanted
+
+
+def test_lists_are_compared_like_pairs(spark):
+    rows = {"full": {1: [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12], 2: [1, 3, 4], 3: [1], 4: [2, 1, 5, 6, 7, 8, 9]}, "r": {1: [3, 2, 4, 6, 5, 20, 21, 9, 11, 30, 31], 2: [4, 3, 1], 3: [2], 5: [1], 4: [1, 2, 9, 8, 30, 31, 32]}}
+    pairs = {n: spark.createDataFrame([(0, left, right, i + 1) for left, near in found.items() for i, right in enumerate(near)], "run int, left_id long, right_id long, rank int") for n, found in rows.items()}
+    lists = {n: spark.createDataFrame([(0, left, near) for left, near in found.items()], "run int, left_id long, near array<long>") for n, found in rows.items()}
+    wanted = N.compared(pairs["full"].drop("run"), pairs["r"], ["run"])
+    found = N.compared_lists(lists["full"].drop("run"), lists["r"], ["run"])
+    assert sorted(map(repr, (r.asDict() for r in found.select(wanted.columns).collect()))) == sorted(map(repr, (r.asDict() for r in wanted.collect())))

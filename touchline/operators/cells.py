@@ -18,10 +18,18 @@ from touchline.sources.scratch import stored
 
 BLOCK = 16384
 """Rows of a block on average, at most."""
+NEAR = 131072
+"""The same for nearest rows, which need only some matrices of both blocks: a pool of fewer rows is one cell, if there are many pools."""
 CELLS, LEAST = 64, 256
 """Blocks are made smaller, but not below ``LEAST`` rows, where there would be fewer cells."""
+LEFT, RIGHT, BOTH = 0, 1, 2
+"""Sides of a cell that a row is on; a block that meets itself is sent once."""
 LEAF, SEEN = 64, 512
 """Rows of a leaf, and rows that give a first limit; leaves beyond it are passed over as a whole."""
+ASKED, MET = 256, 4096
+"""Rows that look for their neighbours together, and rows that they meet at a time."""
+SPARE = 4e-6
+"""More than a product of few numbers in single precision can be off by, in proportion to their squares."""
 SLACK = 1e-8
 """More than nine digits and rounding errors can move a bound."""
 
@@ -38,12 +46,13 @@ def in_cells(rows: DataFrame, key: str, pools: list[str], others: list[str], wor
     blocks = F.greatest(F.ceil(F.col("_n") / block), F.least(wanted, F.ceil(F.col("_n") / LEAST)))
     sized = kept.join(sizes.crossJoin(F.broadcast(count)).select(*pools, blocks.cast("int").alias("_blocks")), pools)  # one row
     mine = F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda other: F.array(F.struct(mine.alias("l"), other.alias("r"), F.lit(True).alias("left")), F.struct(other.alias("l"), mine.alias("r"), F.lit(False).alias("left"))))
-    dealt = sized.withColumn("_cell", F.explode(F.flatten(cells))).select(*pools, F.col("_cell.l").alias("_l"), F.col("_cell.r").alias("_r"), F.col("_cell.left").alias("_left"), key, *others)
+    cells = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda other: F.when(other == mine, F.array(F.struct(mine.alias("l"), mine.alias("r"), F.lit(BOTH).alias("side")))).otherwise(F.array(F.struct(mine.alias("l"), other.alias("r"), F.lit(LEFT).alias("side")), F.struct(other.alias("l"), mine.alias("r"), F.lit(RIGHT).alias("side")))))
+    dealt = sized.withColumn("_cell", F.explode(F.flatten(cells))).select(*pools, F.col("_cell.l").alias("_l"), F.col("_cell.r").alias("_r"), F.col("_cell.side").alias("_side"), key, *others)
     kinds = ", ".join(f"`{p}` {rows.schema[p].dataType.simpleString()}" for p in pools)
 
     def cell(table: pa.Table) -> pa.Table:
-        found = work(table.filter(table.column("_left")), table.filter(pc.invert(table.column("_left"))))
+        side = table.column("_side")
+        found = work(table.filter(pc.not_equal(side, RIGHT)), table.filter(pc.not_equal(side, LEFT)))
         n = len(next(iter(found.values())))
         return pa.table({**{p: pa.repeat(table.column(p)[0], n) for p in pools}, **found})
 
@@ -101,23 +110,39 @@ def _measured(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _within(metric: str, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Which pairs can be within each row's limit: all that are, and some that exceed it by rounding errors; for cosine both are on the unit sphere."""
+    """Which pairs can be within each row's limit: all that are, and some that exceed it by rounding errors; for cosine both are on the unit sphere.
+
+    One product of single precision compares half the squared distance with the limit; what it can be off by is in proportion to the squares about
+    the middle of ``x`` and on the side of keeping a pair.
+    """
     if metric == "manhattan":
         return _measured(metric, x[:, None, :], y[None, :, :]) <= limit[:, None]
-    middle = y.mean(axis=0)
+    squared = 2 * limit if metric == "cosine" else limit * limit * x.shape[1]
+    middle = x.mean(axis=0)
     x, y = x - middle, y - middle
     xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    squared = 2 * limit if metric == "cosine" else limit * limit * x.shape[1]
-    spare = 1e-12 * (xx.max(initial=0) + yy.max(initial=0))
-    return x @ y.T >= ((xx - squared - spare)[:, None] + yy[None, :]) / 2
+    kind = np.float32 if max(xx.max(initial=0), yy.max(initial=0), squared.max(initial=0)) < 1e30 else float
+    left = np.c_[x, np.ones(len(x)), squared * (0.5 + SPARE) - xx * (0.5 - SPARE)].astype(kind)
+    right = np.c_[y, yy * (SPARE - 0.5), np.ones(len(y))].astype(kind)
+    return ~(left @ right.T < 0)
+
 
+def _found(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few that are true; eight are looked at together where their number allows."""
+    flat = np.ascontiguousarray(mask).ravel()
+    if len(flat) % 8:
+        return np.divmod(np.flatnonzero(flat), mask.shape[1])
+    eights = np.flatnonzero(flat.view(np.uint64))
+    which, place = np.nonzero(flat.reshape(-1, 8)[eights])
+    return np.divmod(eights[which] * 8 + place, mask.shape[1])
 
-def _leaves(x: np.ndarray) -> list[np.ndarray]:
+
+def _leaves(x: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
     """Positions of the rows, cut at medians of the widest dimension until a part is small."""
     done, open_ = [], [np.arange(len(x))] if len(x) else []
     while open_:
         at = open_.pop()
-        if len(at) <= LEAF:
+        if len(at) <= size:
             done.append(at)
             continue
         part = x[at]
@@ -149,7 +174,7 @@ def _least(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, ids: np.ndarr
     return order[np.arange(len(order)) - start < k]
 
 
-def _nearest_in_cell(key: str, vector: str, k: int, metric: str) -> Callable:
+def _nearest_in_cell(key: str, vector: str, k: int, metric: str, listed: bool = False) -> Callable:
     def work(a: pa.Table, b: pa.Table) -> dict[str, pa.Array]:
         x, y = _pair(a, b, vector)
         _, codes = np.unique(np.r_[a.column(key).to_numpy(), b.column(key).to_numpy()], return_inverse=True)
@@ -177,36 +202,46 @@ def _nearest_in_cell(key: str, vector: str, k: int, metric: str) -> Callable:
         on = (lambda m: m / _norms(m)[:, None]) if metric == "cosine" else (lambda m: m)
         px, py = on(x[plain_x]), on(y[plain_y])
         leaves = _leaves(py)
-        sizes = np.array([len(at) for at in leaves])
-        low, high = (np.array([f(py[at]) for at in leaves]).reshape(len(leaves), x.shape[1]) for f in (lambda m: m.min(axis=0), lambda m: m.max(axis=0)))
-        for own in _leaves(px):
-            rows, q = plain_x[own], x[plain_x[own]]
-            r, c, v = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        if leaves:  # rows of a leaf stand together
+            order = np.concatenate(leaves)
+            plain_y, py = plain_y[order], py[order]
+        sizes = np.array([len(at) for at in leaves], int)
+        start = np.r_[0, np.cumsum(sizes)]
+        low, high = (np.array([f(py[i:j]) for i, j in zip(start[:-1], start[1:], strict=True)]).reshape(len(leaves), x.shape[1]) for f in (lambda m: m.min(axis=0), lambda m: m.max(axis=0)))
+        for own in _leaves(px, ASKED):
+            rows, q, p = plain_x[own], x[plain_x[own]], px[own]
+            r, c, v = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
             if leaves:
-                bounds = _bounds(metric, px[own], low, high)
-                near = np.argsort(bounds.min(axis=0), kind="stable")
-                some = near[: 1 + np.searchsorted(np.cumsum(sizes[near]), max(SEEN, k + 1))]
-                first = plain_y[np.concatenate([leaves[i] for i in some])]
+                least, most = p.min(axis=0), p.max(axis=0)
+                near = np.argsort(((low + high - least - most) ** 2).sum(axis=1), kind="stable")
+                some = np.zeros(len(leaves), bool)
+                some[near[: 1 + np.searchsorted(np.cumsum(sizes[near]), max(SEEN, k + 1))]] = True
+                first = plain_y[np.repeat(some, sizes)]
                 d = distances(metric, q, y[first])
                 d[left[rows][:, None] == right[first][None, :]] = np.inf
                 limit = (np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(own), np.inf)) + SLACK
-                at = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-                r, c, v = rows[at[0]], first[at[1]], d[at]
-                more = (bounds <= limit[:, None]).any(axis=0)
-                more[some] = False
-                if more.any():
-                    places = np.concatenate([leaves[i] for i in np.flatnonzero(more)])
-                    at = np.nonzero(_within(metric, px[own], py[places], limit))
-                    further = plain_y[places][at[1]]
-                    r, c, v = np.r_[r, rows[at[0]]], np.r_[c, further], np.r_[v, _each(metric, q[at[0]], y[further])]
-            keep(np.r_[r, np.repeat(rows, len(few))], np.r_[c, np.tile(few, len(rows))], np.r_[v, np.full(len(rows) * len(few), apart)])
+                at = _found((d <= limit[:, None]) & np.isfinite(d))
+                r, c, v = [rows[at[0]]], [first[at[1]]], [d[at]]
+                gap = np.maximum(np.maximum(low - most, least - high), 0)
+                places = np.flatnonzero(np.repeat(~some & (_bounds(metric, np.zeros((1, gap.shape[1])), gap, gap)[0] <= limit.max()), sizes))
+                for i in range(0, len(places), MET):
+                    part = places[i : i + MET]
+                    at = _found(_within(metric, p, py[part], limit))
+                    r.append(rows[at[0]])
+                    c.append(plain_y[part[at[1]]])
+                    v.append(_each(metric, q[at[0]], y[c[-1]]))
+            keep(np.concatenate([*r, np.repeat(rows, len(few))]), np.concatenate([*c, np.tile(few, len(rows))]), np.concatenate([*v, np.full(len(rows) * len(few), apart)]))
         r, c, v = (np.concatenate([f[i] for f in found]) for i in range(3))
+        if listed:  # what is kept of a row stands together and in order
+            at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
+            each = pa.StructArray.from_arrays([pa.array(_digits(v)), b.column(key).take(pa.array(c, pa.int64())).combine_chunks()], ["digits", "right_id"])
+            return {"left_id": a.column(key).take(pa.array(r[at], pa.int64())), "near": pa.ListArray.from_arrays(pa.array(np.r_[at, len(r)].astype(np.int32)), each)}
         return {"left_id": a.column(key).take(pa.array(r, pa.int64())), "right_id": b.column(key).take(pa.array(c, pa.int64())), "distance": pa.array(v, pa.float64(), from_pandas=True)}
 
     return work
 
 
-def nearest(rows: DataFrame, key: str, pools: list[str], vector: str, k: int, metric: str = "rms", block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, key: str, pools: list[str], vector: str, k: int, metric: str = "rms", block: int = NEAR) -> DataFrame:
     """(pools, left_id, right_id, distance, rank): the k nearest of each row in its pool, by distance to nine digits and id; null distances are last."""
     kind = rows.schema[key].dataType.simpleString()
     found = in_cells(rows, key, pools, [vector], _nearest_in_cell(key, vector, k, metric), f"left_id {kind}, right_id {kind}, distance double", block)
@@ -214,6 +249,15 @@ def nearest(rows: DataFrame, key: str, pools: list[str], vector: str, k: int, me
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest_lists(rows: DataFrame, key: str, pools: list[str], vector: str, k: int, metric: str = "rms", block: int = NEAR) -> DataFrame:
+    """(pools, left_id, near): the same ids as ``nearest`` as a list in order of rank; rows of one ``left_id`` share a partition."""
+    kind = rows.schema[key].dataType.simpleString()
+    found = in_cells(rows, key, pools, [vector], _nearest_in_cell(key, vector, k, metric, True), f"left_id {kind}, near array<struct<digits:double,right_id:{kind}>>", block)
+    merged = found.repartition("left_id").groupBy(*pools, "left_id").agg(F.collect_list("near").alias("_lists"))
+    near = F.when(F.size("_lists") == 1, F.get("_lists", F.lit(0))).otherwise(F.slice(F.array_sort(F.flatten("_lists")), 1, k))
+    return merged.select(*pools, "left_id", near["right_id"].alias("near"))
+
+
 # Sums and counts of distances --------------------------------------------------------------------------------------------
 
 STRIP = 512

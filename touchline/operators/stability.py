@@ -24,7 +24,7 @@ def ranked(pairs: DataFrame, pools: list[str], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbours(rows: DataFrame, key: str, pools: list[str], k: int = KEPT, metric: str = "rms", block: int = cells.BLOCK) -> DataFrame:
+def neighbours(rows: DataFrame, key: str, pools: list[str], k: int = KEPT, metric: str = "rms", block: int = cells.NEAR) -> DataFrame:
     """(pools, left_id, right_id, distance, rank); ``rows`` has ``v``."""
     return cells.nearest(rows, key, pools, "v", k, metric, block)
 
@@ -51,12 +51,25 @@ def compared(reference: DataFrame, other: DataFrame, runs: list[str]) -> DataFra
     return joined.select(*runs, "left_id", "candidates", *columns, F.when(F.col("c") >= 3, 1 - 6 * F.col("d") / (n * (n * n - 1))).alias("rank_spearman"))
 
 
+def compared_lists(reference: DataFrame, other: DataFrame, kept: list[str]) -> DataFrame:
+    """(kept, left_id, candidates, measures) as ``compared``, of ``cells.nearest_lists``: no row per pair, and no shuffle of ``other`` beyond that by left_id."""
+    both = other.join(reference.select("left_id", F.col("near").alias("_x"), *[c for c in kept if c not in other.columns]).hint("shuffle_hash"), "left_id")
+    both = both.withColumns({"candidates": F.least(F.size("_x"), F.size("near")), "_c": F.array_intersect("_x", "near"), "_o": F.array_intersect("near", "_x")})
+    apart = F.transform("_c", lambda item, i: i + 1 - F.array_position("_o", item))
+    met = both.withColumns({"_n": F.size("_c").cast("double"), "_d": F.aggregate(apart, F.lit(0).cast("bigint"), lambda s, x: s + x * x)})
+    n, columns = F.col("_n"), []
+    for k in TOP:
+        of = F.when(F.col("candidates") > k, F.size(F.array_intersect(F.slice("_x", 1, k), F.slice("near", 1, k))).cast("double"))
+        columns += [(of / k).alias(f"top_{k}_overlap"), (of / (2 * k - of)).alias(f"top_{k}_jaccard")]
+    return met.select(*kept, "left_id", "candidates", *columns, F.when(n >= 3, 1 - 6 * F.col("_d") / (n * (n * n - 1))).alias("rank_spearman"))
+
+
 MEASURES = [f"top_{k}_{m}" for k in TOP for m in ("overlap", "jaccard")] + ["rank_spearman"]
 
 
 def player_means(each: DataFrame, run: str, keys: list[str] = ()) -> DataFrame:
-    """(keys, left_id, runs, means of all measures)."""
-    return each.groupBy(*keys, "left_id").agg(F.countDistinct(run).alias("runs"), *[F.avg(m).alias(m) for m in MEASURES])
+    """(keys, left_id, runs, means of all measures); ``each`` has a row per run and left_id."""
+    return each.groupBy(*keys, "left_id").agg(F.count(run).alias("runs"), *[F.avg(m).alias(m) for m in MEASURES])
 
 
 def summarised(means: DataFrame, group: str, keys: list[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators import cells
 from touchline.operators import profiles as P
 from touchline.operators import selection as X
 from touchline.operators import stability as N
@@ -56,7 +57,9 @@ def _vectors(sums, run: str):
 
 
 def _resampled(sums, n: int):
-    return sums.join(F.broadcast(X.resamples(sums, "match_id", n, round_up=True)), "match_id")  # a row per match and resample
+    """By player, so that the rates of all resamples need no shuffle of their many rows."""
+    tasks = max(cells.CELLS, int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sums.repartition(tasks, "player_id").join(F.broadcast(X.resamples(sums, "match_id", n, round_up=True)), "match_id")  # a row per match and resample
 
 
 _BASE = f"s0 as ({STYLE_VECTORS_SQL}), u as materialized (select u.* from ({_SUMS_SQL}) u where player_id in (select player_id from s0))"
@@ -88,10 +91,11 @@ _RESAMPLE_SQL = (
 def _resample_means(spark, sf_dir):
     sums = _sums(spark, sf_dir)
     whole = _vectors(sums.withColumn("whole", F.lit(0)), "whole")
-    full = stored(N.neighbours(whole, "player_id", ["position_group"]).select("left_id", "right_id", "rank"), "full-neighbours")
-    near = stored(N.neighbours(_vectors(_resampled(sums, RESAMPLES), "resample"), "player_id", ["resample", "position_group"]).select("resample", "left_id", "right_id", "rank"), "resample-neighbours")
-    means = N.player_means(N.compared(full, near, ["resample"]), "resample")
-    return means.join(whole.select(F.col("player_id").alias("left_id"), "position_group"), "left_id"), sums
+    full = cells.nearest_lists(whole, "player_id", ["position_group"], "v", N.KEPT)
+    vectors = stored(_vectors(_resampled(sums, RESAMPLES), "resample"), "resample-vectors")
+    near = cells.nearest_lists(vectors, "player_id", ["resample", "position_group"], "v", N.KEPT)
+    each = N.compared_lists(full.withColumnRenamed("position_group", "group"), near, ["resample", "group"])
+    return N.player_means(each, "resample", ["group"]).withColumnRenamed("group", "position_group"), sums
 
 
 @query("resample_neighbour_stability", _RESAMPLE_SQL + "select left_id as player_id, position_group, runs, " + ", ".join(f"round({m}, 6) as {m}" for m in N.MEASURES) + " from p")
@@ -125,8 +129,8 @@ def support_stability(spark, sf_dir):
     """Stability of players with at least so many matches, over halves and resamples."""
     means, sums = _resample_means(spark, sf_dir)
     halves = _vectors(sums.join(_halves(spark, sf_dir).select("player_id", "match_id", "half"), ["player_id", "match_id"]), "half")
-    near = stored(N.neighbours(halves, "player_id", ["half", "position_group"]).select("half", "left_id", "right_id", "rank"), "half-neighbours")
-    split = N.compared(near.where("half = 'first'").drop("half"), near.where("half = 'second'").select(F.lit(0).alias("run"), "left_id", "right_id", "rank"), ["run"])
+    near = stored(cells.nearest_lists(halves, "player_id", ["half", "position_group"], "v", N.KEPT).select("half", "left_id", "near"), "half-neighbours")
+    split = N.compared_lists(near.where("half = 'first'").drop("half"), near.where("half = 'second'"), [])
     both = stored(means.select(F.lit("resample").alias("kind"), "left_id", "top_6_overlap").unionAll(split.select(F.lit("half"), "left_id", "top_6_overlap")), "both-kinds")
     players = sums.groupBy("player_id").agg(F.countDistinct("match_id").alias("matches"))
     found = N.by_support(players, both, "player_id", "matches", _THRESHOLDS)
