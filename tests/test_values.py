@@ -83,6 +83,21 @@ def test_out_of_fold_reads_stored_rows(states, kind):
     assert found.select("id").distinct().count() == found.where("prediction between 0 and 1").count() == 600
 
 
+def test_boosting_reads_counted_examples(spark, monkeypatch):
+    """Their number is bounded by bins, not rows; every training row counts, and missing numbers have a bin of their own."""
+    from touchline.operators import models
+
+    seen = []
+    monkeypatch.setattr(models, "in_parts", lambda rows, name: seen.append(rows) or in_parts(rows, name))
+    rows = spark.range(30000).select("id", (F.col("id") % 20).alias("match_id"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 10007 / 10007).alias("x"), F.lit("k").alias("kind"))
+    rows = rows.withColumn("y", F.coalesce(F.col("x") > 0.5, F.lit(True)))
+    found = out_of_fold(rows, folds(rows, "match_id", 2), "match_id", ["id"], "y", ["x"], ["kind"], "gbt")
+    kept = {r.id: r for r in found.join(rows.select("id", "x"), "id").collect()}
+    assert len(kept) == 30000 and all(r.prediction > 0.5 if r.x is None or r.x > 0.55 else r.prediction < 0.5 for r in kept.values() if r.x is None or abs(r.x - 0.5) > 0.05)
+    assert len(seen) == 2 and max(e.count() for e in seen) <= 2 * models.BINS
+    assert sum(e.agg(F.sum("_rows")).first()[0] for e in seen) == 30000
+
+
 def test_parts_hold_so_many_rows(spark):
     rows = in_parts(spark.range(10000), "parts", 1000)
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
