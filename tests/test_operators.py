@@ -123,3 +123,16 @@ def test_zscores_of_large_values(spark):
     assert [got[i] for i in (-1, -2, -3)] == [None] * 3
     off = max(abs(got[i] - w) for i, w in enumerate(want))
     assert off < 3e-11
+
+
+def test_unique_pairs_of_blocks(spark):
+    """Every pair once, the smaller id first with its own vector."""
+    rows = spark.createDataFrame([(i * 37 % 101, "a", [float(i)]) for i in range(90)] + [(500, "b", [1.0])], "id long, g string, v array<double>")
+    own = {r.id: r.v for r in rows.collect()}
+    found = V.blocked_pairs(rows, "id", ["g"], block=9, unique=True)
+    got = [(r.left_id, r.right_id) for r in found.collect()]
+    ids = sorted(i for i in own if i != 500)
+    assert sorted(got) == [(a, b) for a in ids for b in ids if a < b]
+    assert all(r.a == own[r.left_id] and r.b == own[r.right_id] for r in found.collect())
+    sent = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sent.count("Generate explode") == 2 and sent.count("<= _r") + sent.count(" <= ") >= 2
